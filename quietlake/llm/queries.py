@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokenbin, tokens
+from . import langid, licenses, packing, quality, tokenbin, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op9_language_id": langid.op9_language_id,
     "op10_token_files": tokenbin.op10_token_files,
 }
 
@@ -19,8 +21,8 @@ _OP3 = r"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
-  SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM t
 ), g AS (
   SELECT r, unnest(range(1, greatest(len(words) - 1, 1))) AS p, words FROM w
@@ -30,7 +32,7 @@ WITH t AS (
   SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM c WHERE n > 1) GROUP BY r
 ), m AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
