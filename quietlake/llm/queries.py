@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, quality, tokenbin, tokens
+from . import langid, licenses, packing, quality, simhash, tokenbin, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_warc_index": warc.op8_warc_index,
     "op9_language_id": langid.op9_language_id,
     "op10_token_files": tokenbin.op10_token_files,
 }
