@@ -88,6 +88,17 @@ def measure(text: Column) -> Column:
     )
 
 
+def _bits() -> Column:
+    return sum((F.expr(f"({rule})").cast("long") * F.lit(1 << i) for i, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
+
+
+def keep_documents(documents: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
+    """The input's rows, all columns, that a policy version keeps."""
+    rows = documents.select(F.struct("*").alias("row"), measure(documents[f"`{text}`"]).alias("m"))
+    rows = rows.select("row", "m.w.*", "m.l.*", "m.word_chars", "m.n_symbols", "m.n_exclaims").withColumn("fail_bits", _bits())
+    return apply_policy(rows, version).where("kept").select("row.*")
+
+
 def ledger(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, all measurements and ``fail_bits``; one row per input row.
 
@@ -96,8 +107,7 @@ def ledger(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = only(documents, doc_id=doc_id, text=text).select("doc_id", measure(F.col("text")).alias("m"))
     rows = rows.select("doc_id", "m.w.n_words", "m.word_chars", "m.n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines", "m.n_exclaims")
-    bits = sum((F.expr(f"({rule})").cast("long") * F.lit(1 << i) for i, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
-    return rows.withColumn("fail_bits", bits)
+    return rows.withColumn("fail_bits", _bits())
 
 
 def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, quality, simhash, suffix, tokenbin, tokens, warc
+from . import decontam, langid, licenses, packing, quality, simhash, suffix, tokenbin, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_warc_index": warc.op8_warc_index,

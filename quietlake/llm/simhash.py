@@ -109,6 +109,19 @@ def group(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str =
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(documents: DataFrame, shingle: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input's rows, all columns, less all but one document of each group.
+
+    The document with the group's smallest id stays. Where rows share that id, the one with the smallest text does; rows
+    without id stay only in groups without any id, once for each text.
+    """
+    winners = group(documents, shingle, seed, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct()
+    rows = documents.select(F.struct("*").alias("row"), documents[f"`{doc_id}`"].alias("id"), documents[f"`{text}`"].alias("body"))
+    rows = rows.join(winners, F.col("id").eqNullSafe(F.col("winner")), "left_semi")
+    one = Window.partitionBy("id", F.when(F.col("id").isNull(), F.md5(F.coalesce("body", F.lit(""))))).orderBy(F.col("body").asc_nulls_first())
+    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
