@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import only, read_table
-from .tokens import chunks, id_encoder, tokenizer_path
+from .tokens import chunks, id_encoder, ranks_prove, tokenizer_path
 
 
 class OpenBins:
@@ -72,12 +72,13 @@ def pack(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int
     rows are packed each. Further columns are ignored.
     """
     path = tokenizer_path(tokenizer)
+    by_rank = ranks_prove(path)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, bins, base = id_encoder(path), OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
+        encoder, bins, base = id_encoder(path, by_rank), OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for whole in batches:
             rows = []
             for batch in chunks(iter([whole])):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SharedFiles, new_dir, only, read_table
-from .tokens import chunks, id_encoder, tokenizer_path
+from .tokens import chunks, id_encoder, ranks_prove, tokenizer_path
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> list[dict]:
@@ -36,6 +36,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bp
     """
     spark = documents.sparkSession
     vocabulary = tokenizer_path(tokenizer)
+    by_rank = ranks_prove(vocabulary)
     from tokenizers import Tokenizer
 
     size = max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1)
@@ -45,7 +46,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bp
         import numpy as np
         from pyspark import TaskContext
 
-        encoder, files = id_encoder(vocabulary), SharedFiles(path)
+        encoder, files = id_encoder(vocabulary, by_rank), SharedFiles(path)
         name = f"part-{TaskContext.get().partitionId():05d}"
         keys, lengths, end = [], [0], end_id.to_bytes(4, "little")
 

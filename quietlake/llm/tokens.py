@@ -1,9 +1,7 @@
-"""Token ids and token counts as the tokenizers library gives them, computed piecewise.
+"""Token ids and token counts as the tokenizers library gives them.
 
-Two exact ways around encoding every text in full:
-
-* ``IdEncoder`` cuts a text where the library's own pre-tokenizer is sure to cut, encodes each
-  different piece once with the library, and joins the cached ids.
+* ``IdEncoder`` joins the ids of a text's pieces, which are cut where the library's own pre-tokenizer is sure to cut. Merging by the rank of
+  the joined bytes, which is much faster, stands in for the library wherever ``ranks_prove`` shows that both must agree.
 * ``WholeTokens`` proves which vocabulary strings encode alone as one token. Pre-tokens among them
   count one without any merging; only the rest go through the merges.
 """
@@ -13,7 +11,9 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,43 +49,128 @@ def _specials(path: str) -> tuple[dict, re.Pattern | None]:
     return spec | {"special": tokens}, found
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where printable, else from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def rank_table(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id. A token that ends a word has the byte 255, which no text has, at its end; None if this isn't possible."""
+    letters, end = _byte_letters(), spec["model"].get("end_of_word_suffix") or ""
+    out: dict[bytes, int] = {}
+    for token, number in spec["model"]["vocab"].items():
+        last = bool(end) and token.endswith(end)
+        body = token[: -len(end)] if last else token
+        if not body or any(c not in letters for c in body):
+            return None
+        out[bytes(letters[c] for c in body) + b"\xff" * last] = number
+    return out
+
+
+@functools.cache
+def ranks_prove(path: str) -> bool:
+    """Whether merging by rank of the joined bytes must give what the vocabulary's list of merges gives.
+
+    It must if ids follow the list's order and every listed token is what its own letters merge to. For then, whenever
+    two neighbours join to a token, their letters have merged as if that token stood alone, and there the last two
+    parts before the end are the listed pair.
+    """
+    spec, _ = _specials(path)
+    model = spec["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or rank_table(spec) is None:
+        return False
+    end, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+    pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    rank = {pair: i for i, pair in enumerate(pairs)}
+    ids = [vocab[a + b] for a, b in pairs]
+    if any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or min(ids, default=0) < len(vocab) - len(set(ids)) or len(set(ids)) != len(ids):
+        return False
+    for a, b in pairs:
+        token = a + b
+        body = token[: -len(end)] if end and token.endswith(end) else token
+        parts = [*body[:-1], body[-1] + token[len(body) :]]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            if (parts[best], parts[best + 1]) not in rank:
+                return False
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return True
+
+
+#: Runs without a sure cut that are left to the library, which takes them in good time whatever their length.
+_LONG_RUN = re.compile(f"[^{_WS}]{{1000}}|[{_WS}]{{1000}}")
+#: Lower-case words that end before ASCII; such a piece is one pre-token of a word vocabulary. Then anything else.
+_LATIN_PIECES = re.compile(f"[a-z\xe0-\xf6\xf8-\xff]+(?=[\\x00-`{{-\x7f]|\\Z)|[^ \\t\\n\\r]+")
+_LATIN_WORD = re.compile("[a-z\xe0-\xf6\xf8-\xff]+").fullmatch
+_BEYOND_LATIN = re.compile("[^\x00-\xff]").search
+
+
 class IdEncoder:
     """``encode(texts)`` -> little-endian unsigned 32-bit ids of each text, without added specials.
 
     Special strings inside a text become their ids first, as in the library; what lies between them
-    is encoded piece by piece.
+    is encoded on its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_rank: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         spec, self.found = _specials(path)
         self.special = {k: v.to_bytes(4, "little") for k, v in spec["special"].items()}
-        self.pieces = _BYTE_PIECES if spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel" else _WORD_PIECES
+        self.bytes_only = spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
+        self.merge = None
+        if by_rank:
+            import tiktoken
+
+            self.merge = tiktoken.Encoding("ranks", pat_str=_PRE_TOKENS, mergeable_ranks=rank_table(spec), special_tokens={})
         self.cache: dict[str, bytes] = {}
 
-    def _cut(self, text: str) -> list[str]:
-        if self.found is None or "<" not in text or not self.found.search(text):
-            return self.pieces.findall(text)
-        out: list[str] = []
-        for part in self.found.split(text):
-            out += [part] if part in self.special else self.pieces.findall(part)
-        return out
+    def _pieces(self, text: str) -> list[str]:
+        if self.bytes_only:
+            return _BYTE_PIECES.findall(text)
+        if self.merge is not None and not _BEYOND_LATIN(text):
+            return _LATIN_PIECES.findall(text.lower())
+        return _WORD_PIECES.findall(text)
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
+    def _join(self, cut: list[list[str]]) -> list[bytes]:
         import numpy as np
 
-        cut = [self._cut(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache = {}
         cache = self.cache
-        new = [p for p in set().union(*cut) if p not in cache] if cut else []
+        new = list(set(chain.from_iterable(cut)).difference(cache))
+        if self.merge is not None and not self.bytes_only:
+            merge = self.merge._core_bpe.encode_single_piece
+            words = [p for p in new if len(p) < 200 and _LATIN_WORD(p)]
+            for p in words:
+                cache[p] = array("I", merge(p.encode() + b"\xff")).tobytes()
+            new = list(set(new).difference(words))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for piece, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 cache[piece] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        get = cache.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if self.found is not None and "<" in text and self.found.search(text):
+                parts = [p for p in self.found.split(text) if p]
+                plain = iter(self.encode(p for p in parts if p not in self.special))
+                out[i] = b"".join(self.special.get(p) or next(plain) for p in parts)
+            elif self.merge is not None and self.bytes_only and not _LONG_RUN.search(text):
+                out[i] = array("I", self.merge.encode_ordinary(text)).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._join([self._pieces(texts[i]) for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
 
 class WholeTokens:
@@ -123,7 +208,7 @@ class WholeTokens:
         if len(self.rest) > CACHE_PIECES:
             self.rest = {}
         rest, whole = self.rest, self.whole
-        new = [p for p in set().union(*cut) if p not in whole and p not in rest] if cut else []
+        new = list(set(chain.from_iterable(cut)).difference(rest, whole))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             rest.update(zip(some, map(len, self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
@@ -132,9 +217,9 @@ class WholeTokens:
 
 
 @functools.cache
-def id_encoder(path: str) -> IdEncoder:
-    """One encoder for each Python worker, which Spark uses for many tasks."""
-    return IdEncoder(path)
+def id_encoder(path: str, by_rank: bool = False) -> IdEncoder:
+    """One encoder for each Python worker, which Spark uses for many tasks. The driver proves ``by_rank`` once."""
+    return IdEncoder(path, by_rank)
 
 
 @functools.cache
