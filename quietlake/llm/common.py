@@ -56,7 +56,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

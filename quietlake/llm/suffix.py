@@ -387,8 +387,8 @@ def repeats(rows: DataFrame, length: int = 400, contexts_at_once: int = CONTEXTS
     cores = each.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     each = written(each.join(cores, "core"), "context-counts")
     copied = table.select("text", "low", "high", "core", "context").join(each.where("copied").select("core", "context"), ["core", "context"], "left_semi").select("text", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
-    several = each.where("n > 1").select("core", "context", "place", "copied", "n")
-    chosen = table.join(several, ["core", "context", "place"]).dropDuplicates(["core", "context"]).select(*table.columns, "copied", "n")
+    several = each.where("n > 1").select("core", "context", F.col("place").alias("least"), "copied", "n")
+    chosen = table.join(several, ["core", "context"]).where(F.col("place") == F.col("least")).dropDuplicates(["core", "context"]).select(*table.columns, "copied", "n")
     few = _sorted_groups(chosen.where(F.col("n") <= contexts_at_once), plan)
     many = _counted_windows(chosen.where(F.col("n") > contexts_at_once), plan)
     return copied.union(few).union(many)
