@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +22,28 @@ from pyspark.sql import functions as F
 from .common import only, read_table
 
 WINDOW, STRIDE = 64, 32
-#: Words in more than this share of all passages say nothing about an item, unless they are among its rarest.
-COMMON = 0.02
-RAREST = 8
+#: An item's words of least document frequency: so many stand for it in the space, and so many as its answer where none is given.
+SPACE_WORDS, RAREST = 12, 8
 #: Benchmark items of a round; each round searches all documents.
 BLOCK_ITEMS = 256
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.3, 0.6, 0.5
 _OVERSAMPLE = 64
 _FIXED = float(1 << 24)
-_WORDS = re.compile(r"[^\W_]+").findall
+#: ASCII bytes other than letters and digits part words; so do Unicode's general punctuation and no-break spaces.
+_FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_MARKS = re.compile(rb"\xe2[\x80\x81].|\xe3\x80[\x80-\x9f]|\xc2[\xa0-\xbf]", re.DOTALL)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORDS((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    data = (text or "").lower().encode("utf-8", "replace")
+    if b"\xe2" in data or b"\xe3\x80" in data or b"\xc2" in data:
+        data = _MARKS.sub(b" ", data)
+    return data.translate(_FOLD).split()
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
+def lcs_length(a: list[bytes], b: list[bytes]) -> int:
     """Longest common subsequence by one machine-word-parallel row per word of b."""
-    at: dict[str, int] = {}
+    at: dict[bytes, int] = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -54,39 +59,45 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 class Space:
     """Vocabulary, weights and basis of a round."""
 
-    ids: dict[str, int]
+    ids: dict[bytes, int]
     idf: np.ndarray
     basis: np.ndarray
     items: list[tuple]
     latent: np.ndarray
 
 
-def _windows(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]], int]:
-    """Sparse counts of a batch: (passage, word, count), each passage's text and window, all words, and the number of passages.
+def _hits(texts: list[str | None], ids: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a batch, their numbers, and of each word in the vocabulary its text, place and id."""
+    lists = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    found = np.fromiter(map(ids.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
+    at = np.flatnonzero(found >= 0)
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends, at, side="right")
+    return lists, sizes, owner, at - (ends - sizes)[owner], found[at]
 
-    Passages are numbered through the batch. Those without a word of the vocabulary are counted, not listed.
+
+def _windows(texts: list[str | None], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Sparse counts of a batch: (passage, word, count), each passage's text and window, and all words.
+
+    Window k of a text has its words from k strides on. Windows with fewer than two words of the vocabulary are left out: no item's check could hold there.
     """
-    get, lists, owner, place, word, n = ids.get, [], [], [], [], 0
-    for k, text in enumerate(texts):
-        own = words_of(text)
-        lists.append(own)
-        n += max(1, -(-(len(own) - STRIDE) // STRIDE))
-        hits = [(j, i) for j, w in enumerate(own) if (i := get(w)) is not None]
-        owner += [k] * len(hits)
-        place += [j for j, _ in hits]
-        word += [i for _, i in hits]
-    owner_, place_, word_ = np.array(owner, np.int64), np.array(place, np.int64) // STRIDE, np.array(word, np.int64)
-    last = np.array([max(0, -(-(len(x) - STRIDE) // STRIDE) - 1) for x in lists], np.int64)
-    owner_, place_, word_ = np.concatenate((owner_, owner_)), np.concatenate((place_, place_ - 1)), np.concatenate((word_, word_))
-    keep = (place_ >= 0) & (place_ <= last[owner_]) if len(owner_) else np.zeros(0, bool)
-    owner_, place_, word_ = owner_[keep], place_[keep], word_[keep]
-    passage = owner_ << 32 | place_
-    order = np.lexsort((word_, passage))
-    passage, word_ = passage[order], word_[order]
-    first = np.concatenate(([True], (passage[1:] != passage[:-1]) | (word_[1:] != word_[:-1]))).nonzero()[0] if len(passage) else np.zeros(0, np.int64)
+    lists, sizes, owner, place, word = _hits(texts, ids)
+    block = place // STRIDE
+    last = np.maximum(0, -(-(sizes - STRIDE) // STRIDE) - 1)
+    owner, block, word = np.concatenate((owner, owner)), np.concatenate((block, block - 1)), np.concatenate((word, word))
+    keep = (block >= 0) & (block <= last[owner])
+    passage, word = (owner << 32 | block)[keep], word[keep]
+    order = np.lexsort((word, passage))
+    passage, word = passage[order], word[order]
+    new = np.ones(len(passage), bool)
+    new[1:] = (passage[1:] != passage[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(new)
     count = np.diff(np.concatenate((first, [len(passage)])))
-    passages, where = np.unique(passage[first], return_inverse=True)
-    return where, word_[first], count, passages, lists, n
+    _, back, different = np.unique(passage[first], return_inverse=True, return_counts=True)
+    keep = different[back] > 1
+    passages, where = np.unique(passage[first][keep], return_inverse=True)
+    return where, word[first][keep], count[keep], passages, lists
 
 
 def _weighted(where: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +121,8 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, n: int = 200) -> Iter
             yield part, part.column(column).to_pylist()
 
 
-def document_frequencies(rows: DataFrame, ids: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Passages that hold each word, and all passages, over the whole table."""
+def document_frequencies(rows: DataFrame, ids: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """Stretches of ``STRIDE`` words that hold each word, and all stretches, over the whole table."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(ids)
 
@@ -119,9 +130,11 @@ def document_frequencies(rows: DataFrame, ids: dict[str, int]) -> tuple[np.ndarr
         known = shared.value
         df, n = np.zeros(len(known), np.int64), 0
         for _, texts in _texts(batches, 0):
-            _, word, _, _, _, more = _windows(texts, known)
-            df += np.bincount(word, minlength=len(known))
-            n += more
+            _, sizes, owner, place, word = _hits(texts, known)
+            blocks = np.maximum(1, -(-sizes // STRIDE))
+            here = (np.cumsum(blocks) - blocks)[owner] + place // STRIDE
+            df += np.bincount(np.unique(here * len(known) + word) % len(known), minlength=len(known))
+            n += int(blocks.sum())
         yield pa.RecordBatch.from_arrays([pa.array([-1, *df.nonzero()[0].tolist()], pa.int64()), pa.array([n, *df[df > 0].tolist()], pa.int64())], names=["word", "n"])
 
     df, n = np.zeros(len(ids), np.int64), 0
@@ -133,7 +146,7 @@ def document_frequencies(rows: DataFrame, ids: dict[str, int]) -> tuple[np.ndarr
     return df, n
 
 
-def randomised_svd(rows: DataFrame, ids: dict[str, int], idf: np.ndarray, items: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
+def randomised_svd(rows: DataFrame, ids: dict[bytes, int], idf: np.ndarray, items: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors of the TF-IDF matrix of all passages and the items, from one pass.
 
     With a random matrix R, tasks sum A'AR row by row; the driver gets one row for each word of the benchmark. The
@@ -149,13 +162,15 @@ def randomised_svd(rows: DataFrame, ids: dict[str, int], idf: np.ndarray, items:
         known, weights, start = shared.value
         total = np.zeros(start.shape, np.int64)
         for _, texts in _texts(batches, 0):
-            where, word, count, passages, _, _ = _windows(texts, known)
+            where, word, count, passages, _ = _windows(texts, known)
             if not len(where):
                 continue
             weight, norm = _weighted(where, word, count, len(passages), weights)
             weight = weight / np.maximum(norm, 1e-12)[where]
             y = _project(where, word, weight, len(passages), start)
-            np.add.at(total, word, np.rint(y[where] * weight[:, None] * _FIXED).astype(np.int64))
+            order = np.argsort(word, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], word[order][1:] != word[order][:-1])))
+            total[word[order][starts]] += np.rint(np.add.reduceat(y[where[order]] * weight[order, None].astype(np.float32), starts, axis=0).astype(np.float64) * _FIXED).astype(np.int64)
         used = np.abs(total).sum(axis=1).nonzero()[0]
         for i in range(0, len(used), 256):
             some = used[i : i + 256]
@@ -181,7 +196,7 @@ def randomised_svd(rows: DataFrame, ids: dict[str, int], idf: np.ndarray, items:
     return left[:, size > size.max(initial=0) * 1e-6].astype(np.float32)
 
 
-def _item_matrix(items: list[tuple], ids: dict[str, int], idf: np.ndarray) -> np.ndarray:
+def _item_matrix(items: list[tuple], ids: dict[bytes, int], idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(items), len(ids)))
     for k, (_, own, _) in enumerate(items):
         for w, c in Counter(own).items():
@@ -195,16 +210,16 @@ def fit(rows: DataFrame, items: list[tuple]) -> Space:
     every = sorted({w for _, own, _ in items for w in own})
     df, n = document_frequencies(rows, {w: i for i, w in enumerate(every)})
     rarity = dict(zip(every, df.tolist(), strict=True))
-    known = sorted({w for w in every if rarity[w] <= COMMON * n} | {w for _, own, _ in items for w in sorted(set(own), key=lambda w: (rarity[w], w))[:RAREST]})
+    known = sorted({w for _, own, answer in items for w in (*sorted(set(own), key=lambda w: (rarity[w], w))[:SPACE_WORDS], *(answer or ()))})
     ids = {w: i for i, w in enumerate(known)}
-    idf = np.log((1 + n) / (1 + np.array([rarity[w] for w in known]))) + 1
+    idf = np.log((1 + n) / (1 + np.array([rarity.get(w, 0) for w in known]))) + 1
     full = [(key, own, answer or sorted(set(own), key=lambda w: (rarity[w], w))[:RAREST]) for key, own, answer in items]
     matrix = _item_matrix(full, ids, idf)
     basis = randomised_svd(rows, ids, idf, matrix, n)
     return Space(ids, idf, basis, full, (matrix @ basis).astype(np.float32))
 
 
-def verify(item: list[str], answer: list[str], passage: list[str]) -> tuple[float, float]:
+def verify(item: list[bytes], answer: list[bytes], passage: list[bytes]) -> tuple[float, float]:
     """Share of the item's words in the common subsequence with the passage, and of its answer words in the passage."""
     return lcs_length(item, passage) / max(1, len(item)), len(set(answer) & set(passage)) / max(1, len(set(answer)))
 
@@ -212,7 +227,7 @@ def verify(item: list[str], answer: list[str], passage: list[str]) -> tuple[floa
 def _matches(s: Space, texts: list[str | None], cosine: float, lcs_share: float, answer_share: float) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(text, item) -> (lcs, answer, cosine) of the best verified passage."""
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    where, word, count, passages, lists, _ = _windows(texts, s.ids)
+    where, word, count, passages, lists = _windows(texts, s.ids)
     if not len(where) or not len(s.items):
         return best
     weight, norm = _weighted(where, word, count, len(passages), s.idf)
