@@ -5,10 +5,534 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quietlake.functions import spans, text
+from quietlake.operators import audit, dialogue, minimize, privacy, scoring
+from quietlake.plans import compiler
+from quietlake.sources.dialogues import document_messages, round_robin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_messages(spark, sf_dir)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.detect(_messages(spark, sf_dir))
+
+
+_MSG = "msg AS (SELECT doc_id AS message_id, source AS user_id, 'user' AS role, coalesce(text, '') AS content FROM documents)"
+_FOUND = " || ".join(f"list_transform(regexp_extract_all(content, '{p}', {g}), lambda x: {{'t': x, 'k': '{k}', 'l': '{lv}'}})" for k, lv, p, g in privacy.DETECTORS)
+_ITEMS = f"""{_MSG}, found AS (SELECT message_id, user_id, {_FOUND} AS l FROM msg),
+items AS (SELECT message_id, user_id, pos, i.t AS original_text, i.k AS privacy_type, i.l AS privacy_level
+          FROM (SELECT message_id, user_id, unnest(l) AS i, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos FROM found))"""
+_BEST = """best AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY message_id, original_text ORDER BY privacy_level DESC, privacy_type) = 1)"""
+_TOKENS = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^\x00-\x7F]'))"
+_CAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(privacy_type), '{w}') THEN '{t}'" for w, t in privacy.CATEGORIES) + f" ELSE '{privacy.OTHER_CATEGORY}' END"
+_BLOB = lambda b: "'" + "".join(f"\\x{x:02X}" for x in b) + "'::BLOB"
+_PAD = lambda b: _BLOB(bytes(x ^ b for x in privacy.TEST_KEY.ljust(64, b"\0")))
+_HMAC = f"sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(user_id) || '\\x00'::BLOB || encode(original_text))))"
+_PREFIX = "regexp_replace(privacy_type, '[^A-Za-z0-9]+', '_', 'g')"
+_VAULT = f"""own AS (SELECT user_id, original_text, privacy_type, max(privacy_level) AS privacy_level, min({{'a': message_id, 'b': pos}}) AS seen FROM items GROUP BY ALL),
+vault AS (SELECT user_id AS namespace, original_text, privacy_type, privacy_level, CAST(row_number() OVER (PARTITION BY user_id, privacy_type ORDER BY seen, original_text) AS BIGINT) AS seq, {_HMAC} AS fingerprint FROM own)"""
+_MASK = "'<MPM_' || {} || '_' || seq || '_' || left(fingerprint, 12) || '>'"
+
+
+def _masked(mask: str, levels: str) -> str:
+    return f"""WITH {_ITEMS}, {_BEST}, {_VAULT}, marked AS (
+      SELECT b.message_id, b.original_text, {mask} AS mask FROM best b JOIN vault v ON v.namespace = b.user_id AND v.original_text = b.original_text AND v.privacy_type = b.privacy_type
+      WHERE b.privacy_level IN ({levels})), lists AS (
+      SELECT message_id, list({{'o': original_text, 'm': mask}} ORDER BY length(original_text) DESC, original_text) AS l FROM marked GROUP BY message_id)
+    SELECT message_id, list_reduce(list_prepend(content, list_transform(l, lambda x: x.o || chr(1) || x.m)),
+      lambda t, x: replace(t, split_part(x, chr(1), 1), split_part(x, chr(1), 2))) AS masked FROM msg JOIN lists USING (message_id)"""
+
+
+@_query(f"SELECT doc_id, CAST({_TOKENS.format('text')} AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@_query(f"SELECT conv_id, turn, CAST(greatest(1, {_TOKENS.format('text')}) AS BIGINT) AS tokens FROM conversations")
+def token_estimate_floor(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.estimate_tokens(F.col("text"), 1).alias("tokens"))
+
+
+@_query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '[ \t]+([,.;:!?，。；：！？])', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS public_text FROM documents""")
+def normalize_public_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.normalize_public_text(F.col("text")).alias("public_text"))
+
+
+def _units(column: str) -> str:
+    return rf"""list_filter(list_transform(regexp_extract_all({column}, '.+?(?:[.!?。！？；;]+["''”’]*|$)(?:[\s\p{{Z}}]+|$)'), lambda u: regexp_replace(u, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda u: u <> '')"""
+
+
+def _line_units(column: str) -> str:
+    return f"flatten(list_transform(string_split({column}, chr(10)), lambda line: {_units('line')}))"
+
+
+@_query(f"SELECT doc_id, CAST(len(u) AS BIGINT) AS units, md5(array_to_string(u, '|')) AS digest FROM (SELECT doc_id, {_line_units('text')} AS u FROM documents)")
+def sentence_units(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", text.split_units(F.col("text")).alias("u"))
+    return d.select("doc_id", F.size("u").cast("long").alias("units"), F.md5(F.array_join("u", "|")).alias("digest"))
+
+
+@_query(f"SELECT doc_id, CAST(len(u) AS BIGINT) AS units, md5(array_to_string(u, '|')) AS digest FROM (SELECT doc_id, {_units('text')} AS u FROM documents)")
+def residual_sentence_units(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", text.split_units(F.col("text"), by_line=False).alias("u"))
+    return d.select("doc_id", F.size("u").cast("long").alias("units"), F.md5(F.array_join("u", "|")).alias("digest"))
+
+
+@_query(rf"SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_]+|[^\x00-\x7F]')), lambda x: NOT list_contains({text.STOPWORDS}, x))) AS BIGINT) AS tokens FROM documents")
+def utility_token_sets(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(text.utility_tokens(F.col("text"))).cast("long").alias("tokens"))
+
+
+@_query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[぀-ヿ一-鿿]|[^\s぀-ヿ一-鿿]+')) AS BIGINT) AS tokens FROM documents")
+def mixed_tokenize_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(text.mixed_tokenize(F.col("text"))).cast("long").alias("tokens"))
+
+
+@_query("SELECT event_type, coalesce(nullif(trim(regexp_replace(event_type || ' / kind', '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'Privacy') AS prefix FROM (SELECT DISTINCT event_type FROM events)")
+def mask_prefix(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", text.mask_prefix(F.concat("event_type", F.lit(" / kind"))).alias("prefix"))
+
+
+@_query(rf"""WITH {_ITEMS}, t AS (SELECT message_id, pos, original_text AS v, list_transform(regexp_extract_all(original_text, '[A-Za-z0-9][A-Za-z0-9_@.+-]{{2,}}'), lambda t: trim(t, '.,;:!?()[]{{}}<>，。；：！？（）【】')) AS tk, regexp_replace(original_text, '[^0-9]+', '', 'g') AS dg FROM items),
+m AS (SELECT *, list_filter(tk, lambda t: contains(t, '@')) AS ml FROM t)
+SELECT message_id, pos, list_sort(list_distinct(list_filter([v] || tk || [dg, right(dg, 4)] || flatten(list_transform(ml, lambda t: [split_part(t, '@', 1), split_part(t, '@', 2)] || string_split(split_part(t, '@', 2), '.'))), lambda x: length(x) >= 4))) AS fragments FROM m""")
+def private_fragments(spark, sf_dir):
+    return _items(spark, sf_dir).select("message_id", "pos", text.private_fragments(F.col("original_text")).alias("fragments"))
+
+
+@_query(f"WITH {_ITEMS} SELECT message_id, pos, {_HMAC} AS fingerprint FROM items")
+def hmac_fingerprint(spark, sf_dir):
+    return _items(spark, sf_dir).select("message_id", "pos", text.hmac_sha256(privacy.TEST_KEY, F.concat_ws("\0", "user_id", "original_text")).alias("fingerprint"))
+
+
+@_query(f"SELECT DISTINCT source, 'User-' || left(sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(source)))), 12) AS user_id FROM documents")
+def anonymous_ids(spark, sf_dir):
+    return _docs(spark, sf_dir).select("source").distinct().select("source", F.concat(F.lit("User-"), F.left(text.hmac_sha256(privacy.TEST_KEY, F.col("source")), F.lit(12))).alias("user_id"))
+
+
+@_query(f"WITH {_ITEMS} SELECT * FROM items")
+def detect_items(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+@_query(f"WITH {_ITEMS} SELECT items.* FROM items JOIN msg USING (message_id) WHERE contains(content, original_text) QUALIFY row_number() OVER (PARTITION BY message_id, original_text, privacy_type, privacy_level ORDER BY pos) = 1")
+def validate_items(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return privacy.validate(privacy.detect(m), m)
+
+
+@_query(f"WITH {_ITEMS} SELECT DISTINCT user_id, original_text, privacy_type, privacy_level FROM items")
+def known_items_by_user(spark, sf_dir):
+    return privacy.known_items(_items(spark, sf_dir))
+
+
+@_query(f"WITH {_ITEMS}, known AS (SELECT DISTINCT user_id, original_text, privacy_type, privacy_level FROM items) SELECT message_id, m.user_id, original_text, privacy_type, privacy_level FROM known k JOIN msg m ON m.user_id = k.user_id AND contains(m.content, k.original_text)")
+def propagate_known_values(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return privacy.propagate(privacy.known_items(privacy.detect(m)), m)
+
+
+@_query(f"WITH {_ITEMS}, {_BEST} SELECT * FROM best")
+def best_item_per_text(spark, sf_dir):
+    return privacy.best_per_text(privacy.validate(_items(spark, sf_dir), _messages(spark, sf_dir)))
+
+
+@_query(_masked("'***'", "'PL2', 'PL3', 'PL4'"))
+def mask_complete(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return privacy.mask_messages(m, privacy.detect(m), None, privacy.LEVELS).select("message_id", "masked")
+
+
+@_query(_masked(_MASK.format(f"coalesce(nullif(trim(regexp_replace(b.privacy_type, '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'Privacy')"), "'PL3', 'PL4'"))
+def mask_type_specific(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    items = privacy.detect(m)
+    return privacy.mask_messages(m, items, privacy.vault(items)).select("message_id", "masked")
+
+
+@_query(_masked(_MASK.format("'Private'"), "'PL2', 'PL3', 'PL4'"))
+def mask_generic(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    items = privacy.detect(m)
+    return privacy.mask_messages(m, items, privacy.vault(items, typed=False), privacy.LEVELS).select("message_id", "masked")
+
+
+@_query(f"WITH {_ITEMS}, {_VAULT} SELECT *, {_MASK.format(_PREFIX)} AS mask FROM vault")
+def vault_rows(spark, sf_dir):
+    return privacy.vault(_items(spark, sf_dir))
+
+
+@_query(f"WITH {_ITEMS}, {_VAULT} SELECT namespace, privacy_type, original_text, seq FROM vault WHERE privacy_level <> 'PL4' QUALIFY row_number() OVER (PARTITION BY namespace, privacy_type ORDER BY privacy_level DESC, seq) <= 5")
+def vault_top_per_type(spark, sf_dir):
+    v = privacy.vault(_items(spark, sf_dir)).where("privacy_level <> 'PL4'")
+    at = F.row_number().over(Window.partitionBy("namespace", "privacy_type").orderBy(F.desc("privacy_level"), "seq"))
+    return v.withColumn("n", at).where("n <= 5").select("namespace", "privacy_type", "original_text", "seq")
+
+
+@_query(f"WITH {_ITEMS} SELECT count(DISTINCT message_id) AS messages, count(DISTINCT message_id) AS restored FROM items")
+def unmask_roundtrip(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    items = privacy.detect(m)
+    done = privacy.mask_messages(m, items, privacy.vault(items), privacy.LEVELS)
+    back = spans.unmask(F.col("masked"), F.col("pairs"))
+    return done.agg(F.count(F.lit(1)).alias("messages"), F.count_if(back == F.col("content")).alias("restored"))
+
+
+@_query()
+def vault_encrypt_roundtrip(spark, sf_dir):
+    v = privacy.vault(_items(spark, sf_dir))
+    key, aad = F.lit(b"0123456789abcdef0123456789abcdef"), F.col("namespace")
+    sealed = v.withColumn("sealed", F.aes_encrypt("original_text", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), aad))
+    opened = F.aes_decrypt("sealed", key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string")
+    return sealed.agg(F.count(F.lit(1)).alias("values"), F.count_if(opened == F.col("original_text")).alias("restored"))
+
+
+@_query(f"WITH {_ITEMS} SELECT privacy_level, CASE privacy_level WHEN 'PL4' THEN 'drop' WHEN 'PL3' THEN 'local_only' ELSE 'abstract' END AS action, count(*) AS n FROM items GROUP BY ALL")
+def route_counts(spark, sf_dir):
+    return _items(spark, sf_dir).groupBy("privacy_level", privacy.route().alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_ITEMS} SELECT message_id, pos, CASE WHEN privacy_level = 'PL4' THEN 'drop' WHEN privacy_type IN ('Email', 'Financial Account') AND message_id % 2 = 0 THEN 'reversible' WHEN privacy_type IN ('Email', 'Financial Account') THEN 'local_only' WHEN privacy_type = 'Network Identifier' THEN 'drop' WHEN privacy_level = 'PL3' THEN 'local_only' ELSE 'abstract' END AS action FROM items")
+def route_with_consent(spark, sf_dir):
+    required = F.col("privacy_type").isin("Email", "Financial Account")
+    return _items(spark, sf_dir).select("message_id", "pos", privacy.route(required, F.col("message_id") % 2 == 0, {"Network Identifier": "drop"}).alias("action"))
+
+
+_TYPES = "types AS (SELECT unnest(['Email', 'Prescription', 'Job Intent', 'Itinerary', 'Network Identifier', 'Real Name', 'Other', 'Loan Info']) AS privacy_type)"
+
+
+def _types(spark):
+    return spark.createDataFrame([(t,) for t in ("Email", "Prescription", "Job Intent", "Itinerary", "Network Identifier", "Real Name", "Other", "Loan Info")], "privacy_type string")
+
+
+@_query(f"WITH {_TYPES} SELECT privacy_type, {_CAT} AS category FROM types")
+def category_abstraction(spark, sf_dir):
+    return _types(spark).select("privacy_type", privacy.category(F.col("privacy_type")).alias("category"))
+
+
+_CANDIDATES = f"""cand AS (SELECT privacy_type, unnest([{{'text': '', 'specificity': -1, 'utility': 0.0::DOUBLE, 'leakage': 0.0::DOUBLE, 'representation': 'drop'}},
+ {{'text': 'private detail', 'specificity': 0, 'utility': 0.68::DOUBLE, 'leakage': 0.05::DOUBLE, 'representation': 'generic_abstract'}},
+ {{'text': {_CAT}, 'specificity': 1, 'utility': 0.82::DOUBLE, 'leakage': 0.2::DOUBLE, 'representation': 'category_abstract'}},
+ {{'text': 'private ' || lower(privacy_type) || ' value', 'specificity': 2, 'utility': 0.96::DOUBLE, 'leakage': 0.45::DOUBLE, 'representation': 'typed_abstract'}}]) AS c FROM types)"""
+
+
+@_query(f"WITH {_TYPES}, {_CANDIDATES} SELECT privacy_type, c.text AS text, CAST(c.specificity AS BIGINT) AS specificity, c.utility AS utility, c.leakage AS leakage, c.representation AS representation FROM cand")
+def abstraction_candidates(spark, sf_dir):
+    return _types(spark).select("privacy_type", F.explode(privacy.candidates(F.col("privacy_type"), F.lit(False), -1)).alias("c")).select("privacy_type", "c.*")
+
+
+@_query(f"WITH {_TYPES}, {_CANDIDATES} SELECT privacy_type, c.text AS text, c.representation AS representation FROM cand WHERE c.utility >= 0.75 AND c.leakage <= 0.35 QUALIFY row_number() OVER (PARTITION BY privacy_type ORDER BY c.specificity, c.leakage) = 1")
+def select_sufficient(spark, sf_dir):
+    best = privacy.select_sufficient(privacy.candidates(F.col("privacy_type"), F.lit(False)), lambda t: text.estimate_tokens(t, 1))
+    return _types(spark).withColumn("b", best).select("privacy_type", "b.text", "b.representation")
+
+
+@_query(f"WITH {_TYPES}, {_CANDIDATES}, s AS (SELECT privacy_type, c, round(c.utility - c.leakage - 0.01 * ln(1 + greatest(1, {_TOKENS.format('c.text')})), 9) AS score FROM cand WHERE c.utility >= 0.5 AND c.leakage <= 0.5) SELECT privacy_type, c.text AS text, score FROM s QUALIFY row_number() OVER (PARTITION BY privacy_type ORDER BY score DESC, c.specificity, c.leakage) = 1")
+def select_learned(spark, sf_dir):
+    c = _types(spark).select("privacy_type", F.explode(privacy.candidates(F.col("privacy_type"), F.lit(False))).alias("c")).select("privacy_type", "c.*").where("utility >= 0.5 and leakage <= 0.5")
+    c = c.withColumn("score", F.round(F.col("utility") - F.col("leakage") - 0.01 * F.log1p(text.estimate_tokens(F.col("text"), 1)), 9))
+    order = Window.partitionBy("privacy_type").orderBy(F.desc("score"), "specificity", "leakage")
+    return c.withColumn("n", F.row_number().over(order)).where("n = 1").select("privacy_type", "text", "score")
+
+
+@_query(f"WITH {_TYPES}, templates AS (SELECT * FROM (VALUES ('email', 'a way to reach the user'), ('*', 'some detail'), (NULL, 'any detail'), ('real-name', 'a person')) t(kind, text)) SELECT privacy_type, text FROM types JOIN templates ON kind IS NULL OR kind = '*' OR lower(trim(regexp_replace(kind, '[_-]+', ' ', 'g'))) = lower(trim(regexp_replace(privacy_type, '[_-]+', ' ', 'g')))")
+def template_match(spark, sf_dir):
+    t = spark.createDataFrame([("email", "a way to reach the user"), ("*", "some detail"), (None, "any detail"), ("real-name", "a person")], "kind string, text string")
+    x = _types(spark)
+    return x.join(F.broadcast(t), privacy.matches_type(x.privacy_type, t.kind)).select("privacy_type", "text")
+
+
+@_query(rf"WITH {_ITEMS}, f AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS u, CASE WHEN length(text) < 12 THEN 0.5 ELSE 0 END AS s FROM conversations) SELECT conv_id, turn, CAST(u - s AS DOUBLE) AS base FROM f")
+def unit_base_scores(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", ((F.col("role") == "user").cast("int") - F.when(F.length("text") < 12, 0.5).otherwise(0.0)).cast("double").alias("base"))
+
+
+@_query()
+def unit_scores(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(text.split_units(F.col("text"))).alias("unit", "text"))
+    return c.select("conv_id", "turn", "unit", minimize.unit_score(F.col("text"), F.col("role"), F.lit(False)).alias("score"))
+
+
+@_query()
+def minimize_context(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "role", F.col("text").alias("content"), F.array().cast("array<string>").alias("protected"))
+    return minimize.minimize_messages(c)
+
+
+@_query()
+def compile_public_memory(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return compiler.compile_public(m, privacy.validate(privacy.detect(m), m))
+
+
+@_query(f"""WITH {_ITEMS}, parts AS (SELECT user_id, unnest([original_text] || regexp_extract_all(original_text, '[A-Za-z]{{4,}}|[0-9]{{4,}}|[一-鿿]{{2,}}')) AS t FROM items),
+terms AS (SELECT user_id, list(DISTINCT t) AS terms FROM parts WHERE length(t) >= 4 GROUP BY user_id),
+u AS (SELECT message_id, content, terms, {_units('content')} AS units FROM msg LEFT JOIN terms USING (user_id))
+SELECT message_id, CASE WHEN terms IS NULL OR content = '' THEN content ELSE coalesce(array_to_string(list_filter(units, lambda x: NOT len(list_filter(terms, lambda t: contains(x, t))) > 0), ' '), '') END AS text FROM u""")
+def residual_scrub(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    return compiler.scrub_residual(m.select("message_id", "user_id", F.col("content").alias("text")), compiler.residual_terms(privacy.detect(m)))
+
+
+@_query(f"""WITH {_ITEMS}, shown AS (SELECT count(*) AS sensitive_items, CAST(count(*) FILTER (privacy_level = 'PL2') AS BIGINT) AS exact_recovered, CAST(count(*) FILTER (privacy_level = 'PL4') AS BIGINT) AS pl4_items FROM items)
+SELECT sensitive_items, exact_recovered, pl4_items, exact_recovered / sensitive_items AS recovery_rate FROM shown""")
+def leakage_report(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    items = privacy.detect(m)
+    hidden = privacy.mask_messages(m, items, None)
+    public = m.join(hidden.select("message_id", "masked"), "message_id", "left").select("message_id", F.coalesce("masked", "content").alias("public_text"), text.estimate_tokens(F.col("content")).alias("source_tokens"), text.estimate_tokens(F.coalesce("masked", "content")).alias("public_tokens"))
+    return audit.leakage_report(public, items).select("sensitive_items", "exact_recovered", "pl4_items", "recovery_rate")
+
+
+@_query("""WITH o AS (SELECT DISTINCT user_id % 50 AS fingerprint, event_type AS scope, user_id % 3 AS alias FROM events), p AS (SELECT a.alias = b.alias AS same FROM o a JOIN o b ON a.fingerprint = b.fingerprint AND a.scope < b.scope)
+SELECT count(*) AS cross_scope_pairs, CAST(count(*) FILTER (same) AS BIGINT) AS linked_pairs, CASE WHEN count(*) > 0 THEN count(*) FILTER (same) / count(*) END AS linkability FROM p""")
+def linkability_pairs(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("fingerprint"), F.col("event_type").alias("scope"), (F.col("user_id") % 3).alias("alias"))
+    return audit.linkability(e)
+
+
+@_query(rf"""WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_]+|[^\x00-\x7F]'))) AS t FROM benchmark), p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+|[^\x00-\x7F]')) AS t FROM conversations)
+SELECT count(*) AS answer_tokens, CAST(count(p.t) AS BIGINT) AS public_tokens, count(p.t) / count(*) AS recall FROM (SELECT * FROM q WHERE NOT list_contains({text.STOPWORDS}, t)) q LEFT JOIN p USING (t)""")
+def utility_proxy(spark, sf_dir):
+    q = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.utility_tokens(F.col("text"))).alias("t"))
+    p = _table(spark, sf_dir, "conversations").select(F.explode(text.utility_tokens(F.col("text"))).alias("t")).distinct().withColumn("seen", F.lit(1))
+    both = q.join(p, "t", "left").agg(F.count(F.lit(1)).alias("answer_tokens"), F.count("seen").alias("public_tokens"))
+    return both.withColumn("recall", audit.optional_rate(F.col("public_tokens"), F.col("answer_tokens")))
+
+
+_STRINGS = "strings AS (SELECT page_id AS artifact, 'content' AS path, html AS value FROM pages UNION ALL SELECT item_id, 'evidence', text FROM benchmark)"
+
+
+def _exposures(spark, sf_dir):
+    strings = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact"), F.lit("all").alias("owner"), F.lit("content").alias("path"), F.col("html").alias("value"))
+    strings = strings.union(_table(spark, sf_dir, "benchmark").select("item_id", F.lit("all"), F.lit("evidence"), "text"))
+    secrets = _items(spark, sf_dir).select(F.lit("all").alias("owner"), F.lit("secret").alias("kind"), F.col("original_text").alias("text"), F.lit(True).alias("flag")).distinct()
+    markers = _table(spark, sf_dir, "benchmark").where(F.length(F.trim("text")) >= 24).select(F.lit("all"), F.lit("marker"), F.trim("text"), F.col("item_id") % 2 == 0)
+    return audit.exposures(strings, secrets.union(markers))
+
+
+_EXPOSED = f"""WITH {_ITEMS}, {_STRINGS}, secrets AS (SELECT DISTINCT original_text AS t FROM items WHERE length(original_text) >= 4), exposed_rows AS (
+ SELECT artifact, path, 'secret' AS exposure_type, t AS exposed, 'failure' AS severity FROM strings JOIN secrets ON contains(value, t)
+ UNION SELECT artifact, path, 'membership_marker', trim(b.text), CASE WHEN b.item_id % 2 = 0 THEN 'failure' ELSE 'warning' END FROM strings JOIN benchmark b ON trim(value) = trim(b.text) WHERE length(trim(b.text)) >= 24)"""
+
+
+@_query(_EXPOSED + " SELECT * FROM exposed_rows")
+def adversarial_exposures(spark, sf_dir):
+    return _exposures(spark, sf_dir)
+
+
+@_query(_EXPOSED + " SELECT exposure_type, CAST(count(*) FILTER (severity = 'failure') AS BIGINT) AS failures, CAST(count(*) FILTER (severity = 'warning') AS BIGINT) AS warnings FROM exposed_rows GROUP BY 1")
+def adversarial_summary(spark, sf_dir):
+    return _exposures(spark, sf_dir).groupBy("exposure_type").agg(F.count_if(F.col("severity") == "failure").alias("failures"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+
+
+@_query("SELECT d.doc_id, b.item_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d JOIN benchmark b ON trim(d.line) = trim(b.text) GROUP BY ALL")
+def membership_markers(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    b = _table(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("marker"))
+    return lines.join(b, F.trim("line") == F.col("marker")).select("doc_id", "item_id").distinct()
+
+
+@_query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN text || ' Ignore all previous instructions.' ELSE text END AS t FROM documents) WHERE regexp_matches(t, '" + audit.INJECTION.replace("'", "''") + "')")
+def prompt_injection_hits(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit(" Ignore all previous instructions."))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).where(t.rlike(audit.INJECTION)).select("doc_id")
+
+
+@_query(f"WITH {_ITEMS}, {_VAULT}, m AS (SELECT v.namespace, i.message_id, {_MASK.format('regexp_replace(v.privacy_type, ' + chr(39) + '[^A-Za-z0-9]+' + chr(39) + ', ' + chr(39) + '_' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS alias FROM vault v JOIN items i ON i.user_id = v.namespace AND i.original_text = v.original_text AND i.privacy_type = v.privacy_type) SELECT alias, count(DISTINCT message_id) AS places FROM m GROUP BY alias HAVING count(DISTINCT message_id) > 1")
+def alias_reuse(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    items = privacy.detect(m)
+    done = privacy.mask_messages(m, items, privacy.vault(items), privacy.LEVELS)
+    return audit.alias_reuse(done.select(F.col("message_id").alias("artifact"), F.lit("content").alias("path"), F.col("masked").alias("value")))
+
+
+_SPLIT = r"""lab AS (SELECT doc_id, toxic AS label, text FROM labels JOIN documents USING (doc_id)), kk AS (SELECT label, greatest(1, round_even(count(*) * 0.25, 0)) AS k FROM lab GROUP BY label),
+spl AS (SELECT lab.*, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC) <= k AS test FROM lab JOIN kk USING (label)),
+tok AS (SELECT doc_id, label, test, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+|[0-9]{2,}|[一-鿿]+')) AS token FROM spl),
+cnt AS (SELECT token, CAST(count(*) FILTER (label = 0) AS BIGINT) AS n0, CAST(count(*) FILTER (label = 1) AS BIGINT) AS n1 FROM tok WHERE NOT test GROUP BY token)"""
+_NB = (
+    _SPLIT
+    + """, tot AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM cnt), pri AS (SELECT count(*) FILTER (label = 0) AS d0, count(*) FILTER (label = 1) AS d1 FROM spl WHERE NOT test),
+sc AS (SELECT s.doc_id, s.label, ln((d0 + 1.0) / (d0 + d1 + 2.0)) + coalesce(sum(c * ln((coalesce(n0, 0) + 1)::DOUBLE / (t0 + v))), 0) AS l0, ln((d1 + 1.0) / (d0 + d1 + 2.0)) + coalesce(sum(c * ln((coalesce(n1, 0) + 1)::DOUBLE / (t1 + v))), 0) AS l1
+ FROM (SELECT doc_id, label FROM spl WHERE test) s LEFT JOIN (SELECT doc_id, token, count(*) AS c FROM tok WHERE test GROUP BY ALL) w USING (doc_id) LEFT JOIN cnt USING (token), tot, pri GROUP BY s.doc_id, s.label, d0, d1),
+nb AS (SELECT doc_id, label, 1 / (1 + exp(least(l0 - l1, 700))) AS score FROM sc)"""
+)
+
+
+def _split(spark, sf_dir):
+    x = _table(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return audit.split_last(x.select("doc_id", F.col("toxic").alias("label"), "text"), 0.25)
+
+
+@_query(f"WITH {_SPLIT} SELECT * FROM cnt")
+def nb_token_counts(spark, sf_dir):
+    return audit.token_counts(_split(spark, sf_dir).where(~F.col("test")))
+
+
+@_query(f"WITH {_NB} SELECT doc_id, label, round(score, 6) AS score FROM nb")
+def nb_scores(spark, sf_dir):
+    return audit.naive_bayes(_split(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@_query(f"WITH {_NB}, r AS (SELECT round(score, 6) AS score, label FROM nb), pn AS (SELECT sum((a.score > b.score)::INT + 0.5 * (a.score = b.score)::INT) AS w, count(*) AS n FROM r a JOIN r b ON a.label = 1 AND b.label = 0) SELECT CAST((SELECT count(*) FROM r WHERE label = 1) AS BIGINT) AS positives, CAST((SELECT count(*) FROM r WHERE label = 0) AS BIGINT) AS negatives, round(w::DOUBLE / n, 9) AS auc FROM pn")
+def attack_auc(spark, sf_dir):
+    s = audit.naive_bayes(_split(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return audit.auc(s).withColumn("auc", F.round("auc", 9))
+
+
+@_query(f"WITH {_SPLIT}, tot AS (SELECT sum(n0) AS t0, sum(n1) AS t1, count(*) AS v FROM cnt) SELECT token, round(ln((n1 + 1)::DOUBLE / (t1 + v)) - ln((n0 + 1)::DOUBLE / (t0 + v)), 9) AS log_odds FROM cnt, tot ORDER BY log_odds DESC, token DESC LIMIT 20")
+def top_positive_tokens(spark, sf_dir):
+    c = audit.token_counts(_split(spark, sf_dir).where(~F.col("test")))
+    t = c.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count(F.lit(1)).alias("v"))
+    odds = F.round(F.ln((F.col("n1") + 1.0) / (F.col("t1") + F.col("v"))) - F.ln((F.col("n0") + 1.0) / (F.col("t0") + F.col("v"))), 9)
+    return c.join(t, F.lit(True), "cross").select("token", odds.alias("log_odds")).orderBy(F.desc("log_odds"), F.desc("token")).limit(20)
+
+
+@_query(r"""WITH p AS (SELECT a.c_custkey AS pair_id, a.c_name || ' ' || a.c_mktsegment || ' of ' || n.n_name AS a, n.n_name || ' ' || a.c_mktsegment || ' of ' || n.n_name AS b FROM customer a JOIN nation n ON a.c_nationkey = n.n_nationkey),
+t AS (SELECT pair_id, regexp_extract_all(a, '[^\s]+') AS x, regexp_extract_all(b, '[^\s]+') AS y FROM p),
+s AS (SELECT pair_id, len(x) + len(y) AS n, x, y, unnest(range(1, len(x) + 1)) AS i FROM t), s2 AS (SELECT *, unnest(range(i, len(x) + 1)) AS e FROM s),
+o AS (SELECT pair_id, n, max(CASE WHEN contains(' ' || array_to_string(y, ' ') || ' ', ' ' || array_to_string(x[i:e], ' ') || ' ') THEN e - i + 1 ELSE 0 END) AS overlap FROM s2 GROUP BY ALL)
+SELECT pair_id, CAST(overlap AS BIGINT) AS overlap, CASE WHEN overlap > 0 THEN 2.0 * overlap / n ELSE 0.0 END::DOUBLE AS f1 FROM o""")
+def lcs_token_f1(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    tail = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" of "), F.col("n_name"))
+    p = c.select(F.col("c_custkey").alias("pair_id"), F.concat("c_name", tail).alias("a"), F.concat("n_name", tail).alias("b"))
+    o = p.join(scoring.longest_common_run(p), "pair_id")
+    sizes = F.size(text.mixed_tokenize(F.col("a"))), F.size(text.mixed_tokenize(F.col("b")))
+    return o.select("pair_id", F.col("overlap").cast("long").alias("overlap"), scoring.f1(F.col("overlap"), *sizes).alias("f1"))
+
+
+@_query()
+def extractor_prf(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    items = privacy.detect(m)
+    as_list = lambda d, name: d.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("original_text", "privacy_type", "privacy_level"))).alias(name))
+    rows = m.join(as_list(items.where("pos % 3 <> 2"), "predicted"), "message_id", "left").join(as_list(items, "reference"), "message_id", "left")
+    return scoring.evaluate(rows.where(F.col("reference").isNotNull()))
+
+
+_RUNS = """runs AS (SELECT CAST(s_suppkey AS BIGINT) AS max_public_tokens, s_suppkey % 7 <> 0 AS audit_passed, s_suppkey % 11 <> 0 AS cloud_audit_passed, CAST(NULL AS BOOLEAN) AS adversarial_passed, CASE WHEN s_suppkey % 13 = 0 THEN 0.1 ELSE 0.0 END::DOUBLE AS exact_recovery_rate, 0.0::DOUBLE AS pl4_public_retention_rate, CAST(s_suppkey % 17 = 0 AS BIGINT) AS adversarial_failure_count, (s_nationkey / 25)::DOUBLE AS utility, (s_suppkey % 10 / 10)::DOUBLE AS local, CAST(s_suppkey * 31 % 101 AS BIGINT) AS public_token_count FROM supplier),
+gated AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT audit_passed THEN 'builtin_audit_failed' END, CASE WHEN NOT cloud_audit_passed THEN 'cloud_audit_failed' END, CASE WHEN exact_recovery_rate > 0 THEN 'exact_recovery_over_budget' END, CASE WHEN adversarial_failure_count > 0 THEN 'adversarial_failures_present' END], lambda x: x IS NOT NULL), ',') AS failed FROM runs)"""
+
+
+def _runs(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(k.cast("long").alias("max_public_tokens"), (k % 7 != 0).alias("audit_passed"), (k % 11 != 0).alias("cloud_audit_passed"), F.lit(None).cast("boolean").alias("adversarial_passed"), F.when(k % 13 == 0, 0.1).otherwise(0.0).alias("exact_recovery_rate"), F.lit(0.0).alias("pl4_public_retention_rate"), (k % 17 == 0).cast("long").alias("adversarial_failure_count"), (F.col("s_nationkey") / 25).alias("utility"), (k % 10 / 10).alias("local"), (k * 31 % 101).cast("long").alias("public_token_count"))
+
+
+@_query(f"WITH {_RUNS} SELECT max_public_tokens, failed FROM gated")
+def budget_gates(spark, sf_dir):
+    return dialogue.gates(_runs(spark, sf_dir)).select("max_public_tokens", "failed")
+
+
+@_query(f"WITH {_RUNS} SELECT max_public_tokens, utility, local, public_token_count FROM gated a WHERE NOT EXISTS (SELECT 1 FROM gated b WHERE b.utility >= a.utility AND b.local >= a.local AND b.public_token_count <= a.public_token_count AND (b.utility > a.utility OR b.local > a.local OR b.public_token_count < a.public_token_count))")
+def pareto_frontier(spark, sf_dir):
+    return dialogue.pareto(_runs(spark, sf_dir)).select("max_public_tokens", "utility", "local", "public_token_count")
+
+
+@_query(f"WITH {_RUNS}, ok AS (SELECT * FROM gated WHERE failed = '') SELECT (SELECT min(max_public_tokens) FROM ok) AS smallest, (SELECT max_public_tokens FROM ok ORDER BY utility DESC, local DESC, public_token_count, max_public_tokens LIMIT 1) AS best, (SELECT count(*) FROM ok) AS eligible")
+def recommend_budget(spark, sf_dir):
+    return dialogue.recommend(_runs(spark, sf_dir))
+
+
+@_query(f"WITH {_TYPES}, {_CANDIDATES}, b AS (SELECT unnest([1, 2, 4, 8]) AS budget) SELECT CAST(budget AS BIGINT) AS budget, privacy_type, max(c.text) AS text FROM b LEFT JOIN cand ON c.utility >= 0.75 AND c.leakage <= 0.35 AND greatest(1, {_TOKENS.format('c.text')}) <= budget WHERE privacy_type IS NOT NULL GROUP BY ALL")
+def budget_sweep(spark, sf_dir):
+    b = spark.createDataFrame([(1,), (2,), (4,), (8,)], "budget long")
+    c = _types(spark).select("privacy_type", F.explode(privacy.candidates(F.col("privacy_type"), F.lit(False))).alias("c")).select("privacy_type", "c.*").where("utility >= 0.75 and leakage <= 0.35")
+    return c.join(F.broadcast(b), text.estimate_tokens(F.col("text"), 1) <= F.col("budget")).groupBy("budget", "privacy_type").agg(F.max("text").alias("text"))
+
+
+@_query("WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) SELECT conv_id, CAST(k // 2 AS BIGINT) AS pair, max(CASE WHEN k % 2 = 0 THEN text END) AS first, max(CASE WHEN k % 2 = 1 THEN text END) AS second, CAST(k // 4 AS BIGINT) AS chunk FROM t GROUP BY conv_id, k // 2, k // 4")
+def chunk_turns(spark, sf_dir):
+    return dialogue.chunk_turns(_table(spark, sf_dir, "conversations"), 2)
+
+
+@_query("SELECT conv_id, turn, CAST(turn // 4 AS BIGINT) AS session_id, CAST(turn // 2 AS BIGINT) AS task_id FROM conversations")
+def session_task_buckets(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").withColumn("message_index", F.col("turn"))
+    return dialogue.buckets(c, 4, 2).select("conv_id", "turn", "session_id", "task_id")
+
+
+@_query("SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), '|') AS context FROM conversations")
+def neighbour_context(spark, sf_dir):
+    return dialogue.neighbours(_table(spark, sf_dir, "conversations"))
+
+
+@_query("SELECT coalesce(nullif(event_type, ''), 'Unknown') AS question_type, count(*) AS total, CAST(sum((event_id % 3 = 0)::INT) AS BIGINT) AS correct, round(avg((event_id % 3 = 0)::INT), 9) AS accuracy FROM events GROUP BY 1")
+def qa_summary_by_type(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").withColumn("ok", (F.col("event_id") % 3 == 0).cast("int"))
+    return e.groupBy(F.coalesce(F.nullif("event_type", F.lit("")), F.lit("Unknown")).alias("question_type")).agg(F.count(F.lit(1)).alias("total"), F.sum("ok").alias("correct"), F.round(F.avg("ok"), 9).alias("accuracy"))
+
+
+@_query("SELECT label, count(*) AS n, sum(CASE label WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, CAST(count(*) FILTER (label <> 'none') AS BIGINT) AS valid FROM (SELECT ['correct', 'partial', 'wrong', 'none'][event_id % 4 + 1] AS label FROM events) GROUP BY label")
+def judge_scores(spark, sf_dir):
+    label = F.element_at(F.array(*map(F.lit, ("correct", "partial", "wrong", "none"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = _table(spark, sf_dir, "events").select(label.alias("label"))
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") == "correct", 1.0).when(F.col("label") == "partial", 0.5).otherwise(0.0)).alias("score"), F.count_if(F.col("label") != "none").alias("valid"))
+
+
+@_query("WITH p AS (SELECT q.vec_id AS query_id, m.vec_id, round(list_cosine_similarity(m.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings m ON q.vec_id < 20 AND m.vec_id <> q.vec_id) SELECT query_id, vec_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 20")
+def memory_topk(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return dialogue.top_k(e, q, 20)
+
+
+@_query(f"""WITH {_TYPES}, {_CANDIDATES}, d AS (SELECT privacy_type, 'PL' || (2 + n % 3) AS privacy_level, c.text AS text, c.utility AS utility, c.leakage AS leakage, c.specificity + n AS specificity, c.representation AS representation FROM cand, range(5) t(n) WHERE c.specificity >= 0)
+SELECT privacy_type, privacy_level, text, round(avg(utility), 9) AS utility, round(avg(leakage), 9) AS leakage, CAST(round_even(avg(specificity), 0) AS BIGINT) AS abstraction_level, count(*) AS support, max(representation) AS representation FROM d GROUP BY 1, 2, 3""")
+def distill_templates(spark, sf_dir):
+    c = _types(spark).select("privacy_type", F.explode(privacy.candidates(F.col("privacy_type"), F.lit(False))).alias("c")).select("privacy_type", "c.*")
+    n = spark.range(5)
+    x = c.join(F.broadcast(n), F.lit(True), "cross").select("privacy_type", F.concat(F.lit("PL"), (2 + F.col("id") % 3).cast("string")).alias("privacy_level"), "text", "utility", "leakage", (F.col("specificity") + F.col("id")).alias("specificity"), "representation")
+    return dialogue.distill(x).withColumns({"utility": F.round("utility", 9), "leakage": F.round("leakage", 9)})
+
+
+@_query("SELECT quality AS label, count(*) AS n, round(avg(n_chars), 9) AS mean_chars FROM labels JOIN documents USING (doc_id) GROUP BY quality")
+def fit_selector_weights(spark, sf_dir):
+    x = _table(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "n_chars"), "doc_id")
+    return x.groupBy(F.col("quality").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 9).alias("mean_chars"))
+
+
+@_query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) % 4 AS INTEGER) AS shard FROM customer")
+def round_robin_shards(spark, sf_dir):
+    return round_robin(_table(spark, sf_dir, "customer"), "c_custkey", 4).select("c_custkey", "shard")
+
+
+@_query(f"WITH {_ITEMS}, p AS (SELECT user_id, message_id, {_HMAC} AS cloud_id FROM items) SELECT user_id, list_sort(list(DISTINCT cloud_id)) AS cloud_ids FROM p WHERE message_id % 2 = 0 GROUP BY user_id")
+def provenance_revoke(spark, sf_dir):
+    p = _items(spark, sf_dir).select("user_id", "message_id", F.lit(None).cast("string").alias("revocation_reason"), text.hmac_sha256(privacy.TEST_KEY, F.concat_ws("\0", "user_id", "original_text")).alias("cloud_id"))
+    done = dialogue.revoke(p, F.col("user_id"), F.col("message_id") % 2 == 0, "asked").where("revocation_reason = 'asked'")
+    return done.groupBy("user_id").agg(F.array_sort(F.collect_set("cloud_id")).alias("cloud_ids"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return compile_public_memory(spark, sf_dir)
