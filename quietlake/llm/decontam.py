@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from .common import only, read_table
 
 WINDOW, STRIDE = 64, 32
-#: An item's words of least document frequency: so many stand for it in the space, and so many as its answer where none is given.
-SPACE_WORDS, RAREST = 12, 8
+#: So many of an item's words, those of least document frequency, stand for it in the space, and as its answer where none is given.
+RAREST = 8
 #: Benchmark items of a round; each round searches all documents.
 BLOCK_ITEMS = 256
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.3, 0.6, 0.5
-_OVERSAMPLE = 64
+_OVERSAMPLE = 16
 _FIXED = float(1 << 24)
 #: ASCII bytes other than letters and digits part words; so do Unicode's general punctuation and no-break spaces.
 _FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -210,7 +210,7 @@ def fit(rows: DataFrame, items: list[tuple]) -> Space:
     every = sorted({w for _, own, _ in items for w in own})
     df, n = document_frequencies(rows, {w: i for i, w in enumerate(every)})
     rarity = dict(zip(every, df.tolist(), strict=True))
-    known = sorted({w for _, own, answer in items for w in (*sorted(set(own), key=lambda w: (rarity[w], w))[:SPACE_WORDS], *(answer or ()))})
+    known = sorted({w for _, own, answer in items for w in (*sorted(set(own), key=lambda w: (rarity[w], w))[:RAREST], *(answer or ()))})
     ids = {w: i for i, w in enumerate(known)}
     idf = np.log((1 + n) / (1 + np.array([rarity.get(w, 0) for w in known]))) + 1
     full = [(key, own, answer or sorted(set(own), key=lambda w: (rarity[w], w))[:RAREST]) for key, own, answer in items]
@@ -293,7 +293,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 
     Whole texts are searched, in windows of 64 words. ``answer`` names a benchmark column with answers; without it an
     item's rarest words serve. The benchmark is read in blocks of ``block_items``, each searched against all
-    documents; the driver holds one block. Null or wordless texts and items match nothing; an empty benchmark or
+    documents; the driver holds one block. Null or wordless texts and items of fewer than two different words match nothing; an empty benchmark or
     table gives no rows. Repeated rows and null ids each give their own rows; further columns are ignored.
     """
     rows = only(documents, doc_id=doc_id, text=text)
