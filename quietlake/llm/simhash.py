@@ -7,6 +7,7 @@ around each of its segments, fetches what the segment table holds there, and ver
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,17 +46,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer; one row per input row, no shuffle."""
+    """doc_id, fp (the fingerprint as a signed 64-bit integer) and the text's MD5; one row per input row, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            fp = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
+            digests = [hashlib.md5((t or "").encode("utf-8", "replace")).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(digests, pa.binary())], names=["doc_id", "fp", "digest"])
 
     rows = only(documents, doc_id=doc_id, text=text)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, digest binary")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def group(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: the smallest document id reachable over links of at most two bits.
+    """doc_id, fp, digest, component_id (the smallest document id reachable over links of at most two bits), component_fp.
 
     Fingerprints are reduced to different ones before any search, so copies cost nothing. Null and
     wordless texts have fingerprint zero and are linked like any other. Null ids get a component as well but
@@ -105,21 +108,23 @@ def group(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str =
     parts = components(links(nodes.select("fp")))
     linked = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     least = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("root").alias("least"))
-    names = linked.join(least, "component", "left").select("fp", F.coalesce("least", "root").alias("component_id"))
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = linked.join(least, "component", "left").select("fp", F.coalesce("least", "root").alias("component_id"), F.coalesce("component", "fp").alias("component_fp"))
+    return fps.join(names, "fp").select("doc_id", "fp", "digest", "component_id", "component_fp")
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows, all columns, less all but one document of each group.
 
-    The document with the group's smallest id stays. Where rows share that id, the one with the smallest text does; rows
+    The document with the group's smallest id stays. Where rows share that id, the one whose text has the smallest MD5 does; rows
     without id stay only in groups without any id, once for each text.
     """
-    winners = group(documents, shingle, seed, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("winner")).distinct()
-    rows = documents.select(F.struct("*").alias("row"), documents[f"`{doc_id}`"].alias("id"), documents[f"`{text}`"].alias("body"))
-    rows = rows.join(winners, F.col("id").eqNullSafe(F.col("winner")), "left_semi")
-    one = Window.partitionBy("id", F.when(F.col("id").isNull(), F.md5(F.coalesce("body", F.lit(""))))).orderBy(F.col("body").asc_nulls_first())
-    return rows.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
+    own = group(documents, shingle, seed, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    name = lambda key, digest: F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.lit(":"), F.hex(digest))
+    best = own.groupBy("component_fp").agg(F.min("digest").alias("digest"), F.min("doc_id").alias("doc_id"))
+    winners = best.select(name(F.col("doc_id"), F.col("digest")).alias("name"))
+    digest = F.unhex(F.md5(F.coalesce(documents[f"`{text}`"], F.lit("")).cast("binary")))
+    rows = documents.select(F.struct("*").alias("row"), name(documents[f"`{doc_id}`"], digest).alias("name")).join(winners, "name", "left_semi")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("name"))).where("n = 1").select("row.*")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
