@@ -32,9 +32,13 @@ def normalize_public_text(text: Column) -> Column:
 def split_units(text: Column, by_line: bool = True) -> Column:
     """Sentences with their closing quotes; without ``by_line`` a stretch that meets a line end before a terminator is lost."""
     pattern = F.lit("(?dU).+?(?:[.!?。！？；;]+[\"'”’]*|$)(?:\\s+|$)")
-    lines = F.split(text, "\r\n|[\n\r\\x0B\f\\x1C-\\x1E\\x85\\u2028\\u2029]") if by_line else F.array(text)
-    units = F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, pattern, F.lit(0)), lambda u: F.regexp_replace(u, _STRIP, ""))))
-    return F.filter(units, lambda u: u != "")
+    ends = "[.!?。！？；;][\"'”’]*$"
+    of = lambda x: F.filter(F.transform(F.regexp_extract_all(x, pattern, F.lit(0)), lambda u: F.regexp_replace(u, _STRIP, "")), lambda u: u != "")
+    if by_line:
+        return F.flatten(F.transform(F.split(text, "\r\n|[\n\r\\x0B\f\\x1C-\\x1E\\x85\\u2028\\u2029]"), of))
+    # Line by line as well, since one pattern over the whole text would try every place of a lost stretch anew.
+    whole = lambda units, last: F.when(last | (F.size(units) == 0) | F.element_at(units, F.greatest(F.size(units), F.lit(1))).rlike(ends), units).otherwise(F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))))
+    return let(F.split(text, "\n"), lambda lines: F.flatten(F.transform(lines, lambda x, i: let(of(x), lambda units: whole(units, i == F.size(lines) - 1)))))
 
 
 def utility_tokens(text: Column) -> Column:

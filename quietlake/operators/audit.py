@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quietlake.functions.text import attack_tokens
+from quietlake.functions.spans import occurrences
+from quietlake.functions.text import attack_tokens, has_boundary
+from quietlake.operators.privacy import contains_join
 
 #: Fixed value: phrases of an injected prompt.
 INJECTION = r"(?i)(?:^|[^\p{L}\p{N}_])(?:ignore (?:all )?(?:previous|prior) instructions|reveal (?:the )?(?:system|developer) prompt|system prompt|developer message|exfiltrate|bypass (?:the )?(?:policy|safety)|send .*secret|dump .*memory)(?:[^\p{L}\p{N}_]|$)"
@@ -57,16 +59,16 @@ def linkability(observations: DataFrame) -> DataFrame:
 def exposures(strings: DataFrame, secrets: DataFrame) -> DataFrame:
     """``strings``: artifact, owner, path, value; ``secrets``: owner, kind (secret, identifier, marker, canary, term), text, flag.
 
-    Every detector is an equi-join on the owner with its own predicate, so one user's secrets meet only that user's strings; markers join
-    on the whole text.
+    Secrets, identifiers and canaries are found by an equi-join on the owner and a run of the secret, so one user's secrets meet only
+    candidates among that user's strings; markers join on the whole text.
     """
     place = F.lower("path")
     semantic = F.lit(False)
     for part in SEMANTIC:
         semantic = semantic | place.contains(part)
-    both = strings.join(secrets.where("kind in ('secret', 'identifier', 'canary')"), "owner")
-    long_enough = F.length("text") >= 4
-    hit = both.where(F.when(F.col("kind") == "secret", semantic & long_enough & F.col("value").contains(F.col("text"))).otherwise(F.col("value").contains(F.col("text"))))
+    both = contains_join(strings, secrets.where("kind in ('secret', 'identifier', 'canary')"), "owner", ["artifact", "path"], "value", "text")
+    alone = F.exists(occurrences(F.col("value"), F.col("text")), lambda s: has_boundary(F.col("value"), s, F.length("text")))
+    hit = both.where(F.when(F.col("kind") == "secret", semantic & ((F.length("text") >= 4) | alone)).otherwise(F.lit(True)))
     found = hit.select("artifact", "path", F.col("kind").alias("exposure_type"), F.col("text").alias("exposed"), F.lit("failure").alias("severity"))
     markers = strings.join(secrets.where("kind = 'marker'").select(F.col("text").alias("marker"), "flag").distinct(), F.trim("value") == F.col("marker"))
     found = found.unionByName(markers.select("artifact", "path", F.lit("membership_marker").alias("exposure_type"), F.col("marker").alias("exposed"), F.when(F.col("flag"), "failure").otherwise("warning").alias("severity")))

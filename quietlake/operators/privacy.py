@@ -64,22 +64,26 @@ def known_items(items: DataFrame) -> DataFrame:
     return items.select("user_id", "original_text", "privacy_type", "privacy_level").distinct()
 
 
-def propagate(known: DataFrame, messages: DataFrame) -> DataFrame:
-    """Known values of a user in all of that user's messages.
+def contains_join(texts: DataFrame, needles: DataFrame, on: str, keys: list[str], value: str, needle: str) -> DataFrame:
+    """Pairs with equal ``on`` where ``needle`` stands in ``value``; ``keys`` name a row of ``texts``.
 
-    A value is looked up by its longest letter-digit run that other characters of the value enclose: wherever the value stands,
-    that run is a whole run of the text, so an equi-join on (user, run) finds all. Values without such
-    a run are matched against the user's messages directly.
+    A needle is looked up by its longest letter-digit run that other characters of the needle enclose: wherever the needle stands,
+    that run is a whole run of the text, so an equi-join on (on, run) finds all. Only candidates meet
+    their texts again. Needles without such a run are matched against the texts of their ``on`` directly.
     """
-    inner = F.regexp_extract_all("original_text", F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), F.lit(0))
-    longest = F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    keyed = known.withColumn("run", longest)
-    runs = messages.select("user_id", "message_id", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("run"))
-    hit = F.col("content").contains(F.col("original_text"))
-    by_run = runs.join(keyed.where("run <> ''"), ["user_id", "run"]).where(hit)
-    direct = messages.join(keyed.where("run = ''"), "user_id").where(hit)
-    out = ["message_id", "user_id", "original_text", "privacy_type", "privacy_level"]
-    return by_run.select(out).union(direct.select(out)).distinct()
+    inner = F.regexp_extract_all(needle, F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), F.lit(0))
+    keyed = needles.withColumn("run", F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
+    runs = texts.select(on, *keys, F.explode(F.array_distinct(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("run"))
+    near = runs.join(keyed.where("run <> ''"), [on, "run"]).drop("run")
+    hit = F.col(value).contains(F.col(needle))
+    by_run = texts.join(near, [on, *keys]).where(hit)
+    return by_run.unionByName(texts.join(keyed.where("run = ''").drop("run"), on).where(hit))
+
+
+def propagate(known: DataFrame, messages: DataFrame) -> DataFrame:
+    """Known values of a user in all of that user's messages."""
+    found = contains_join(messages.select("user_id", "message_id", "content"), known, "user_id", ["message_id"], "content", "original_text")
+    return found.select("message_id", "user_id", "original_text", "privacy_type", "privacy_level").distinct()
 
 
 def vault(items: DataFrame, key: bytes = TEST_KEY, typed: bool = True) -> DataFrame:

@@ -56,5 +56,6 @@ def residual_terms(items: DataFrame) -> DataFrame:
 def scrub_residual(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Drops every sentence that holds one of the user's terms. ``rows``: message_id, user_id, text."""
     joined = rows.join(terms, "user_id", "left")
-    kept = F.filter(split_units(F.col("text"), by_line=False), lambda u: ~F.exists(F.col("terms"), lambda t: u.contains(t)))
+    here = F.filter("terms", lambda t: F.col("text").contains(t))
+    kept = let(here, lambda own: F.filter(split_units(F.col("text"), by_line=False), lambda u: ~F.exists(own, lambda t: u.contains(t))))
     return joined.select("message_id", F.when(F.col("terms").isNull() | (F.col("text") == ""), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
