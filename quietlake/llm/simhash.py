@@ -81,16 +81,17 @@ def links(fps: DataFrame) -> DataFrame:
     ``fps`` has distinct values in column fp. Buckets of up to ``BUCKET`` members are verified pair by
     pair. What probes a larger bucket is linked exactly without pairs: two values are within two bits
     just if some value is within one bit of both, so each lists its 65 values of the full ball of radius one, and
-    all that list the same value, 65 at most, are linked to the smallest of them.
+    all that list the same value, 65 at most, are linked to the smallest of them. Both sides of the joins grow with
+    the corpus, so they are merge joins at every size.
     """
     table = _segments(fps)
     sizes = table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n"))
     probes = _probes(table)
-    matched = probes.join(sizes, ["seg", "val"])
+    matched = probes.join(sizes.hint("merge"), ["seg", "val"])
     hot = matched.where(F.col("n") > BUCKET).select("fp").distinct()
     cold = matched.where(F.col("n") <= BUCKET).select("seg", "val", F.col("fp").alias("a"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = cold.join(table.select("seg", "val", F.col("fp").alias("b")), ["seg", "val"]).where((F.col("a") != F.col("b")) & (far <= 2)).select("a", "b")
+    pairs = cold.join(table.select("seg", "val", F.col("fp").alias("b")).hint("merge"), ["seg", "val"]).where((F.col("a") != F.col("b")) & (far <= 2)).select("a", "b")
     ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     near = hot.select("fp", F.explode(ball).alias("mid")).withColumn("least", F.min("fp").over(Window.partitionBy("mid")))
     return pairs.union(near.where(F.col("fp") != F.col("least")).select("fp", "least"))
@@ -109,7 +110,7 @@ def group(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str =
     linked = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     least = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("root").alias("least"))
     names = linked.join(least, "component", "left").select("fp", F.coalesce("least", "root").alias("component_id"), F.coalesce("component", "fp").alias("component_fp"))
-    return fps.join(names, "fp").select("doc_id", "fp", "digest", "component_id", "component_fp")
+    return fps.join(names.hint("merge"), "fp").select("doc_id", "fp", "digest", "component_id", "component_fp")
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
