@@ -113,21 +113,26 @@ def group(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str =
     return fps.join(names.hint("merge"), "fp").select("doc_id", "fp", "digest", "component_id", "component_fp")
 
 
-def keep_one(documents: DataFrame, shingle: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows, all columns, less all but one document of each group.
+def one_each(documents: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input's rows, all columns, less all but one document of each group; ``groups`` has doc_id, digest, component_id, component.
 
     The document with the group's smallest id stays. Where rows share that id, the one whose text has the smallest MD5 does; rows
-    without id stay only in groups without any id, once for each text.
+    without id stay only in groups without any id, once for each group.
     """
-    own = group(documents, shingle, seed, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     name = lambda key, digest: F.concat(F.coalesce(key.cast("string"), F.lit("-")), F.lit(":"), F.hex(digest))
-    best = own.groupBy("component_fp").agg(F.min("digest").alias("digest"), F.min("doc_id").alias("doc_id"))
+    best = own.groupBy("component").agg(F.min("digest").alias("digest"), F.min("doc_id").alias("doc_id"))
     winners = best.select(name(F.col("doc_id"), F.col("digest")).alias("name"))
     digest = F.unhex(F.md5(F.coalesce(documents[f"`{text}`"], F.lit("")).cast("binary")))
     rows = documents.select(F.struct("*").alias("row"), name(documents[f"`{doc_id}`"], digest).alias("name")).join(winners, "name", "left_semi")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("name"))).where("n = 1").select("row.*")
 
 
+def keep_one(documents: DataFrame, shingle: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group that ``group`` finds."""
+    return one_each(documents, group(documents, shingle, seed, doc_id, text).withColumnRenamed("component_fp", "component"), doc_id, text)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
