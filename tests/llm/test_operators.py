@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quietlake.llm import common, decontam, graph, langid, licenses, packing, quality, simhash, suffix, tokenbin, tokens, warc
+from quietlake.llm import common, decontam, graph, langid, licenses, packing, quality, similar, simhash, suffix, tokenbin, tokens, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i}" for i in range(4000))
@@ -253,6 +253,49 @@ def test_keep_one_keeps_one_of_each_group(spark, odd, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, None, 4, 6, 8])
 
 
+def brute_similar(texts, similarity):
+    """Smallest index that each text reaches over pairs of shingle sets that are as similar as asked."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode("utf-8", "replace").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket", [1, 16])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    texts = [None, "", " \t", "one two", "One  two", "one three"]
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.choice([60, 200, 700]))
+        texts.append(" ".join(base))
+        for edits in (0, 1, 1, 2, 3, 30):
+            copy = list(base)
+            for _ in range(edits * len(base) // 200 + (edits > 0)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base[: len(base) * 9 // 10]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in similar.group(rows).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_similar(texts, 0.8)
+
+
+def test_similar_keeps_one_of_each_group(odd, empty):
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns and similar.keep_one(empty).count() == 0
+    groups = similar.group(odd)
+    assert kept.count() == groups.select("component").distinct().count()
+
+
 def test_components_of_long_chains(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
