@@ -289,6 +289,27 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, bucket):
     assert [found[i] for i in range(len(texts))] == brute_similar(texts, 0.8)
 
 
+def similar_roots(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in similar.group(rows).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_similar_finds_copies_with_added_blocks(spark):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    texts = []
+    for case in range(90):
+        base = rng.choices(vocabulary, weights, k=1000)
+        block = [f"n{case}x{i}" for i in range((110, 160, 230)[case % 3])]
+        at = (0, rng.randrange(1000), 1000)[case // 3 % 3]
+        texts += [" ".join(base), " ".join(base[:at] + block + base[at:])]
+    expected = brute_similar(texts, 0.8)
+    assert len(set(expected)) == 90
+    assert similar_roots(spark, texts) == expected
+
+
 def test_similar_keeps_one_of_each_group(odd, empty):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns and similar.keep_one(empty).count() == 0
