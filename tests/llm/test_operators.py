@@ -310,6 +310,24 @@ def test_similar_finds_copies_with_added_blocks(spark):
     assert similar_roots(spark, texts) == expected
 
 
+def test_similar_links_members_that_leaders_do_not(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BUCKET", 4)
+    rng = random.Random(9)
+    texts = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(400)]
+        for sub in range(20):
+            own = list(base)
+            for i in rng.sample(range(400), 14):
+                own[i] = f"s{group}x{sub}y{i}"
+            for _ in range(2):
+                copy = list(own)
+                for i in rng.sample(range(400), 4):
+                    copy[i] = f"c{rng.random()}"
+                texts.append(" ".join(copy))
+    assert similar_roots(spark, texts) == brute_similar(texts, 0.8)
+
+
 def test_similar_keeps_one_of_each_group(odd, empty):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns and similar.keep_one(empty).count() == 0
