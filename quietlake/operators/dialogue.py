@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Queries of a search that are broadcast at a time.
+BLOCK = 10_000
+
 GATES = [
     ("builtin_audit_failed", "not coalesce(audit_passed, false)"),
     ("cloud_audit_failed", "not coalesce(cloud_audit_passed, true)"),
@@ -40,12 +45,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(memories: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, vec_id, similarity, rank over all memories, for a stated set of queries that is checked to be small.
+    """query_id, vec_id, similarity, rank over all memories, for any number of queries.
 
-    Queries are broadcast; each task of the memories keeps its own best k of a query before the final ranking.
+    Queries are broadcast in blocks of about ``BLOCK``; each task of the memories keeps its own best k of a query before the final ranking.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("search at most 10,000 queries at a time")
+    blocks = -(-queries.count() // BLOCK)
+    if blocks > 1:
+        at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.union, (_top_k(memories, queries.where(at == i), k) for i in range(blocks)))
+    return _top_k(memories, queries, k)
+
+
+def _top_k(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pairs = memories.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("similarity"))
     order = [F.desc("similarity"), F.asc("vec_id")]
     local = pairs.withColumn("part", F.spark_partition_id()).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)

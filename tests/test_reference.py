@@ -186,3 +186,13 @@ def test_entry_works_without_the_pipeline_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 40, done.stderr
+
+
+def test_search_takes_more_queries_than_a_block(spark):
+    memories = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(3)], "vec_id long, embedding array<float>")
+    queries = spark.range(10, 10_030).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("query"))
+    found = dialogue.top_k(memories, queries, 2)
+    assert found.count() == 2 * 10_020 and found.select("query_id").distinct().count() == 10_020
+    few = queries.where("query_id % 1000 = 10")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "similarity", "rank").collect()))
+    assert key(found.where("query_id % 1000 = 10")) == key(dialogue.top_k(memories, few, 2))
