@@ -7,6 +7,8 @@ into phrases of longest matches; fewer phrases for each character mean less cros
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +19,21 @@ from pyspark.sql import functions as F
 
 from .common import only, read_table
 
-#: Characters of labelled text for each language, and the labelled rows that are looked at for it: the documented
+#: Characters of labelled text for each language, and a quarter of the labelled rows that are looked at for it: the documented
 #: bounds of the sample that models are fitted on.
 SAMPLE_CHARS = 20_000
 SAMPLE_ROWS = 48
-#: Texts are parsed in blocks of so many characters, all blocks of a batch side by side.
+#: Texts are parsed in blocks of so many symbols, all blocks of a batch side by side; the result does not depend on it.
 BLOCK = 256
 
-_PAD, _SPACE, _OTHER, _FIRST = range(4)
+_PAD, _OTHER, _FIRST = range(3)
+_SPACE = 0x20
+
+
+@functools.cache
+def _written_signs() -> np.ndarray:
+    """For every code point whether it is part of written words: a letter, or a mark that letters carry."""
+    return np.array([chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -58,74 +67,98 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return move
 
 
+def symbols(text: str) -> np.ndarray:
+    """UTF-8 bytes of a lower-cased text, every run of anything but letters and their marks as one space, so layout tells nothing."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    points = np.where(_written_signs()[points], points, _SPACE).astype("<u4")
+    space = points == _SPACE
+    if len(points):
+        points = points[np.concatenate(([True], ~(space[1:] & space[:-1])))]
+    return np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
 @dataclass
 class Models:
     """All languages' automata in one table.
 
-    ``table[state * width + code]`` holds the next state times width, doubled, plus 1 where no
-    transition exists and a new phrase begins with this code at the root.
+    The symbols are UTF-8 bytes, so every script has them and no letter is lost. ``codes`` numbers those that a language's sample
+    has; all others share one number. ``table[state + code]`` holds the next state, where states are places in the table, doubled,
+    plus 1 where no transition exists and a new phrase begins with this symbol. A symbol that the sample lacks is a phrase of its own.
     """
 
     langs: list[str]
     roots: np.ndarray
     table: np.ndarray
-    width: int
-    alphabet: np.ndarray
+    codes: np.ndarray
 
     @classmethod
     def fit(cls, texts: dict[str, str]) -> Models:
-        known = sorted({ord(c) for t in texts.values() for c in t.lower() if c.isalpha() and ord(c) < 0x3000})
-        alphabet = np.full(0x3000, _OTHER, np.int32)
-        alphabet[[cp for cp in range(0x3000) if not chr(cp).isalpha()]] = _SPACE
-        alphabet[known] = np.arange(_FIRST, _FIRST + len(known))
-        width = _FIRST + len(known)
-        langs, roots, tables, base = sorted(texts), [], [], 0
+        langs, roots, tables, codes, base = sorted(texts), [], [], [], 0
         for lang in langs:
-            model = cls([], np.empty(0), np.empty(0), width, alphabet)
-            move = suffix_automaton(model.codes(texts[lang]).tolist())
-            n = len(move)
+            own = symbols(texts[lang])
+            known = np.unique(own)
+            code = np.full(256, _OTHER, np.int32)
+            code[known] = np.arange(_FIRST, _FIRST + len(known))
+            width, move = _FIRST + len(known), suffix_automaton(code[own].tolist())
+            n = len(move) + 1
             table = np.full((n, width), -1, np.int64)
             for state, out in enumerate(move):
                 for c, to in out.items():
                     table[state, c] = to
-            root = table[0]
-            again = (np.maximum(root, 0) + base) * width * 2 + 1
-            table = np.where(table >= 0, (table + base) * width * 2, again[None, :])
-            table[:, _PAD] = (np.arange(n) + base) * width * 2
-            roots.append(base * width * 2)
+            between = n - 1
+            again = np.where(table[0] >= 0, table[0], between)
+            table = np.where(table >= 0, (table * width + base) * 2, ((again * width + base) * 2 + 1)[None, :])
+            table[:, _PAD] = (np.arange(n) * width + base) * 2
+            roots.append((between * width + base) * 2)
             tables.append(table.ravel())
-            base += n
-        kind = np.int32 if base * width * 2 < 2**31 else np.int64
-        return cls(langs, np.asarray(roots, kind), np.concatenate(tables).astype(kind) if tables else np.empty(0, kind), width, alphabet)
+            codes.append(code)
+            base += n * width
+        kind = np.int32 if base * 2 < 2**31 else np.int64
+        return cls(langs, np.asarray(roots, kind), np.concatenate(tables).astype(kind) if tables else np.empty(0, kind), np.asarray(codes, kind).reshape(len(langs), 256))
 
-    def codes(self, text: str) -> np.ndarray:
-        """Letters by their place in the alphabet; a run of anything else is one space, so layout tells nothing."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = np.where(points < 0x3000, self.alphabet[np.minimum(points, 0x2FFF)], _OTHER)
-        space = out == _SPACE
-        return out[np.concatenate(([True], ~(space[1:] & space[:-1])))] if len(out) else out
+    def _breaks(self, columns: np.ndarray, first: np.ndarray, root: int) -> np.ndarray:
+        """For every block, one per column, how many phrases begin in it when texts are read from their beginning.
+
+        All blocks are first read as if each began a phrase. Then each is read again from where the block before it really ended, until
+        it meets its first reading, from where on both agree; blocks whose end has changed hand that on.
+        """
+        steps = np.empty(columns.shape, self.table.dtype)
+        state = np.full(columns.shape[1], root, self.table.dtype)
+        for i, column in enumerate(columns):
+            state = steps[i] = self.table[(state >> 1) + column]
+        came = np.full(columns.shape[1], root >> 1, self.table.dtype)
+        while True:
+            want = np.where(first, root >> 1, np.concatenate((came[:1], steps[-1, :-1] >> 1)))
+            at = np.flatnonzero(want != came)
+            if not len(at):
+                return (steps & 1).sum(axis=0)
+            came = want
+            state = want[at] << 1
+            for i, column in enumerate(columns):
+                state = self.table[(state >> 1) + column[at]]
+                other = state >> 1 != steps[i, at] >> 1
+                steps[i, at] = state
+                at, state = at[other], state[other]
+                if not len(at):
+                    break
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text needs under each language, one row per text."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        coded = [self.codes(t) for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [-(-len(c) // BLOCK) for c in coded])
+        coded = [symbols(t) for t in texts]
+        counts = [-(-len(c) // BLOCK) for c in coded]
+        owner = np.repeat(np.arange(len(texts)), counts)
         if not len(owner):
             return out
-        blocks = np.zeros((len(owner), BLOCK), self.table.dtype)
-        at = 0
-        for c in coded:
-            n = -(-len(c) // BLOCK)
+        blocks, filled, at = np.zeros((len(owner), BLOCK), np.uint8), np.zeros((len(owner), BLOCK), bool), 0
+        for c, n in zip(coded, counts, strict=True):
             blocks[at : at + n].ravel()[: len(c)] = c
+            filled[at : at + n].ravel()[: len(c)] = True
             at += n
-        columns = np.ascontiguousarray(blocks.T)
-        for k, root in enumerate(self.roots):
-            state = np.full(len(owner), root, self.table.dtype)
-            ends = np.ones(len(owner), np.int64)
-            for column in columns:
-                state = self.table[(state >> 1) + column]
-                ends += state & 1
-            np.add.at(out[:, k], owner, ends)
+        first = np.concatenate(([True], owner[1:] != owner[:-1]))
+        for k, root in enumerate(self.roots.tolist()):
+            columns = np.ascontiguousarray(np.where(filled, self.codes[k][blocks], _PAD).T)
+            np.add.at(out[:, k], owner, self._breaks(columns, first, root))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -150,11 +183,12 @@ class Models:
 
 
 def sample_texts(labelled: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, str]:
-    """Text for each language from at most ``rows`` different labelled texts, ``chars`` characters in all.
+    """Text for each language: at most ``chars`` characters, from about four times ``rows`` different labelled texts.
 
     Rows are taken in order of a hash, so the sample does not depend on the table's order or partitions.
     A first pass counts labels; the second one reads only rows whose hash falls below a bound that leaves about
-    four times the wanted rows for each language, wherever a hot source may lie.
+    four times ``rows`` of them for each language, wherever a hot source may lie. Null texts and labels are left out; an
+    empty table gives no language.
     """
     texts = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64(F.lit("sample"), "text"))
     counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
@@ -172,7 +206,11 @@ def sample_texts(labelled: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAM
 
 
 def identify(documents: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every whole text; one row per input row, no shuffle. Further columns are ignored."""
+    """doc_id, lang_pred, score of every whole text; one row per input row, no shuffle.
+
+    Texts are read whole, very long ones too. Null texts and texts without a letter are ``und`` with score 0, as is all where no
+    language was learned. Repeated rows and null ids stay as they are; an empty table gives no rows. Further columns are ignored.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
