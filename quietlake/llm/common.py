@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,12 +35,14 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this one process, as in
+    tests, a temporary folder is made and set; a cluster without that setting raises ValueError.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
+        if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = where.rsplit("/", 1)[0] if where else "file://" + tempfile.mkdtemp(prefix="quietlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
@@ -60,6 +63,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(name: str) -> int:
+    """The number at the end of a part's name, to sort parts by; as text, part-100000 would stand before part-99999."""
+    return int(name.rsplit("-", 1)[1])
+
+
 def drop_written(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, new_dir, only, read_table
+from .common import SharedFiles, new_dir, numbered, only, read_table
 from .tokens import chunks, id_encoder, ranks_prove, tokenizer_path
 
 
@@ -31,7 +31,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bp
     """Writes the dataset below ``path`` and returns the manifest's parts.
 
     Documents are range-partitioned and sorted by id before they are encoded, so each is encoded once. The
-    driver gets one row per part. A null text is an empty document; rows with null ids come first; repeated ids stay
+    driver gets one row per part, and parts follow one another by number, of however many digits. A null text is an empty document; rows with null ids come first; repeated ids stay
     together in order of their texts. An empty table gives a manifest without documents.
     """
     spark = documents.sparkSession
@@ -66,7 +66,7 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bp
     rows = only(documents, doc_id=doc_id, text=text)
     ordered = rows.repartitionByRange(*[x for x in [partitions] if x], F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     parts, base = [], 0
-    for row in sorted(ordered.mapInArrow(run, "part string, n_docs long, n_ids long").collect(), key=lambda r: r.part):
+    for row in sorted(ordered.mapInArrow(run, "part string, n_docs long, n_ids long").collect(), key=lambda r: numbered(r.part)):
         parts.append(row.asDict() | {"base": base})
         base += row.n_ids
     SharedFiles(path).write("manifest.json", [json.dumps({"width": width, "parts": parts}).encode()])

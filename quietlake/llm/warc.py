@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, new_dir, only, read_table, written
+from .common import SharedFiles, new_dir, numbered, only, read_table, written
 
 #: Capture lines of a compressed index block.
 BLOCK_LINES = 3000
+#: Bytes of an archive that one task reads back, about.
+READ_BYTES = 4 << 20
 #: Fixed value: the date of all records, so that archives do not depend on the clock.
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -154,7 +156,10 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
 
         name, files, directory = f"index-{TaskContext.get().partitionId():05d}", SharedFiles(path), []
 
+        size = 0
+
         def blocks():
+            nonlocal size
             at, lines = 0, []
 
             def close():
@@ -167,6 +172,7 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
             for batch in batches:
                 for r in batch.to_pylist():
                     lines.append([r["key"], r["page_id"], r["archive"], r["offset"], r["length"]])
+                    size += r["length"]
                     if len(lines) == block_lines:
                         yield close()
             if lines:
@@ -175,11 +181,11 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
         files.write(f"{name}.cdx.gz", blocks())
         files.write(f"{name}.dir", [json.dumps(directory).encode()])
         if directory:
-            yield pa.RecordBatch.from_pydict({"name": [name], "first": [directory[0][0]], "blocks": pa.array([len(directory)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"name": [name], "first": [directory[0][0]], "blocks": pa.array([len(directory)], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
     order = [F.col("key"), F.col("page_id").asc_nulls_first(), F.col("archive"), F.col("offset")]
-    parts = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "name string, first string, blocks long").collect()
-    top = [r.asDict() for r in sorted(parts, key=lambda r: r.name)]
+    parts = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "name string, first string, blocks long, bytes long").collect()
+    top = [r.asDict() for r in sorted(parts, key=lambda r: numbered(r.name))]
     SharedFiles(path).write("index.json", [json.dumps(top).encode()])
     return top
 
@@ -227,8 +233,9 @@ class CaptureIndex:
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Every record that the index names, read from its range of its archive.
 
-    Index files are read block by block in parallel; captures then go to their archives, in order of
-    their places, so each archive is read forward once.
+    Index files are read block by block in parallel; captures then go to stretches of ``READ_BYTES`` of their archives, in order of
+    their places, so each stretch is read forward once. The number of tasks follows from the archives' bytes, which the index's top
+    level has, and is never left to the size of the narrow index lines.
     """
     index = CaptureIndex(path)
     entries = [(t["name"], t["blocks"]) for t in index.top]
@@ -259,7 +266,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
             f.close()
 
     names = spark.createDataFrame(entries, "name string, blocks long").repartition(max(1, len(entries)), "name").select("name")
-    found = names.mapInArrow(lines, "archive string, offset long, length long").repartition("archive").sortWithinPartitions("archive", "offset")
+    tasks = max(-(-sum(t["bytes"] for t in index.top) // READ_BYTES), min(len(entries), spark.sparkContext.defaultParallelism), 1)
+    found = names.mapInArrow(lines, "archive string, offset long, length long").repartition(tasks, "archive", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("archive", "offset")
     return found.mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if payloads else ""))
 
 
