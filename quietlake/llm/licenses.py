@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +62,12 @@ class NoticeFinder:
             for text in texts:
                 k = max_edits(text)
                 number = len(self.patterns)
-                self.patterns.append((label, text, k, regex.compile(f"(?be)({regex.escape(text, literal_spaces=True)}){{e<={k}}}")))
+                self.patterns.append((label, text, k, regex.compile(f"(?e)({regex.escape(text, literal_spaces=True)}){{e<={k}}}")))
                 bounds = [len(text) * i // (k + 1) for i in range(k + 2)]
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     parts.setdefault(text[a:b], []).append((number, a))
+        #: No match is longer.
+        self.longest = max((len(text) + k for _, text, k, _ in self.patterns), default=0)
         for part, places in parts.items():
             self.seeds.add_word(part, (len(part), places))
         self.seeds.make_automaton()
@@ -87,11 +91,12 @@ class NoticeFinder:
             for a, b in own:
                 for m in pattern.finditer(text[a:b]):
                     found.append((sum(m.fuzzy_counts), a + m.start(), a + m.end(), label))
-        kept: list[tuple[str, int, int, int]] = []
+        kept: list[tuple[int, int, int, str]] = []
         for edits, start, end, label in sorted(set(found)):
-            if all(other == label or end <= s or e <= start or edits == least for other, s, e, least in kept):
-                kept.append((label, start, end, edits))
-        return sorted(kept)
+            near = kept[bisect_left(kept, start - self.longest, key=itemgetter(0)) : bisect_left(kept, end, key=itemgetter(0))]
+            if all(other == label or e <= start or edits == least for _, e, least, other in near):
+                insort(kept, (start, end, edits, label))
+        return sorted((label, start, end, edits) for start, end, edits, label in kept)
 
 
 @functools.cache
@@ -108,11 +113,12 @@ def scan(text: str | None) -> dict:
     joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
     base = [(m[1], m.start()) for m in _BASE.finditer(joined)] if "license" in joined else []
     notices = _finder().find(joined)
-    places = [joined.count(" ", 0, at + 1) - 1 for _, at in base]
+    gaps = [m.start() for m in re.finditer(" ", joined)] if base or notices else []
+    places = [bisect_left(gaps, at + 1) - 1 for _, at in base]
     base_labels = sorted({PHRASES[p] for p, _ in base})
     spans, best = [], 1.0 if base else 0.0
     for label, start, end, edits in notices:
-        spans.append((label, joined.count(" ", 0, start + (joined[start] == " ")) - 1, joined.count(" ", 0, end - 1), edits))
+        spans.append((label, bisect_left(gaps, start + (joined[start] == " ")) - 1, bisect_left(gaps, end - 1), edits))
         best = max(best, 1.0 - edits / max(1, end - start))
     return {"n_words": len(words), "n_base": len(base), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(base_labels), "labels": ",".join(sorted({*base_labels, *(s[0] for s in spans)})), "score": best, "spans": [dict(zip(("label", "first", "end", "edits"), s, strict=True)) for s in spans]}
 
@@ -122,7 +128,8 @@ def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     ``spans`` has every verified notice: label, first word, word after the last, and its edits. The score is 1 where a
     base phrase stands, else 1 less the share of edited characters of the best notice, else 0. A null text has no
-    words and empty label lists. Ids may be null or repeated; further columns are ignored. No shuffle.
+    words and empty label lists. Ids may be null or repeated; an empty table gives no rows; very long texts are scanned whole, in time
+    that grows with their length. Further columns are ignored. No shuffle.
     """
     spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
     kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": spans}
