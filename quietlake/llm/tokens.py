@@ -30,6 +30,13 @@ _WORD_PIECES = re.compile(r"[^ \t\n\r]+")
 #: The byte-level pre-tokenizer's pattern, a fixed value of this public family of tokenizers.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The normalizer and pre-tokenizer settings that the patterns above stand for.
+_BYTE_SHAPE = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+_WORD_SHAPE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+)
+
 #: Different pieces that a worker remembers before it starts anew; bounds its memory, not the result.
 CACHE_PIECES = 300_000
 _CHUNK = 256
@@ -49,6 +56,20 @@ def _specials(path: str) -> tuple[dict, re.Pattern | None]:
     return spec | {"special": tokens}, found
 
 
+def _shape(spec: dict) -> str | None:
+    """``byte`` or ``word`` where a tokenizer file has just the settings that the piece patterns were written for, else None. Offsets play no part in ids."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items() if k != "trim_offsets"}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    if spec.get("truncation") or spec.get("padding"):
+        return None
+    found = plain(spec["normalizer"]), plain(spec["pre_tokenizer"])
+    return "byte" if found == _BYTE_SHAPE else "word" if found == _WORD_SHAPE else None
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself where printable, else from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,15 +92,16 @@ def rank_table(spec: dict) -> dict[bytes, int] | None:
 
 @functools.cache
 def ranks_prove(path: str) -> bool:
-    """Whether merging by rank of the joined bytes must give what the vocabulary's list of merges gives.
+    """Whether merging by rank of the joined bytes must give what the tokenizer's pre-tokens and list of merges give.
 
+    The pre-tokens are those of the patterns here only if the file's normalizer and pre-tokenizer are the ones they stand for.
     It must if ids follow the list's order and every listed token is what its own letters merge to. For then, whenever
     two neighbours join to a token, their letters have merged as if that token stood alone, and there the last two
     parts before the end are the listed pair.
     """
     spec, _ = _specials(path)
     model = spec["model"]
-    if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or rank_table(spec) is None:
+    if _shape(spec) is None or model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or rank_table(spec) is None:
         return False
     end, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
     pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
@@ -120,7 +142,8 @@ class IdEncoder:
         self.library = Tokenizer.from_file(path)
         spec, self.found = _specials(path)
         self.special = {k: v.to_bytes(4, "little") for k, v in spec["special"].items()}
-        self.bytes_only = spec["normalizer"] is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
+        self.shape = _shape(spec)
+        self.bytes_only = self.shape == "byte"
         self.merge = None
         if by_rank:
             import tiktoken
@@ -129,6 +152,8 @@ class IdEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[str]:
+        if self.shape is None:
+            return [text]
         if self.bytes_only:
             return _BYTE_PIECES.findall(text)
         if self.merge is not None and not _BEYOND_LATIN(text):
@@ -182,7 +207,7 @@ class WholeTokens:
 
         self.library = Tokenizer.from_file(path)
         spec, self.found = _specials(path)
-        if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel":
+        if _shape(spec) != "byte":
             raise ValueError("the whole-token count needs a byte-level tokenizer without normalizer")
         self.special = spec["special"]
         self.pre_tokens = regex.compile(_PRE_TOKENS.replace("\\s", f"[{_WS}]").replace(f"[^[{_WS}]", f"[^{_WS}").replace("\\S", f"[^{_WS}]")).findall
@@ -234,10 +259,10 @@ def chunks(batches: Iterator[pa.RecordBatch], n: int = _CHUNK) -> Iterator[pa.Re
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, n_whole-token shortcut inside; one row per input row, no shuffle.
+    """doc_id, n_bytes, n_tokens, over_limit; one row per input row, no shuffle.
 
-    A null text counts as empty: no bytes, no tokens. Ids may be null or repeated. Further columns
-    are ignored.
+    A null text counts as empty: no bytes, no tokens. Very long texts are counted whole; an empty table gives no rows. Ids may be
+    null or repeated. Further columns are ignored.
     """
     path = tokenizer_path(tokenizer)
 
