@@ -64,20 +64,69 @@ def known_items(items: DataFrame) -> DataFrame:
     return items.select("user_id", "original_text", "privacy_type", "privacy_level").distinct()
 
 
+#: Needles up to which they are sent to every task; with some 100 characters each they take tens of megabytes. Beyond, an equi-join on runs finds them.
+NEEDLES = 200_000
+
+
 def contains_join(texts: DataFrame, needles: DataFrame, on: str, keys: list[str], value: str, needle: str) -> DataFrame:
-    """Pairs with equal ``on`` where ``needle`` stands in ``value``; ``keys`` name a row of ``texts``.
+    """Pairs with equal ``on`` where ``needle`` stands in ``value``, with all columns of both; ``keys`` name a row of ``texts``. Empty needles and nulls match nothing.
 
-    A needle is looked up by its longest letter-digit run that other characters of the needle enclose: wherever the needle stands,
-    that run is a whole run of the text, so an equi-join on (on, run) finds all. Only candidates meet
-    their texts again. Needles without such a run are matched against the texts of their ``on`` directly.
+    Up to ``NEEDLES`` different needles, counted first, go to all tasks as one automaton that reads each text once: no text is shuffled,
+    whatever owner it has. More are looked up by ``_by_runs``. Either way only the pairs found meet the texts again.
+    """
+    wanted = needles.where((F.col(needle) != "") & F.col(on).isNotNull())
+    few = wanted.select(needle).distinct().limit(NEEDLES + 1).toArrow().column(0).to_pylist()
+    if len(few) > NEEDLES:
+        return _by_runs(texts, wanted, on, keys, value, needle)
+    found = _by_automaton(texts.select(on, *keys, value), few, needle).join(wanted, [on, needle])
+    return texts.join(found, [on, *keys])
+
+
+def _by_automaton(rows: DataFrame, words: list[str], needle: str) -> DataFrame:
+    """The rows less their last column, once for each of the words that stands in it."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        find = ahocorasick.Automaton()
+        for word in shared.value:
+            find.add_word(word, word)
+        find.make_automaton()
+        for batch in batches:
+            at, hits = [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist() if len(find) else []):
+                for word in {w for _, w in find.iter(text)} if text else ():
+                    at.append(i)
+                    hits.append(word)
+            if at:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns[:-1], pa.array(hits)], names=[*batch.schema.names[:-1], needle])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}`{needle}` string")
+
+
+def _by_runs(texts: DataFrame, needles: DataFrame, on: str, keys: list[str], value: str, needle: str) -> DataFrame:
+    """A needle is looked up by one of its letter-digit runs that other characters of the needle enclose, the one that fewest texts have:
+    wherever the needle stands, that run is a whole run of the text, so an equi-join on (on, run) finds all. Needles without such a run are
+    looked up by the first four characters of their longest run, which stand somewhere in a run of the text; those without four in a row are
+    compared with the texts of their ``on``.
     """
-    inner = F.regexp_extract_all(needle, F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), F.lit(0))
-    keyed = needles.withColumn("run", F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)))
+    inner = F.array_distinct(F.regexp_extract_all(needle, F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), F.lit(0)))
+    longest = F.aggregate(F.regexp_extract_all(needle, F.lit("[A-Za-z0-9]{4,}"), F.lit(0)), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     runs = texts.select(on, *keys, F.explode(F.array_distinct(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("run"))
-    near = runs.join(keyed.where("run <> ''"), [on, "run"]).drop("run")
+    choices = needles.select(on, needle, F.explode_outer(inner).alias("run")).distinct()
+    often = runs.join(choices.select(on, "run").distinct(), [on, "run"], "left_semi").groupBy(on, "run").agg(F.count(F.lit(1)).alias("often"))
+    best = choices.join(often, [on, "run"], "left").groupBy(on, needle).agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("o"), F.col("run"))).alias("run"))
+    keyed = needles.join(best, [on, needle]).withColumn("gram", F.when(F.col("run").isNull(), F.left(longest, F.lit(4))))
     hit = F.col(value).contains(F.col(needle))
-    by_run = texts.join(near, [on, *keys]).where(hit)
-    return by_run.unionByName(texts.join(keyed.where("run = ''").drop("run"), on).where(hit))
+    by_run = runs.join(keyed.where("run is not null").drop("gram"), [on, "run"]).drop("run")
+    grams = runs.where(F.length("run") >= 4).select(on, *keys, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda i: F.substring("run", i, F.lit(4))))).alias("gram")).distinct()
+    by_gram = grams.join(keyed.where("gram <> ''").drop("run"), [on, "gram"]).drop("gram")
+    near = by_run.unionByName(by_gram)
+    alone = texts.join(keyed.where("gram = ''").drop("run", "gram"), on).where(hit)
+    return texts.join(near, [on, *keys]).where(hit).unionByName(alone)
 
 
 def propagate(known: DataFrame, messages: DataFrame) -> DataFrame:

@@ -30,32 +30,35 @@ def replaced(messages: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def compile_public(messages: DataFrame, items: DataFrame, budget: minimize.Budget = minimize.Budget()) -> DataFrame:
-    """message_id, public_text, source_tokens, public_tokens: one row for each message."""
+    """message_id, public_text, source_tokens, public_tokens: one row for each message. No Python in the plan."""
     rows = replaced(messages, items).withColumn("source_tokens", estimate_tokens(F.col("content"), 1))
-    kept = rows.select("message_id", "role", F.col("text").alias("content"), F.array().cast("array<string>").alias("protected"), "source_tokens")
-    schema = kept.schema
-
-    def run(batches):
-        import pyarrow as pa
+    kept = minimize.minimize(F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("user")), F.array().cast("array<string>"), budget)
+    done = rows.select("message_id", normalize_public_text(kept).alias("public_text"), "source_tokens")
+    return done.withColumn("public_tokens", F.when(F.col("public_text") == "", F.lit(0).cast("long")).otherwise(estimate_tokens(F.col("public_text"), 1)))
 
-        for batch in batches:
-            out = [minimize.minimize(c or "", r or "user", p or [], budget) for r, c, p in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(4)], names=["message_id", "public_text", "source_tokens"])
 
-    done = kept.mapInArrow(run, f"message_id {schema['message_id'].dataType.simpleString()}, public_text string, source_tokens long").withColumn("public_text", normalize_public_text(F.col("public_text")))
-    return done.withColumn("public_tokens", F.when(F.col("public_text") == "", F.lit(0).cast("long")).otherwise(estimate_tokens(F.col("public_text"), 1)))
+#: Words that tell nothing of a person.
+RESIDUAL_STOPWORDS = ["this", "that", "with", "from", "have", "will", "your", "我的", "你的", "我们", "这个", "那个"]
 
 
 def residual_terms(items: DataFrame) -> DataFrame:
-    """user_id, terms: values and their telling parts of all of a user's items."""
-    parts = F.concat(F.array("original_text"), F.regexp_extract_all("original_text", F.lit("[A-Za-z]{4,}|[0-9]{4,}|[一-鿿]{2,}"), F.lit(0)))
-    words = items.select("user_id", F.explode(F.filter(parts, lambda x: (F.length(x) >= 4) | x.rlike("[一-鿿]{2,}"))).alias("t")).distinct()
-    return words.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("terms"))
+    """user_id, term: values of four characters or more and their telling parts, of all of a user's items of levels PL2 to PL4."""
+    value = F.btrim("original_text")
+    parts = F.transform(F.regexp_extract_all(value, F.lit(r"[A-Za-z][A-Za-z0-9_@.-]{3,}|[0-9]{4,}|[一-鿿]{2,}"), F.lit(0)), lambda t: F.btrim(t, F.lit(".,;:!?()[]{}<>，。；：！？（）【】")))
+    telling = F.filter(parts, lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(RESIDUAL_STOPWORDS))
+    own = F.concat(F.when(F.length(value) >= 4, F.array(value)).otherwise(F.array().cast("array<string>")), telling)
+    return items.where(F.col("privacy_level").isin(privacy.LEVELS)).select("user_id", F.explode(own).alias("term")).distinct()
 
 
 def scrub_residual(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Drops every sentence that holds one of the user's terms. ``rows``: message_id, user_id, text."""
-    joined = rows.join(terms, "user_id", "left")
-    here = F.filter("terms", lambda t: F.col("text").contains(t))
-    kept = let(here, lambda own: F.filter(split_units(F.col("text"), by_line=False), lambda u: ~F.exists(own, lambda t: u.contains(t))))
-    return joined.select("message_id", F.when(F.col("terms").isNull() | (F.col("text") == ""), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
+    """Drops every sentence that holds one of the user's terms. ``rows``: message_id, user_id, text; ``terms``: user_id, term.
+
+    Terms reach only the messages that they stand in, so a message carries its own few and no user's terms are gathered. Texts of users
+    without terms stay as they are; others are split into sentences anew even where nothing goes.
+    """
+    hits = privacy.contains_join(rows, terms, "user_id", ["message_id"], "text", "term").groupBy("message_id").agg(F.collect_set("term").alias("own"))
+    users = terms.select("user_id").distinct().withColumn("known", F.lit(True))
+    joined = rows.join(hits, "message_id", "left").join(users, "user_id", "left")
+    units = split_units(F.col("text"), by_line=False)
+    kept = F.filter(units, lambda u: ~F.coalesce(F.exists("own", lambda t: u.contains(t)), F.lit(False)))
+    return joined.select("message_id", F.when(F.col("known").isNull() | (F.col("text") == ""), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
