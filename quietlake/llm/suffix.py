@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import only, read_table, written
 
-#: Bits of the sketch of repeated cores that is sent to the workers, a fixed size. A full sketch lets more
-#: anchors through, which costs time and changes nothing else.
-SKETCH_BITS = 26
+#: Repeated cores are sent to the workers as a bitmap of ``ROOMY`` bits each, up to 2 ** ``SKETCH_BITS`` bits in all (64 MB) and down to
+#: ``TIGHT`` bits each. Where there are more of them, each text gets its own repeated cores by a join instead; both ways give the same result.
+SKETCH_BITS, ROOMY, TIGHT = 29, 128, 8
 #: Different contexts of one core that one suffix array takes; cores with more have each window counted by
 #: its hash instead, spread over all tasks.
 CONTEXTS = 512
@@ -181,11 +183,11 @@ class Anchors:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a])
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], plan: Plan, column: int) -> Iterator[tuple[bytes, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Different texts of a partition, joined to buffers of about a megabyte.
+def _buffers(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[bytes, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Different texts of a partition (the first column), joined to buffers of about a megabyte.
 
-    Yields the buffer, and for each piece its text's digest, start, end, limit and place in its text. Longer texts come in
-    overlapping pieces, each of which owns the windows that start before its limit. Of equal texts of one
+    Yields the buffer, and for each piece its text's digest, start, end, limit, place in its text, and what a second column says of the text.
+    Longer texts come in overlapping pieces, each of which owns the windows that start before its limit. Of equal texts of one
     partition only the first comes.
     """
     seen: set[bytes] = set()
@@ -194,17 +196,17 @@ def _buffers(batches: Iterator[pa.RecordBatch], plan: Plan, column: int) -> Iter
     def joined():
         lengths = np.array([len(p[1]) for p in parts], np.int64)
         ends = np.cumsum(lengths)
-        return b"".join(p[1] for p in parts), [p[0] for p in parts], ends - lengths, ends, ends - lengths + np.array([p[3] for p in parts], np.int64), np.array([p[2] for p in parts], np.int64)
+        return b"".join(p[1] for p in parts), [p[0] for p in parts], ends - lengths, ends, ends - lengths + np.array([p[3] for p in parts], np.int64), np.array([p[2] for p in parts], np.int64), [p[4] for p in parts]
 
     for batch in batches:
-        for text in batch.column(column):
+        for text, own in zip(batch.column(0), batch.column(1) if batch.num_columns > 1 else repeat(None)):
             text = (text.as_py() or "").encode()
             if len(text) < plan.length or (digest := hashlib.md5(text).digest()) in seen:
                 continue
             seen.add(digest)
             for at in range(0, len(text) - plan.length + 1, _SEGMENT):
                 piece = text[at : at + _SEGMENT + plan.length]
-                parts.append((digest, piece, at, _SEGMENT))
+                parts.append((digest, piece, at, _SEGMENT, own))
                 size += len(piece)
                 if size >= _SEGMENT:
                     yield joined()
@@ -223,7 +225,7 @@ def repeated_cores(rows: DataFrame, plan: Plan) -> DataFrame:
     """Cores that stand at two different places or in two different texts; minima and maxima combine before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buffer, digests, starts, ends, limits, places in _buffers(batches, plan, 0):
+        for buffer, digests, starts, ends, limits, places, _ in _buffers(batches, plan):
             a = Anchors(plan, buffer, starts, ends, limits)
             where = _occurrence(digests, a.owner, a.at - starts[a.owner] + places[a.owner])
             yield pa.RecordBatch.from_arrays([pa.array(a.core.view(np.int64)), pa.array(where)], names=["core", "place"])
@@ -232,8 +234,8 @@ def repeated_cores(rows: DataFrame, plan: Plan) -> DataFrame:
     return found.groupBy("core").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("core")
 
 
-def sketch(cores: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """A bitmap of the cores' last bits, of fixed size."""
+def sketch(cores: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the cores' last bits."""
     slot = F.col("core").bitwiseAND(F.lit((1 << bits) - 1))
     words = cores.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -242,23 +244,41 @@ def sketch(cores: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def with_cores(rows: DataFrame, plan: Plan, cores: DataFrame) -> DataFrame:
+    """text and its repeated cores, an array; texts without one are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buffer, digests, starts, ends, limits, _, _ in _buffers(batches, plan):
+            a = Anchors(plan, buffer, starts, ends, limits)
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in a.owner.tolist()], pa.binary()), pa.array(a.core.view(np.int64))], names=["digest", "core"])
+
+    own = rows.select("text").mapInArrow(run, "digest binary, core long").join(cores, "core", "left_semi").groupBy("digest").agg(F.collect_set("core").alias("cores"))
+    return rows.select("text", F.unhex(F.md5("text")).alias("digest")).join(own, "digest").select("text", "cores")
+
+
 _CONTEXT = "text binary, at long, low long, high long, core long, context long, place long, before binary, after binary"
 
 
-def contexts(rows: DataFrame, plan: Plan, bitmap: np.ndarray, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row for each anchor whose core may be repeated.
+def contexts(rows: DataFrame, plan: Plan, cores: DataFrame, n_cores: int) -> DataFrame:
+    """One row for each anchor whose core may be repeated; ``cores`` has the ``n_cores`` repeated ones.
 
     text is the text's digest, at the anchor, low and high the first and last window start; context names the bytes of all the
     windows, before and after are those of them that flank the core.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    bits = min(SKETCH_BITS, max(16, (ROOMY * n_cores).bit_length()))
+    small = TIGHT * n_cores <= 1 << bits
+    rows = rows.select("text") if small else with_cores(rows, plan, cores)
+    shared = rows.sparkSession.sparkContext.broadcast(sketch(cores, bits) if small else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for buffer, digests, starts, ends, limits, places in _buffers(batches, plan, 0):
+        for buffer, digests, starts, ends, limits, places, own in _buffers(batches, plan):
             a = Anchors(plan, buffer, starts, ends, limits)
-            slot = a.core & np.uint64((1 << bits) - 1)
-            hit = ((known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool).nonzero()[0]
+            if known is None:
+                hit = np.isin(a.core.view(np.int64), np.concatenate([x.values.to_numpy() for x in own])).nonzero()[0]
+            else:
+                slot = a.core & np.uint64((1 << bits) - 1)
+                hit = ((known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool).nonzero()[0]
             if not len(hit):
                 continue
             at, owner, low, high, first = a.at[hit], a.owner[hit], a.low[hit], a.high[hit], a.first[hit]
@@ -272,7 +292,7 @@ def contexts(rows: DataFrame, plan: Plan, bitmap: np.ndarray, bits: int = SKETCH
                 names=["text", "at", "low", "high", "core", "context", "place", "before", "after"],
             )
 
-    return rows.select("text").mapInArrow(run, _CONTEXT)
+    return rows.mapInArrow(run, _CONTEXT)
 
 
 def equal_windows(plan: Plan, group: list[dict]) -> list[list[int]]:
@@ -381,8 +401,8 @@ def _counted_windows(chosen: DataFrame, plan: Plan) -> DataFrame:
 def repeats(rows: DataFrame, length: int = 400, contexts_at_once: int = CONTEXTS) -> DataFrame:
     """text (digest), start, end: spans that cover all repeated bytes of texts that occur once. ``rows`` has a column text."""
     plan = Plan(length)
-    bitmap = sketch(repeated_cores(rows, plan))
-    table = written(contexts(rows, plan, bitmap), "contexts")
+    cores = written(repeated_cores(rows, plan), "cores")
+    table = written(contexts(rows, plan, cores, cores.count()), "contexts")
     each = table.groupBy("core", "context").agg(F.min("place").alias("place"), (F.min("place") != F.max("place")).alias("copied"))
     cores = each.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     each = written(each.join(cores, "core"), "context-counts")
@@ -394,21 +414,22 @@ def repeats(rows: DataFrame, length: int = 400, contexts_at_once: int = CONTEXTS
     return copied.union(few).union(many)
 
 
-def remove_repeats(documents: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and the columns in ``keep``; one row per input row.
+def remove_repeats(documents: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", others: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and with ``others`` the struct others; one row per input row.
 
     Texts are UTF-8 bytes. Each byte goes that is covered by a string of ``length`` bytes that also starts
     anywhere else in the table, judged on the input; matches never cross documents. Texts that occur twice or more
     lose everything if they are long enough. A character that loses some of its bytes is dropped from
-    kept_text as a whole. A null text is empty. Null ids and repeated rows are documents of their
-    own; further columns are ignored.
+    kept_text as a whole. A null text is empty; very long ones are read in overlapping pieces; an empty table gives no rows. Null ids and
+    repeated rows are documents of their own. Further columns are ignored; ``others`` holds all of the input's columns but the text, whatever their names.
     """
-    rows = documents.select(documents[f"`{doc_id}`"].alias("doc_id"), F.coalesce(documents[f"`{text}`"], F.lit("")).alias("text"), *[documents[f"`{c}`"].alias(f"keep_{i}") for i, c in enumerate(keep)])
+    rest = [documents[f"`{c}`"].alias(c) for c in documents.columns if c != text]
+    rows = documents.select(documents[f"`{doc_id}`"].alias("doc_id"), F.coalesce(documents[f"`{text}`"], F.lit("")).alias("text"), *([F.struct(*rest).alias("others")] if others else []))
     spans = repeats(rows, length).groupBy("text").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select(F.col("text").alias("digest"), "spans")
     named = rows.withColumn("digest", F.unhex(F.md5("text")))
     copies = named.where(F.octet_length("text") >= length).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     what = copies.join(spans, "digest", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull()).select("digest", F.col("copies") > 1, "spans").toDF("digest", "copied", "spans")
-    joined = named.join(what, "digest", "left").select("doc_id", "text", "copied", "spans", *[f"keep_{i}" for i in range(len(keep))])
+    joined = named.join(what, "digest", "left").select("doc_id", "text", "copied", "spans", *named.columns[2:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,10 +451,10 @@ def remove_repeats(documents: DataFrame, length: int = 400, doc_id: str = "doc_i
             columns = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[4:]])
 
-    kinds = "".join(f", keep_{i} {joined.schema[f'keep_{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    found = joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string{kinds}")
-    return found.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    schema = StructType.fromDDL(f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(run, StructType([*schema.fields, *joined.schema.fields[4:]]))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
