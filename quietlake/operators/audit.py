@@ -1,4 +1,4 @@
-"""Leakage, utility, adversarial exposure and attribute-inference audits."""
+"""Leakage and linkability audits, and the attribute attack."""
 
 from __future__ import annotations
 
@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quietlake.functions.spans import occurrences
-from quietlake.functions.text import attack_tokens, has_boundary
-from quietlake.operators.privacy import contains_join
+from quietlake.functions.text import attack_tokens
+from quietlake.sources.files import scratch
 
 #: Fixed value: phrases of an injected prompt.
 INJECTION = r"(?i)(?:^|[^\p{L}\p{N}_])(?:ignore (?:all )?(?:previous|prior) instructions|reveal (?:the )?(?:system|developer) prompt|system prompt|developer message|exfiltrate|bypass (?:the )?(?:policy|safety)|send .*secret|dump .*memory)(?:[^\p{L}\p{N}_]|$)"
 ALIAS = r"<MPM_[A-Za-z0-9_]+_[0-9]+_[a-f0-9]{12}>"
-#: Places that hold meaning, and parts of a path that link records.
-SEMANTIC = ["public_text", "content", "question", "answer", "evidence", "all_options"]
-LINKAGE = ["source_fingerprint", "source_message_id", "scope_id", "provenance_id"]
-CANARY = ["CANARY[-_:]?[A-Za-z0-9]+", "RC[-_ ]?[0-9]{3,}", "(?:sk|pk|api)[-_][A-Za-z0-9]{12,}"]
+
+
+def with_sum_before(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before a row, by unique ``order``.
+
+    Rows are dealt into ranges of the order; each range sums up for itself, and only the ranges' totals, a row for each task, are summed in one place.
+    The dealt rows are a table in the shared folder, since ranges come from a sample and would differ if they were drawn twice.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "ranges")
+    dealt = rows.select(F.struct("*").alias("row")).repartitionByRange(F.col("row").getField(order)).withColumn("range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    table = spark.read.schema(dealt.schema).parquet(path).select("row", "range", F.col("row").getField(order).alias("key"), F.col("row").getField(value).alias("part"))
+    first = table.groupBy("range").agg(F.sum("part").alias("total"))
+    before = first.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("part").over(Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return table.withColumn("inside", inside).join(before, "range").select("row.*", (F.col("earlier") + F.col("inside")).alias(name))
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -36,7 +47,7 @@ def leakage_report(records: DataFrame, items: DataFrame, max_recovery: float = 0
     leak = joined.agg(F.count(F.lit(1)).alias("sensitive_items"), F.count_if(shown).alias("exact_recovered"), F.count_if(F.col("privacy_level") == "PL4").alias("pl4_items"), F.count_if((F.col("privacy_level") == "PL4") & shown).alias("pl4_public"))
     size = records.agg(F.sum("source_tokens").alias("source_tokens"), F.sum("public_tokens").alias("public_tokens"), F.avg(F.when(F.col("source_tokens") == 0, 0.0).otherwise(1 - F.try_divide("public_tokens", "source_tokens"))).alias("mean_reduction"))
     row = leak.join(size, F.lit(True), "cross").withColumns({"recovery_rate": rate(F.col("exact_recovered"), F.col("sensitive_items")), "retention_rate": rate(F.col("pl4_public"), F.col("pl4_items")), "corpus_reduction": F.when(F.col("source_tokens") > 0, 1 - F.try_divide("public_tokens", "source_tokens")).otherwise(0.0)})
-    failed = F.array_compact(F.array(F.when(F.col("recovery_rate") > max_recovery, "exact_recovery"), F.when(F.col("retention_rate") > max_retention, "pl4_retention"), F.when(F.col("corpus_reduction") < min_reduction, "token_reduction")))
+    failed = F.array_compact(F.array(F.when(F.col("recovery_rate") > max_recovery, "exact_recovery"), F.when(F.col("retention_rate") > max_retention, "pl4_public_retention"), F.when(F.col("corpus_reduction") < min_reduction, "token_reduction")))
     return row.withColumn("failed", F.array_join(failed, ",")).withColumn("passed", F.size(failed) == 0)
 
 
@@ -56,27 +67,6 @@ def linkability(observations: DataFrame) -> DataFrame:
     return row.select((F.col("t") - F.col("s")).cast("long").alias("cross_scope_pairs"), (F.col("a") - F.col("b")).cast("long").alias("linked_pairs")).withColumn("linkability", optional_rate(F.col("linked_pairs"), F.col("cross_scope_pairs")))
 
 
-def exposures(strings: DataFrame, secrets: DataFrame) -> DataFrame:
-    """``strings``: artifact, owner, path, value; ``secrets``: owner, kind (secret, identifier, marker, canary, term), text, flag.
-
-    Secrets, identifiers and canaries are found by an equi-join on the owner and a run of the secret, so one user's secrets meet only
-    candidates among that user's strings; markers join on the whole text.
-    """
-    place = F.lower("path")
-    semantic = F.lit(False)
-    for part in SEMANTIC:
-        semantic = semantic | place.contains(part)
-    both = contains_join(strings, secrets.where("kind in ('secret', 'identifier', 'canary')"), "owner", ["artifact", "path"], "value", "text")
-    alone = F.exists(occurrences(F.col("value"), F.col("text")), lambda s: has_boundary(F.col("value"), s, F.length("text")))
-    hit = both.where(F.when(F.col("kind") == "secret", semantic & ((F.length("text") >= 4) | alone)).otherwise(F.lit(True)))
-    found = hit.select("artifact", "path", F.col("kind").alias("exposure_type"), F.col("text").alias("exposed"), F.lit("failure").alias("severity"))
-    markers = strings.join(secrets.where("kind = 'marker'").select(F.col("text").alias("marker"), "flag").distinct(), F.trim("value") == F.col("marker"))
-    found = found.unionByName(markers.select("artifact", "path", F.lit("membership_marker").alias("exposure_type"), F.col("marker").alias("exposed"), F.when(F.col("flag"), "failure").otherwise("warning").alias("severity")))
-    prompt = strings.where(F.col("value").rlike(INJECTION))
-    found = found.unionByName(prompt.select("artifact", "path", F.lit("prompt_injection").alias("exposure_type"), F.left("value", F.lit(40)).alias("exposed"), F.lit("failure").alias("severity")))
-    return found.distinct()
-
-
 def alias_reuse(strings: DataFrame) -> DataFrame:
     """Aliases at more than one path: a warning each."""
     seen = strings.select("artifact", "path", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(ALIAS), F.lit(0)))).alias("alias"))
@@ -114,8 +104,7 @@ def naive_bayes(split: DataFrame) -> DataFrame:
 def auc(scores: DataFrame) -> DataFrame:
     """One row: positives, negatives, auc (null where a class is empty), from mid-ranks."""
     by_score = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_score.withColumn("mid", below + (F.col("n") + 1) / F.lit(2.0))
+    ranked = with_sum_before(by_score, "score", "n", "below").withColumn("mid", F.col("below") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.sum(F.col("p") * F.col("mid")).alias("r"))
     area = F.try_divide(F.col("r") - F.col("positives") * (F.col("positives") + 1) / F.lit(2.0), F.col("positives").cast("double") * F.col("negatives"))
     return sums.select("positives", "negatives", area.alias("auc"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,22 @@ def chunk_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     return rows.withColumn("chunk", F.floor(F.col("pair") / n))
 
 
+def chunk_dates(turns: DataFrame, n: int = 5) -> DataFrame:
+    """conv_id, chunk, date: the first date that is not null among a chunk's user messages. ``turns``: conv_id, turn, role, date."""
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    own = F.when((F.col("role") == "user") & F.col("date").isNotNull(), F.struct("turn", "date"))
+    return turns.withColumn("chunk", F.floor(at / (2 * n))).groupBy("conv_id", "chunk").agg(F.min(own).getField("date").alias("date"))
+
+
+def score_summary(records: DataFrame, by_type: bool = True) -> DataFrame:
+    """total_score, total_valid, total_num, accuracy and accuracy_valid, for each question_type (``Unknown`` if empty) or over all. ``records``: question_type, score, is_valid."""
+    kind = F.coalesce(F.nullif("question_type", F.lit("")), F.lit("Unknown")).alias("question_type")
+    groups = records.groupBy(kind) if by_type else records.groupBy()
+    rows = groups.agg(F.coalesce(F.sum(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("total_score"), F.count_if(F.coalesce("is_valid", F.lit(False))).alias("total_valid"), F.count(F.lit(1)).alias("total_num"))
+    share = lambda n: F.coalesce(F.try_divide("total_score", n), F.lit(0.0))
+    return rows.withColumns({"accuracy": share("total_num"), "accuracy_valid": share("total_valid")})
+
+
 def neighbours(turns: DataFrame) -> DataFrame:
     """Each turn with the texts of the turn before and after, joined by a bar."""
     window = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 1)
@@ -69,11 +86,45 @@ def gates(runs: DataFrame) -> DataFrame:
 
 
 def pareto(runs: DataFrame) -> DataFrame:
-    """Runs that no other run dominates in utility, local recoverability and public tokens."""
-    a, b = runs.alias("a"), runs.alias("b")
-    good = (F.col("b.utility") >= F.col("a.utility")) & (F.col("b.local") >= F.col("a.local")) & (F.col("b.public_token_count") <= F.col("a.public_token_count"))
-    better = (F.col("b.utility") > F.col("a.utility")) | (F.col("b.local") > F.col("a.local")) | (F.col("b.public_token_count") < F.col("a.public_token_count"))
-    return a.join(b, good & better, "left_anti")
+    """Runs that no other run dominates in utility, local recoverability and public tokens, by budget and tokens.
+
+    Equal runs stand for one another, so different triples are compared. Each task first drops what its own triples dominate, reading them from the best on: a
+    triple can only be dominated by one read before it. What is left of all tasks is compared once more.
+    """
+    goods = ["utility", "local", "public_token_count"]
+    rows = runs.withColumns({"utility": F.coalesce("utility", F.lit(0.0)), "local": F.coalesce("local", F.lit(0.0)), "public_token_count": F.coalesce("public_token_count", F.lit(0))})
+    points = rows.select(*goods).distinct()
+
+    def frontier(batches):
+        import pyarrow as pa
+
+        kept: list[tuple] = []
+        for batch in batches:
+            kept += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if len(kept) > 1 << 16:
+                kept = undominated(kept)
+        kept = undominated(kept)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), batch.schema, strict=True)], names=goods)
+
+    local = points.mapInArrow(frontier, points.schema)
+    best = local.coalesce(1).mapInArrow(frontier, points.schema)
+    return rows.join(best, goods).orderBy("max_public_tokens", "public_token_count")
+
+
+def undominated(points: list[tuple]) -> list[tuple]:
+    """(utility, local, tokens) triples that no other one matches in all and beats in one. Read from the best utility on, only the steps of local against tokens are kept."""
+    out, steps = [], []
+    for u, v, t in sorted(set(points), key=lambda p: (-p[0], -p[1], p[2])):
+        at = bisect.bisect_right(steps, (t, float("inf")))
+        if at and steps[at - 1][1] >= v:
+            continue
+        out.append((u, v, t))
+        end = at
+        while end < len(steps) and steps[end][1] <= v:
+            end += 1
+        steps[at:end] = [(t, v)]
+    return out
 
 
 def recommend(runs: DataFrame) -> DataFrame:
@@ -86,6 +137,7 @@ def distill(examples: DataFrame, min_support: int = 1) -> DataFrame:
     """Templates by type, level and text: mean scores, half-even mean abstraction level, mode of the representation."""
     keys = ["privacy_type", "privacy_level", "text"]
     mode = examples.groupBy(*keys, "representation").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max_by("representation", F.struct("c", "representation")).alias("representation"))
+    examples = examples.where(F.col("text") != "")
     means = examples.groupBy(*keys).agg(F.avg("utility").alias("utility"), F.avg("leakage").alias("leakage"), F.bround(F.avg("specificity")).cast("long").alias("abstraction_level"), F.count(F.lit(1)).alias("support"))
     return means.join(mode, keys).where(F.col("support") >= min_support)
 

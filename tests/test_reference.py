@@ -65,7 +65,7 @@ def test_deletions_merge_and_take_overlaps(spark):
     i = items(spark, (0, "4321", "Token", "PL4"), (0, "a@b.org", "Email", "PL2"))
     r = compiler.compile_public(m, i).first()
     assert "4321" not in r.public_text and "a@b.org" not in r.public_text
-    assert compiler.replaced(m, items(spark, (0, "a@b.org", "Email", "PL2"))).first().text == "Hi there. My pin is 4321 at contact information now. Bye."
+    assert compiler.replaced(m, compiler.compile_items(m, items(spark, (0, "a@b.org", "Email", "PL2")))[0]).first().text == "Hi there. My pin is 4321 at contact information now. Bye."
 
 
 def test_vault_masks_restore_and_stay_apart_by_namespace(spark):
@@ -91,15 +91,16 @@ def test_propagation_equals_plain_contains(spark):
     assert got == {(0, "ab-cd-ef"), (0, "12345"), (0, "cd"), (1, "ab-cd-ef"), (1, "12345"), (1, "cd")}
 
 
-def test_minimizer_keeps_facts_and_order():
-    t = "Here are some ideas. I prefer tea in the morning. The sky has a colour. Could you explain rain?"
-    assert minimize.minimize(t, "user", [], minimize.Budget(ratio=0.5)) == "I prefer tea in the morning."
-    assert minimize.minimize("Please forget my address. I like cats.", "user", []) == "I like cats."
-    assert "secret word" in minimize.minimize("The secret word is blue. I like cats.", "user", ["secret word"])
-    assert minimize.minimize("Of course, here is the list", "assistant", []) == ""
-    every = {n: p for n, p in minimize._COMPILED.items()}
-    for u in minimize.split_units(t):
-        assert minimize.score(u, "user", []) == minimize.score(u, "user", [], minimize.possible(t)) == minimize.score(u, "user", [], every)
+def test_minimizer_keeps_facts_and_order(spark):
+    cases = [
+        ("Here are some ideas. I prefer tea in the morning. The sky has a colour. Could you explain rain?", "user", [], 0.5, "I prefer tea in the morning."),
+        ("Please forget my address. I like cats.", "user", [], 0.65, "I like cats."),
+        ("Of course, here is the list", "assistant", [], 0.65, ""),
+        ("The secret word is blue. It rained.", "assistant", ["secret word"], 0.65, "The secret word is blue."),
+    ]
+    for text, role, protected, ratio, want in cases:
+        row = spark.createDataFrame([(1, role, text, protected)], "message_id long, role string, content string, protected array<string>")
+        assert minimize.minimize_messages(row, minimize.Budget(ratio=ratio)).first().public_text == want
 
 
 def test_assignment_is_optimal_not_greedy():
@@ -116,7 +117,7 @@ def test_assignment_is_optimal_not_greedy():
 
 
 def test_both_sides_empty_score_one():
-    assert scoring.match_items([], [], "x")["total"] == 1.0
+    assert scoring.Judge().match([], [], "x", "mean") == (1.0,) * 6
 
 
 def test_auc_with_ties_and_one_class(spark):
@@ -152,7 +153,6 @@ def test_dialogue_files_round_trip(spark, tmp_path):
     assert [(r.message_id, r.role, r.content) for r in m.orderBy("message_index").collect()] == [("u1:0", "user", "hé"), ("u1:1", "user", "b")]
     dialogues.write_users(m, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().dialogues[0].content == "hé"
-    assert dialogues.forbidden_keys(spark.createDataFrame([('{"a": {"scope_id": 1}}',), ("{}",)], "value string")).count() == 1
 
 
 def test_scoped_joins_have_no_cross_product(spark):
@@ -161,22 +161,6 @@ def test_scoped_joins_have_no_cross_product(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_queries_match_their_sql(spark, sf):
-    import duckdb
-
-    from quietlake.plans import catalogue
-
-    con = duckdb.connect()
-    for t in ("customer", "nation", "supplier", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name, sql in catalogue.ORACLE_SQL.items():
-        df, want = catalogue.QUERIES[name](spark, sf), con.sql(sql)
-        order = sorted(df.columns)
-        assert order == sorted(want.columns), name
-        key = lambda rows: sorted(map(repr, rows))
-        assert key([tuple(r[c] for c in order) for r in df.collect()]) == key(want.select(*order).fetchall()), name
-
-
 def test_entry_works_without_the_pipeline_operators(tmp_path):
     import os
     import shutil
