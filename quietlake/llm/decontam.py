@@ -84,18 +84,22 @@ class Item:
     answer: list[int]
     given: bool
     rows: dict[int, int] = field(default_factory=dict)
+    wanted: frozenset[int] = frozenset()
 
 
 @dataclass
 class Space:
-    """Vocabulary, weights and basis of a round. ``local`` numbers the scan's words that the space has, else -1."""
+    """Vocabulary, weights and items of a round. ``local`` numbers the scan's words that the space has, else -1.
+
+    ``near`` has for each word of the space its cosine with each part of an item after both went through the basis; a passage's
+    cosines are the sum of its words', by their weights.
+    """
 
     local: np.ndarray
     idf: np.ndarray
-    basis: np.ndarray
+    near: np.ndarray
     items: list[Item]
     parts: np.ndarray
-    latent: np.ndarray
 
 
 @dataclass
@@ -151,6 +155,13 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, H
             yield batch.slice(a, b - a), Hits(batch.column(1).slice(a, b - a).to_numpy(), owner, total - before[owner], np.frombuffer(b"".join(words[a:b]), "<i4").astype(np.int64))
 
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    out = np.ones(len(keys), bool)
+    out[1:] = keys[1:] != keys[:-1]
+    return out
+
+
 def _windows(h: Hits, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sparse counts: (passage, word, count), and each passage's text and window.
 
@@ -161,17 +172,18 @@ def _windows(h: Hits, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     owner, word = h.owner[here], word[here]
     block = h.place[here] // STRIDE
     last = np.maximum(0, -(-(h.sizes - STRIDE) // STRIDE) - 1)
-    owner, block, word = np.concatenate((owner, owner)), np.concatenate((block, block - 1)), np.concatenate((word, word))
-    keep = (block >= 0) & (block <= last[owner])
-    passage, word = (owner << 32 | block)[keep], word[keep]
-    order = np.lexsort((word, passage))
-    passage, word = passage[order], word[order]
-    new = np.ones(len(passage), bool)
-    new[1:] = (passage[1:] != passage[:-1]) | (word[1:] != word[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate((first, [len(passage)])))
-    passages, where = np.unique(passage[first], return_inverse=True)
-    return where, word[first], count, passages
+    first = np.cumsum(last + 1) - (last + 1)
+    size = np.int64(local.max(initial=0) + 1)
+    own, other = block <= last[owner], block > 0
+    keys = np.concatenate((((first[owner] + block) * size + word)[own], ((first[owner] + block - 1) * size + word)[other]))
+    keys.sort()
+    starts = np.flatnonzero(_firsts(keys))
+    count = np.diff(np.concatenate((starts, [len(keys)])))
+    passage, word = np.divmod(keys[starts], size)
+    new = _firsts(passage)
+    passages = passage[new]
+    row = np.searchsorted(first, passages, side="right") - 1
+    return np.cumsum(new) - 1, word, count, row << 32 | passages - first[row]
 
 
 def _weighted(where: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
@@ -180,12 +192,13 @@ def _weighted(where: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, id
     return weight / np.maximum(np.sqrt(np.bincount(where, weight * weight, n)), 1e-12)[where]
 
 
-def _project(where: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(where):
-        starts = np.concatenate(([0], np.nonzero(np.diff(where))[0] + 1))
-        out[where[starts]] = np.add.reduceat(basis[word] * weight[:, None].astype(np.float32), starts, axis=0)
-    return out
+def _add_products(gram: np.ndarray, where: np.ndarray, word: np.ndarray, weight: np.ndarray) -> None:
+    """Adds each passage's products of two words' weights, in fixed point, to the words' table: passages have few words of the space, so these are few."""
+    sizes = np.bincount(where)
+    each = sizes[where]
+    left = np.repeat(np.arange(len(where)), each)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat((np.cumsum(sizes) - sizes)[where], each)
+    np.add.at(gram.ravel(), word[left] * len(gram) + word[right], np.rint(weight[left] * weight[right] * _FIXED).astype(np.int64))
 
 
 def document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -196,7 +209,9 @@ def document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
         for _, h in _hits(batches):
             blocks = np.maximum(1, -(-h.sizes // STRIDE))
             here = (np.cumsum(blocks) - blocks)[h.owner] + h.place // STRIDE
-            df += np.bincount(np.unique(here * size + h.word) % size, minlength=size)
+            keys = here * size + h.word
+            keys.sort()
+            df += np.bincount(keys[_firsts(keys)] % size, minlength=size)
             n += int(blocks.sum())
         yield pa.RecordBatch.from_arrays([pa.array([-1, *df.nonzero()[0].tolist()], pa.int64()), pa.array([n, *df[df > 0].tolist()], pa.int64())], names=["word", "n"])
 
@@ -212,9 +227,9 @@ def document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
 def randomised_svd(table: DataFrame, local: np.ndarray, idf: np.ndarray, items: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors of the TF-IDF matrix of all passages and the items, from one pass.
 
-    With a random matrix R, tasks sum A'AR row by row; the driver gets one row for each word of the space. The
-    Nystrom form of A'A = (A'AR)(R'A'AR)^-1(A'AR)' then gives the basis. Sums are in fixed point, so they do not
-    depend on the order in which tasks finish. Items weigh as much as all passages together.
+    With a random matrix R, tasks sum A'AR row by row, each from the products A'A of its own passages; the driver gets one row for each
+    word of the space. The Nystrom form of A'A = (A'AR)(R'A'AR)^-1(A'AR)' then gives the basis. Sums are in fixed point, so they do
+    not depend on the order in which tasks finish. Items weigh as much as all passages together.
     """
     rank = min(len(idf), len(items) + _OVERSAMPLE)
     random = np.random.default_rng(seed).standard_normal((len(idf), rank)).astype(np.float32)
@@ -222,16 +237,12 @@ def randomised_svd(table: DataFrame, local: np.ndarray, idf: np.ndarray, items:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights, start = shared.value
-        total = np.zeros(start.shape, np.int64)
+        gram = np.zeros((len(weights), len(weights)), np.int64)
         for _, h in _hits(batches):
             where, word, count, passages = _windows(h, known)
-            if not len(where):
-                continue
-            weight = _weighted(where, word, count, len(passages), weights)
-            y = _project(where, word, weight, len(passages), start)
-            order = np.argsort(word, kind="stable")
-            starts = np.flatnonzero(np.concatenate(([True], word[order][1:] != word[order][:-1])))
-            total[word[order][starts]] += np.rint(np.add.reduceat(y[where[order]] * weight[order, None].astype(np.float32), starts, axis=0).astype(np.float64) * _FIXED).astype(np.int64)
+            if len(where):
+                _add_products(gram, where, word, _weighted(where, word, count, len(passages), weights))
+        total = np.rint((gram / _FIXED) @ start * _FIXED).astype(np.int64)
         used = np.abs(total).sum(axis=1).nonzero()[0]
         for i in range(0, len(used), 256):
             some = used[i : i + 256]
@@ -270,7 +281,7 @@ def fit(table: DataFrame, items: list[Item], df: np.ndarray, n: int) -> Space:
     idf = np.log((1 + n) / (1 + df[known])) + 1
     for item in items:
         item.answer = item.answer if item.given else rarest(item.words)
-        item.rows = _rows(item.words)
+        item.rows, item.wanted = _rows(item.words), frozenset(item.answer)
     matrix = np.zeros((len(parts), len(known)))
     for i, (k, own) in enumerate(parts):
         for w, c in Counter([*own, *(items[k].answer if items[k].given else ())]).items():
@@ -280,7 +291,7 @@ def fit(table: DataFrame, items: list[Item], df: np.ndarray, n: int) -> Space:
     basis = randomised_svd(table, local, idf, matrix, n)
     latent = matrix @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Space(local, idf, basis, items, np.array([k for k, _ in parts], np.int64), latent.astype(np.float32))
+    return Space(local, idf, (basis @ latent.T).astype(np.float32), items, np.array([k for k, _ in parts], np.int64))
 
 
 def _matches(s: Space, h: Hits, cosine: float, lcs_share: float, answer_share: float, stand_in_share: float) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -289,28 +300,46 @@ def _matches(s: Space, h: Hits, cosine: float, lcs_share: float, answer_share: f
     where, word, count, passages = _windows(h, s.local)
     weight = _weighted(where, word, count, len(passages), s.idf)
     begins = np.searchsorted(h.owner, np.arange(len(h.sizes) + 1))
-    for i in range(0, len(passages), 8192):
-        at = slice(*np.searchsorted(where, (i, i + 8192)))
-        n = min(8192, len(passages) - i)
-        near = _project(where[at] - i, word[at], weight[at], n, s.basis) @ s.latent.T
-        done: set[tuple[int, int]] = set()
-        for p, part in zip(*(near >= cosine).nonzero(), strict=True):
-            row, a, k = int(passages[i + p] >> 32), int(passages[i + p] & 0xFFFFFFFF) * STRIDE, int(s.parts[part])
-            if (int(p), k) in done:
-                continue
-            done.add((int(p), k))
-            item = s.items[k]
-            first, last = begins[row] + np.searchsorted(h.place[begins[row] : begins[row + 1]], (a - len(item.words), a + WINDOW + len(item.words)))
-            passage = h.word[first:last].tolist()
-            hit = len(set(item.answer).intersection(passage)) / max(1, len(set(item.answer)))
-            if hit < (answer_share if item.given else stand_in_share):
-                continue
-            lcs = _common(item.rows, len(item.words), passage) / len(item.words)
-            if lcs >= lcs_share:
-                best[row, k] = max(best.get((row, k), (0.0, 0.0, 0.0)), (lcs, hit, float(near[p, part])))
+    sizes = np.bincount(where, minlength=len(passages))
+    alone = np.flatnonzero(sizes == 1)
+    likely = s.near >= cosine
+    for p, part, c in chain(_alone(alone, word[(np.cumsum(sizes) - sizes)[alone]], s.near, likely), _together(where, word, weight, sizes, s.near, cosine)):
+        row, a, k = int(passages[p] >> 32), int(passages[p] & 0xFFFFFFFF) * STRIDE, int(s.parts[part])
+        item = s.items[k]
+        first, last = begins[row] + np.searchsorted(h.place[begins[row] : begins[row + 1]], (a - len(item.words), a + WINDOW + len(item.words)))
+        passage = h.word[first:last].tolist()
+        hit = len(item.wanted.intersection(passage)) / max(1, len(item.wanted))
+        if hit < (answer_share if item.given else stand_in_share):
+            continue
+        lcs = _common(item.rows, len(item.words), passage) / len(item.words)
+        if lcs >= lcs_share:
+            best[row, k] = max(best.get((row, k), (0.0, 0.0, 0.0)), (lcs, hit, float(c)))
     return best
 
 
+def _alone(passages: np.ndarray, word: np.ndarray, near: np.ndarray, likely: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(passage, part, cosine) of passages with one word of the space, which the word decides."""
+    keep = likely.any(axis=1)[word]
+    for p, w in zip(passages[keep].tolist(), word[keep].tolist(), strict=True):
+        for part in likely[w].nonzero()[0].tolist():
+            yield p, part, near[w, part]
+
+
+def _together(where: np.ndarray, word: np.ndarray, weight: np.ndarray, sizes: np.ndarray, near: np.ndarray, cosine: float) -> Iterator[tuple[int, int, float]]:
+    """The same for passages with several; those with the most words come first, so the k-th words of all that have one are added at once."""
+    starts, weight = np.cumsum(sizes) - sizes, weight.astype(np.float32)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 1]
+    for i in range(0, len(order), 2048):
+        some = order[i : i + 2048]
+        found = near[word[starts[some]]] * weight[starts[some], None]
+        for k in range(1, int(sizes[some[0]])):
+            at = starts[some[: np.searchsorted(-sizes[some], -k)]] + k
+            found[: len(at)] += near[word[at]] * weight[at, None]
+        for p, part in zip(*(found >= cosine).nonzero(), strict=True):
+            yield int(some[p]), int(part), found[p, part]
+
+
 def search(table: DataFrame, space: Space, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE, stand_in_share: float = STAND_IN_SHARE) -> DataFrame:
     """key, item_id, cosine, lcs, answer: the best verified passage of each row of a hit table and item."""
     shared = table.sparkSession.sparkContext.broadcast(space)
