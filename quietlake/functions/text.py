@@ -23,7 +23,7 @@ def estimate_tokens(text: Column, least: int = 0) -> Column:
 
 
 def normalize_public_text(text: Column) -> Column:
-    """Collapses blanks, pulls punctuation to its word, keeps at most one empty line, strips."""
+    """Collapses blanks, pulls punctuation to its word, keeps at most one empty line, strips. The patterns are fixed values."""
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"[ \t]+([,.;:!?，。；：！？])", "$1")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), _STRIP, "")
@@ -62,7 +62,7 @@ def mask_prefix(kind: Column) -> Column:
 
 
 def private_fragments(value: Column) -> Column:
-    """Parts of a value, four characters or more, that must not show in public text."""
+    """Parts of a value, four characters or more, that must not show in public text. The patterns are fixed values."""
     value = F.regexp_replace(value, _STRIP, "")
     tokens = F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}"), F.lit(0)), lambda t: F.btrim(t, F.lit(".,;:!?()[]{}<>，。；：！？（）【】")))
     mails = F.filter(tokens, lambda t: t.contains("@"))

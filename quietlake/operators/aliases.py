@@ -74,6 +74,23 @@ def query_local(store: DataFrame, kind: Column | None = None) -> DataFrame:
     return rows if kind is None else rows.where(F.col("privacy_type") == kind)
 
 
+def lookup(store: DataFrame, namespace: str | None = None, mask: str | None = None, text: str | None = None, kind: str | None = None, level: str | None = None) -> DataFrame:
+    """Rows of a store by any of its names; of rows with one text the highest level comes first."""
+    rows = store
+    for column, value in {"namespace": namespace, "mask": mask, "original_text": text, "privacy_type": kind, "privacy_level": level}.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows.orderBy(F.desc("privacy_level"), "namespace", "privacy_type", "seq")
+
+
+def migrate(old: DataFrame, namespace: str, key: bytes) -> DataFrame:
+    """An older table (original_text, privacy_type, privacy_level, mask) as rows of a store: masks and their numbers stay, values get fingerprints; of a value that stands there twice the highest level and the first number count."""
+    number = F.coalesce(F.nullif(F.regexp_extract("mask", "_([0-9]+)_[a-f0-9]+>$", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    rows = old.withColumn("seq", number).groupBy("original_text", "privacy_type").agg(F.max("privacy_level").alias("privacy_level"), F.min(F.struct("seq", "mask")).alias("m"))
+    name = F.lit(namespace)
+    return rows.select(name.alias("namespace"), "original_text", "privacy_type", "privacy_level", F.col("m.seq").alias("seq"), hmac_sha256(key, F.concat_ws("\0", name, "original_text")).alias("fingerprint"), F.col("m.mask").alias("mask"))
+
+
 def get_aliases(store: DataFrame | None, items: DataFrame, scope: Column, key: bytes) -> tuple[DataFrame, DataFrame]:
     """The store after, and the items with their alias and scope_id. ``items`` has user_id, the ids of its scopes, the value's columns and seen."""
     rows = items.withColumns({"scope": scope, "scope_id": scope_id(scope), "namespace": namespace(scope)})

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quietlake.functions.text import estimate_tokens
+
 #: Queries of a search that are broadcast at a time.
 BLOCK = 10_000
 
@@ -50,6 +52,25 @@ def score_summary(records: DataFrame, by_type: bool = True) -> DataFrame:
     return rows.withColumns({"accuracy": share("total_num"), "accuracy_valid": share("total_valid")})
 
 
+def judged(label: Column) -> Column:
+    """Struct of score and is_valid for a judge's label: correct, partial, or anything else; null and none are no judgement."""
+    low = F.lower(F.btrim(label))
+    return F.struct(F.when(low == "correct", 1.0).when(low == "partial", 0.5).otherwise(0.0).alias("score"), (label.isNotNull() & (low != "none")).alias("is_valid"))
+
+
+def context_lines(context: Column, most: int = 250) -> Column:
+    """The lines of a context that are list entries (``- ``), as many from the first as ``most`` tokens allow."""
+    entries = F.filter(F.transform(F.split(context, "\n"), lambda x: F.btrim(x)), lambda x: x.startswith("- "))
+    begin = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("full"))
+
+    def step(a: Column, line: Column) -> Column:
+        after = a["used"] + estimate_tokens(line)
+        fits = ~a["full"] & (after <= most)
+        return F.when(fits, F.struct(F.array_append(a["kept"], line).alias("kept"), after.alias("used"), F.lit(False).alias("full"))).otherwise(F.struct(a["kept"].alias("kept"), a["used"].alias("used"), F.lit(True).alias("full")))
+
+    return F.array_join(F.aggregate(entries, begin, step, lambda a: a["kept"]), "\n")
+
+
 def neighbours(turns: DataFrame) -> DataFrame:
     """Each turn with the texts of the turn before and after, joined by a bar."""
     window = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quietlake.functions.checks import LINKAGE, has_part, is_canary, shows_value, type_terms
+from quietlake.functions.checks import LINKAGE, SEMANTIC, has_part, is_canary, shows_value, type_terms
 from quietlake.operators import audit
 from quietlake.operators.privacy import contains_join
 
@@ -112,6 +112,22 @@ def source_labels(items: DataFrame, users: DataFrame, terms: list[str], levels:
     return users.select("user_id").join(found, "user_id", "left").select("user_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
+def attack_documents(strings: DataFrame, sources: DataFrame) -> DataFrame:
+    """nth, text: for each source user the strings of meaning of its records in all artifacts, in order, a line each.
+
+    ``strings``: artifact, line_no, identity, path, name, value; ``sources``: nth (from 1), user_id. Records without identity belong to the first
+    user; identities beyond the last user belong to nobody.
+    """
+    told = strings.where(F.col("name").isin(SEMANTIC))
+    own = owners(told, sources, F.lit(None).cast("string"))
+    first = sources.where("nth = 1").select(F.col("user_id").alias("first"))
+    rows = told.join(own, ["artifact", "identity"], "left").join(first, F.lit(True), "cross")
+    owner = F.when(F.coalesce("identity", F.lit("")) == "", F.col("first")).otherwise(F.col("owner"))
+    texts = rows.withColumn("user_id", owner).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("artifact", "line_no", "path", "value"))).alias("l"))
+    joined = sources.join(texts, "user_id", "left")
+    return joined.select("nth", "user_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.lit("")).alias("text"))
+
+
 def attack_report(labelled: DataFrame, ratio: float = 0.4) -> DataFrame:
     """One row: counts, whether the attack applies, its accuracy and auc on the held-out documents, and the accuracy of always naming the majority.
 

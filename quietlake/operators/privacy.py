@@ -20,13 +20,13 @@ DETECTORS = [
 LEVELS = ["PL2", "PL3", "PL4"]
 #: Keywords of a type, in order of precedence, and its public category.
 CATEGORIES = [
-    ("email|phone|address|contact|zip", "contact information"),
-    ("medical|health|diagnosis|prescription|biometric", "health constraint relevant to future assistance"),
-    ("financial|transaction|income|asset|debt|loan|credit", "financial constraint relevant to future assistance"),
-    ("job|employer|company|school|identity background", "professional or educational context"),
-    ("location|itinerary|trajectory|accommodation", "location or itinerary constraint"),
-    ("account|username|network|device|ip", "account or device reference"),
-    ("relationship|third-party|real name|name", "person relevant to the user"),
+    (["email", "phone", "address", "contact", "zip"], "contact information"),
+    (["medical", "health", "diagnosis", "prescription", "biometric"], "health constraint relevant to future assistance"),
+    (["financial", "transaction", "income", "asset", "debt", "loan", "credit"], "financial constraint relevant to future assistance"),
+    (["job", "employer", "company", "school", "identity background"], "professional or educational context"),
+    (["location", "itinerary", "trajectory", "accommodation"], "location or itinerary constraint"),
+    (["account", "username", "network", "device", "ip"], "account or device reference"),
+    (["relationship", "third-party", "real name", "name"], "person relevant to the user"),
 ]
 OTHER_CATEGORY = "private contextual detail"
 #: Level -> action of the default policy.
@@ -159,6 +159,24 @@ def mask_messages(messages: DataFrame, items: DataFrame, store: DataFrame | None
     return messages.join(pairs, "message_id").select("message_id", "content", spans.mask(F.col("content"), F.col("pairs")).alias("masked"), "pairs")
 
 
+def protect_known(texts: DataFrame, known: DataFrame, store: DataFrame | None, levels: list[str] = LEVELS[1:]) -> DataFrame:
+    """message_id and text of all rows, with the user's known values of the levels masked where they stand. ``texts``: message_id, user_id, content."""
+    here = propagate(known.where(F.col("privacy_level").isin(levels)), texts)
+    done = mask_messages(texts, here, store, levels).select("message_id", "masked")
+    return texts.join(done, "message_id", "left").select("message_id", F.coalesce("masked", "content").alias("text"))
+
+
+def detect_and_mask(messages: DataFrame, levels: list[str] = LEVELS[1:], detector=None, key: bytes = TEST_KEY) -> tuple[DataFrame, DataFrame]:
+    """message_id and text of all messages with what a detector finds masked, and the vault of its values.
+
+    ``detector`` takes the messages and returns items like ``detect``, which stands in for a model; an item that does not stand in its message raises.
+    """
+    items = validate((detector or detect)(messages), messages, strict=True)
+    store = vault(items, key)
+    done = mask_messages(messages, items, store, levels).select("message_id", "masked")
+    return messages.join(done, "message_id", "left").select("message_id", F.coalesce("masked", "content").alias("text")), store
+
+
 def route(required: Column | None = None, consented: Column | None = None, overrides: dict[str, str] | None = None) -> Column:
     """Action for a row with privacy_type and privacy_level; PL4 drops whatever else is set."""
     action = F.when(F.col("privacy_level") == "PL4", "drop")
@@ -174,21 +192,29 @@ def route(required: Column | None = None, consented: Column | None = None, overr
 def category(kind: Column) -> Column:
     out = F
     for words, text in CATEGORIES:
-        out = out.when(F.lower(kind).rlike(words), text)
+        out = out.when(F.lower(kind).rlike("|".join(words)), text)
     return out.otherwise(OTHER_CATEGORY)
 
 
+#: Representation, level, utility (where the type is needed exactly, else), leakage. The category and the type's name stand for the missing texts.
+STAND_INS = [("generic_abstract", 0, 0.40, 0.68, 0.05), ("category_abstract", 1, 0.92, 0.82, 0.20), ("typed_abstract", 2, 0.96, 0.96, 0.45)]
+NOTHING = ("drop", -1, 0.0, 0.0, 0.0)
+
+
 def candidates(kind: Column, required: Column, least_level: int = 0) -> Column:
     """Ordered public stand-ins of a type; from level 0 three, with the empty one (level -1 here) four."""
-    one = lambda text, level, utility, leakage, name: F.struct(text.alias("text"), F.lit(level).cast("long").alias("specificity"), utility.alias("utility"), F.lit(leakage).alias("leakage"), F.lit(name).alias("representation"))
-    rows = [
-        one(F.lit("private detail"), 0, F.when(required, 0.40).otherwise(0.68), 0.05, "generic_abstract"),
-        one(category(kind), 1, F.when(required, 0.92).otherwise(0.82), 0.20, "category_abstract"),
-        one(F.concat(F.lit("private "), F.lower(kind), F.lit(" value")), 2, F.lit(0.96), 0.45, "typed_abstract"),
-    ]
-    if least_level < 0:
-        rows.insert(0, one(F.lit(""), -1, F.lit(0.0), 0.0, "drop"))
-    return F.array(*rows)
+    texts = {
+        "drop": F.lit(""),
+        "generic_abstract": F.lit("private detail"),
+        "category_abstract": category(kind),
+        "typed_abstract": F.concat(F.lit("private "), F.lower(kind), F.lit(" value")),
+    }
+
+    def one(name: str, level: int, needed: float, else_: float, leakage: float) -> Column:
+        utility = F.when(required, needed).otherwise(else_)
+        return F.struct(texts[name].alias("text"), F.lit(level).cast("long").alias("specificity"), utility.alias("utility"), F.lit(leakage).alias("leakage"), F.lit(name).alias("representation"))
+
+    return F.array(*[one(*row) for row in ([NOTHING] if least_level < 0 else []) + STAND_INS])
 
 
 def select_sufficient(options: Column, tokens, floor: float = 0.75, most_leakage: float = 0.35, most_tokens: int = 128) -> Column:

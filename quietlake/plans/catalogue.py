@@ -50,7 +50,7 @@ items AS (SELECT message_id, user_id, pos, i.t AS original_text, i.k AS privacy_
           FROM (SELECT message_id, user_id, unnest(l) AS i, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos FROM found))"""
 _BEST = """best AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY message_id, original_text ORDER BY privacy_level DESC, privacy_type) = 1)"""
 _TOKENS = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^\x00-\x7F]'))"
-_CAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(privacy_type), '{w}') THEN '{t}'" for w, t in privacy.CATEGORIES) + f" ELSE '{privacy.OTHER_CATEGORY}' END"
+_CAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(privacy_type), '{'|'.join(w)}') THEN '{t}'" for w, t in privacy.CATEGORIES) + f" ELSE '{privacy.OTHER_CATEGORY}' END"
 _BLOB = lambda b: "'" + "".join(f"\\x{x:02X}" for x in b) + "'::BLOB"
 _PAD = lambda b: _BLOB(bytes(x ^ b for x in privacy.TEST_KEY.ljust(64, b"\0")))
 _HMAC = f"sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(user_id) || '\\x00'::BLOB || encode(original_text))))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quietlake.functions import spans, text
 from quietlake.operators import aliases, audit, dialogue, exposure, minimize, privacy, scoring, selection
-from quietlake.plans import compiler, dataset
+from quietlake.plans import compiler, dataset, memory_eval
 from quietlake.plans.catalogue import _CAT, _TOKENS, _line_units, _query, _table
 from quietlake.plans.dialogue_queries import _KNOWN, _LOCAL, _OWN, _PREFIX, _TALK, _fingerprint, _named, _questions, _talk, _users
 
@@ -371,3 +371,60 @@ spl AS (SELECT lab.*, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC
 def attack_report(spark, sf_dir):
     x = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("toxic").alias("label"), "text")
     return exposure.attack_report(x, 0.25).withColumn("baseline_accuracy", F.round("baseline_accuracy", 9)).drop("accuracy", "auc")
+
+
+# --- memory systems
+
+_SAFE = f"""{_OWN}, known AS (SELECT DISTINCT user_id, original_text FROM items WHERE privacy_level IN ('PL3', 'PL4')), here AS (SELECT m.message_id, list(k.original_text ORDER BY length(k.original_text) DESC, k.original_text) AS l FROM msg m JOIN known k ON k.user_id = m.user_id AND contains(m.content, k.original_text) GROUP BY m.message_id),
+safe AS (SELECT m.message_id, m.user_id, m.message_index, m.role, CASE WHEN l IS NULL THEN content ELSE list_reduce(list_prepend(content, l), lambda t, x: replace(t, x, '***')) END AS text FROM msg m LEFT JOIN here USING (message_id))"""
+
+
+@_query(f"WITH {_SAFE} SELECT message_id, text FROM safe")
+def protected_texts(spark, sf_dir):
+    m = _talk(spark, sf_dir)
+    return privacy.protect_known(m, privacy.known_items(privacy.detect(m)), None)
+
+
+@_query(f"WITH {_SAFE}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY message_index) - 1 AS k, CASE WHEN message_index % 3 <> 0 THEN '2024-01-' || lpad(CAST(message_index + 1 AS VARCHAR), 2, '0') END AS d FROM safe) SELECT user_id AS conv_id, CAST(k // 4 AS BIGINT) AS chunk, arg_min(d, message_index) FILTER (role = 'user' AND d IS NOT NULL) AS date, string_agg(role || ': ' || text, chr(10) ORDER BY message_index) AS text FROM t GROUP BY user_id, k // 4")
+def chunks_to_write(spark, sf_dir):
+    m = _talk(spark, sf_dir)
+    date = F.when(F.col("message_index") % 3 != 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("message_index") + 1).cast("string"), 2, "0")))
+    turns = m.select(F.col("user_id").alias("conv_id"), F.col("message_index").alias("turn"), "user_id", "role", date.alias("date"), F.col("content").alias("text"))
+    return memory_eval.chunks_to_write(turns, privacy.known_items(privacy.detect(m)), None, 2)
+
+
+@_query(f"WITH {_TALK} SELECT message_id, '- ' || user_id || chr(10) || '- ' || role AS context FROM msg")
+def context_lines(spark, sf_dir):
+    body = F.concat(F.lit("Known facts:\n - "), F.col("user_id"), F.lit("\nno entry\n- "), F.col("role"), F.lit(" \n- "), F.expr("repeat('word ', 300)"), F.lit("\n- after"))
+    return _talk(spark, sf_dir).select("message_id", dialogue.context_lines(body).alias("context"))
+
+
+@_query(f"WITH {_OWN}, v AS (SELECT DISTINCT original_text, privacy_type FROM items WHERE privacy_type = 'Email'), n AS (SELECT *, row_number() OVER (ORDER BY original_text) AS seq FROM v) SELECT original_text, 'PL3' AS privacy_level, CAST(seq AS BIGINT) AS seq, '<MPM_Email_' || seq || '_0123456789ab>' AS mask, {_named(chr(39) + 'old' + chr(39), 'original_text')} AS fingerprint FROM n")
+def migrated_store(spark, sf_dir):
+    values = privacy.detect(_talk(spark, sf_dir)).where("privacy_type = 'Email'").select("original_text").distinct()
+    numbered = audit.with_sum_before(values.withColumn("one", F.lit(1).cast("long")), "original_text", "one", "n")
+    old = numbered.select("original_text", F.lit("Email").alias("privacy_type"), F.explode(F.array(F.lit("PL2"), F.lit("PL3"))).alias("privacy_level"), F.concat(F.lit("<MPM_Email_"), (F.col("n") + 1).cast("string"), F.lit("_0123456789ab>")).alias("mask"))
+    return aliases.migrate(old, "old", privacy.TEST_KEY).drop("namespace", "privacy_type")
+
+
+@_query(f"WITH {_TALK}, s AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS nth FROM (SELECT DISTINCT user_id FROM msg)), own AS (SELECT CASE WHEN m.message_index % 5 = 4 THEN 1 ELSE s.nth END AS nth, 1000 * s.nth + m.message_index AS line_no, m.content FROM msg m JOIN s USING (user_id) WHERE m.message_index % 4 <> 3) SELECT s.nth, md5(coalesce(string_agg(content, chr(10) ORDER BY line_no), '')) AS digest FROM s LEFT JOIN own USING (nth) GROUP BY s.nth")
+def attack_documents(spark, sf_dir):
+    m = _talk(spark, sf_dir)
+    sources = audit.with_sum_before(m.select("user_id").distinct().withColumn("one", F.lit(1).cast("long")), "user_id", "one", "n").select((F.col("n") + 1).alias("nth"), "user_id")
+    rows = m.join(sources, "user_id").select(F.lit("a").alias("artifact"), (1000 * F.col("nth") + F.col("message_index")).alias("line_no"), F.when(F.col("message_index") % 5 == 4, "").otherwise(F.col("user_id")).alias("identity"), F.lit("$.x").alias("path"), F.when(F.col("message_index") % 4 == 3, "other").otherwise("content").alias("name"), F.col("content").alias("value"))
+    return exposure.attack_documents(rows, sources).select("nth", F.md5("text").alias("digest"))
+
+
+@_query("WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q.vec_id AS query_id, m.vec_id, round(list_cosine_similarity(m.embedding::DOUBLE[], x.embedding::DOUBLE[]), 9) AS s FROM q JOIN embeddings x USING (vec_id) JOIN embeddings m ON m.vec_id <> q.vec_id), best AS (SELECT query_id, vec_id FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) = 1) SELECT query_id AS question_id, '- memory ' || vec_id || ' of bo@mail.example.com' AS answer, CASE WHEN vec_id % 2 = 0 THEN 'correct' ELSE 'partial' END AS label, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score, true AS is_valid FROM best")
+def answered_questions(spark, sf_dir):
+    """Answers that repeat the nearest memory and the question's private value: masked outside, restored at home."""
+    e = _table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.lit("u").alias("user_id"), F.lit("Who is bo@mail.example.com?").alias("question"), F.lit("x").alias("reference"), F.col("embedding").alias("query"))
+    items = spark.createDataFrame([("u", "q", 0, "bo@mail.example.com", "Email", "PL3")], "user_id string, message_id string, pos long, original_text string, privacy_type string, privacy_level string")
+
+    def respond(question: str, context: str) -> str:
+        assert "bo@" not in question
+        return f"{context.splitlines()[0]} of {question[7:-1]}"
+
+    memories = e.select("vec_id", F.concat(F.lit("memory "), F.col("vec_id").cast("string")).alias("text"), "embedding")
+    return memory_eval.answer_questions(q, memories, privacy.known_items(items), privacy.vault(items), respond, lambda a, r: "correct" if int(a.split()[2]) % 2 == 0 else "partial", 1)
