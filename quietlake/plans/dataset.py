@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quietlake.functions.text import TOKEN, hmac_sha256
 from quietlake.operators import aliases, audit, dialogue, privacy, utility
 from quietlake.plans import compiler
+from quietlake.sources import files
 
 FIELDS = ["question", "answer", "evidence"]
 
@@ -45,6 +46,7 @@ def invalid_annotations(items: DataFrame, valid: DataFrame) -> DataFrame:
 
 def scrubbed(compiled: DataFrame, terms: DataFrame) -> DataFrame:
     """Compiled messages without the sentences that hold a residual term of their user; tokens are counted anew where a text changed."""
+    compiled = files.materialised(compiled, "compiled")
     text = compiler.scrub_residual(compiled.select("message_id", "user_id", F.col("public_text").alias("text")), terms)
     rows = compiled.join(text, "message_id")
     count = F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).cast("long")
@@ -100,15 +102,15 @@ def compile_dataset(users: DataFrame, messages: DataFrame, items: DataFrame, que
 
     ``users``: user_id, user_name, language; ``messages``: user_id, message_id, message_index, role, content and ``annotated`` (false where the annotation asked
     for is missing: such messages stay out); ``items``: message_id, user_id, pos, original_text, privacy_type, privacy_level; ``questions`` as in ``question_fields``.
-    Each user's known values are looked for in all of that user's messages and questions. Nothing is collected: users with very many messages are rows like any others.
+    Each user's known values are looked for in all of that user's messages and questions. What several results share is written to the shared folder once. Nothing is collected: users with very many messages are rows like any others.
     """
     kept = with_scopes(messages.where("annotated"), per_session, per_task)
     given = items.join(kept.select("message_id"), "message_id", "left_semi")
     valid = privacy.validate(given, kept)
-    known = user_items(valid, users)
-    present = privacy.propagate(known, kept)
+    known = files.materialised(user_items(valid, users), "known")
+    present = files.materialised(privacy.propagate(known, kept), "present")
     compiled, _ = compiler.compile_items(kept, present, plan, key)
-    records = scrubbed(compiler.compile_messages(kept, compiled, plan.budget), compiler.residual_terms(known))
+    records = files.materialised(scrubbed(compiler.compile_messages(kept, compiled, plan.budget), compiler.residual_terms(known)), "records")
     stored = compiled.where("action <> 'drop'").withColumn("seen", F.struct("message_id", "item_index"))
     local = aliases.store_local(None, stored.select("user_id", "original_text", "privacy_type", "privacy_level", "seen"), key)
     provenance = aliases.provenance_records(compiled, plan.policy.version, F.current_timestamp().cast("string") if created_at is None else created_at)

@@ -27,6 +27,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what is read more than once is computed once, and a lost executor costs no more than reading."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1, blank lines counted, files in order of their names) and value.
 

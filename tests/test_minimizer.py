@@ -99,3 +99,62 @@ def test_residual_terms_and_scrub(spark):
 def test_long_messages_stay_linear(spark):
     frame = spark.range(1).select(F.lit(1).alias("message_id"), F.lit("user").alias("role"), F.expr("repeat('I like long days and short nights. ', 3000)").alias("content"), F.array().cast("array<string>").alias("protected"))
     assert len(minimize.minimize_messages(frame).first().public_text) < 1500
+
+
+def split(text):
+    found = []
+    for line in re.split("\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]", text):
+        found += [m[0].strip() for m in re.finditer("[^\n]+?(?:[.!?。！？；;]+[\"'”’]*|$)(?:\\s+|$)", line)]
+    return [u for u in found if u]
+
+
+def tidy(text):
+    text = re.sub(r"[ \t]+", " ", text)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+([,.;:!?，。；：！？])", r"\1", text)).strip()
+
+
+def compiled(text, role):
+    """A message's public text: what its values become, in the order of their lengths, deletions swallowing what they meet."""
+    items = {}
+    for kind, level, pattern, group in privacy.DETECTORS:
+        for m in re.finditer(pattern, text):
+            items[m[group]] = min(items.get(m[group], (9, "")), (-int(level[2]), kind))
+    spans, shown = [], []
+    for value in sorted(items, key=lambda v: (-len(v), text.find(v))):
+        level, kind = items[value]
+        words = next((t for ws, t in privacy.CATEGORIES if any(w in kind.lower() for w in ws)), privacy.OTHER_CATEGORY)
+        if level == -2:
+            shown.append(words)
+        at = text.find(value)
+        while at >= 0:
+            a, b = at, at + len(value)
+            if level != -2:
+                a -= len(re.search(r"[^.!?。！？；;\n]*\Z", text[:at])[0])
+                b += len(re.match(r"[^.!?。！？；;\n]*[.!?。！？；;\n]?\s*", text[b:])[0])
+            spans.append((-len(value), at, a, b, words if level == -2 else "", level != -2))
+            at = text.find(value, at + len(value))
+    kept = [s[2:] for s in sorted(spans)]
+    for _ in range(2):
+        queue, kept = kept, []
+        for a, b, new, drop in queue:
+            hit = [k for k in kept if k[0] < b and a < k[1]]
+            if not hit:
+                kept.append((a, b, new, drop))
+            elif drop or any(k[3] for k in hit):
+                kept = [k for k in kept if k not in hit] + [(min(a, *(k[0] for k in hit)), max(b, *(k[1] for k in hit)), "", True)]
+    for a, b, new, _ in sorted(kept, reverse=True):
+        text = text[:a] + new + text[b:]
+    text = tidy(text)
+    return tidy(expected(split(text), text, role, shown, minimize.Budget()))
+
+
+def test_compiled_messages_equal_plain_python(spark):
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rng = random.Random(8)
+    values = ["bo@mail1.example.com", "4111111111111111", "+1 (555) 010-1234", "10.0.0.1", f'token = "{"ab" * 20}"']
+    made = [" ".join(rng.choice([*SENTENCES, f"Mine is {rng.choice(values)}, and {rng.choice(values)}.", f"{rng.choice(values)}!", f"see {rng.choice(values)}\n\n\nthen  go ."]) for _ in range(rng.randint(1, 8))) for _ in range(150)]
+    rows = [(i, f"u{i}", rng.choice(["user", "assistant"]), t) for i, t in enumerate(docs + made)]
+    m = spark.createDataFrame(rows, "message_id long, user_id string, role string, content string")
+    got = {r.message_id: r.public_text for r in compiler.compile_public(m, privacy.validate(privacy.detect(m), m)).collect()}
+    for i, _, role, text in rows:
+        assert got[i] == compiled(text, role), text
