@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 from quietlake.functions.text import let, normalize_type, private_fragments
 
 #: Words of a type whose values are canaries, and words of a type that name a sensitive attribute.
-CRITICAL_WORDS = ["password", "passcode", "otp", "verification code", "recovery code", "api key", "access token", "secret key", "private key", "credential"]
+CRITICAL_WORDS = [
+    "password",
+    "passcode",
+    "otp",
+    "verification code",
+    "recovery code",
+    "api key",
+    "access token",
+    "secret key",
+    "private key",
+    "credential",
+]
 SENSITIVE_WORDS = [
     "medical", "health", "diagnosis", "prescription", "financial", "bank", "income", "debt", "loan", "credit", "religion", "ethnicity", "precise location", "address", "biometric", "password",
     "verification code", "recovery code", "api key", "token",
 ]
 #: What a canary looks like.
-CANARY = ["CANARY[-_:]?[A-Za-z0-9]+", "RC[-_ ]?[0-9]{3,}", "(?:sk|pk|api)[-_][A-Za-z0-9]{12,}", r"(?:^|[^\p{L}\p{N}_])[0-9]{6,8}(?:[^\p{L}\p{N}_]|$)"]
+CANARY = [
+    "CANARY[-_:]?[A-Za-z0-9]+",
+    "RC[-_ ]?[0-9]{3,}",
+    "(?:sk|pk|api)[-_][A-Za-z0-9]{12,}",
+    r"(?:^|[^\p{L}\p{N}_])[0-9]{6,8}(?:[^\p{L}\p{N}_]|$)",
+]
 #: Parts of a path that hold meaning, and parts that link records.
 SEMANTIC = ["public_text", "content", "question", "answer", "evidence", "all_options"]
 LINKAGE = ["source_fingerprint", "source_message_id", "scope_id", "provenance_id"]
@@ -39,7 +55,10 @@ def answer_text(answer: Column, options: Column) -> Column:
     """What an answer says: for a mere label the text of the first option with that label, else the answer."""
     answer = F.btrim(F.coalesce(answer, F.lit("")))
     label = F.lower(F.regexp_extract(answer, _LABEL, 1))
-    first = F.get(F.filter(F.transform(F.coalesce(options, F.array().cast("array<string>")), option), lambda o: o["label"] == label), F.lit(0))
+    first = F.get(
+        F.filter(F.transform(F.coalesce(options, F.array().cast("array<string>")), option), lambda o: o["label"] == label),
+        F.lit(0),
+    )
     return F.when(label == "", answer).otherwise(F.coalesce(F.nullif(first["text"], F.lit("")), answer))
 
 
@@ -64,7 +83,11 @@ def as_number(text: Column, default: float = 0.0) -> Column:
 def type_terms(kind: Column, level: Column) -> Column:
     """Words that a sensitive type and level imply, sorted."""
     name, high = normalize_type(kind), level.isin("PL3", "PL4")
-    words = [F.when(F.length(name) >= 4, name), F.when(high, F.lower(level)), *[F.when(name.contains(w), F.lit(w)) for w in dict.fromkeys([*SENSITIVE_WORDS, *CRITICAL_WORDS])]]
+    words = [
+        F.when(F.length(name) >= 4, name),
+        F.when(high, F.lower(level)),
+        *[F.when(name.contains(w), F.lit(w)) for w in dict.fromkeys([*SENSITIVE_WORDS, *CRITICAL_WORDS])],
+    ]
     return F.array_sort(F.array_distinct(F.filter(F.array_compact(F.array(*words)), lambda t: (F.length(t) >= 4) | t.rlike("^pl[0-9]$"))))
 
 
@@ -86,7 +109,12 @@ def shows_value(text: Column, value: Column, path: Column) -> Column:
     """Whether a place of meaning shows a value: four characters or more anywhere, shorter ones between characters that are no letters or digits."""
     wordly = lambda c: c.rlike(r"[\p{L}\p{N}]")
     n = F.length(value)
-    alone = F.exists(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: (F.substring(text, i, n) == value) & ~wordly(F.when(i > 1, F.substring(text, i - 1, F.lit(1))).otherwise("")) & ~wordly(F.substring(text, i + n, F.lit(1))))
+    alone = F.exists(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
+        lambda i: (F.substring(text, i, n) == value) & ~wordly(
+            F.when(i > 1, F.substring(text, i - 1, F.lit(1))).otherwise("")
+        ) & ~wordly(F.substring(text, i + n, F.lit(1))),
+    )
     return has_part(path, SEMANTIC) & (n > 0) & text.contains(value) & F.when(n >= 4, F.lit(True)).otherwise(alone)
 
 
@@ -105,13 +133,19 @@ def is_local(address: Column) -> Column:
 def endpoint(address: Column, allow_remote: Column) -> Column:
     """local, remote where that is allowed, else an error: private text must not leave the machine by mistake."""
     refused = F.raise_error(F.concat(F.lit("refusing to send private text to "), F.coalesce(address, F.lit("nowhere"))))
-    return F.when(is_local(address), "local").when(F.coalesce(allow_remote, F.lit(False)) & (F.btrim(address) != ""), "remote").otherwise(refused.cast("string"))
+    return F.when(is_local(address), "local").when(
+        F.coalesce(allow_remote, F.lit(False)) & (F.btrim(address) != ""),
+        "remote",
+    ).otherwise(refused.cast("string"))
 
 
 def is_literal_secret(key: Column, value: Column) -> Column:
     """A setting by a secret's name whose value is written out instead of naming a variable."""
     name = F.regexp_replace(F.lower(key), "-", "_")
-    return reduce(lambda a, b: a | b, (name.endswith(k) for k in SECRET_KEYS)) & let(F.btrim(F.coalesce(value, F.lit(""))), lambda v: (v != "") & ~v.startswith("$"))
+    return reduce(lambda a, b: a | b, (name.endswith(k) for k in SECRET_KEYS)) & let(
+        F.btrim(F.coalesce(value, F.lit(""))),
+        lambda v: (v != "") & ~v.startswith("$"),
+    )
 
 
 def missing(required: list[str], present: Column) -> Column:

@@ -8,7 +8,27 @@ from pyspark.sql import functions as F
 #: A token is an ASCII word run or a single other character.
 TOKEN = r"[A-Za-z0-9_]+|[^\x00-\x7F]"
 #: Words that carry no answer.
-STOPWORDS = ["the", "a", "an", "and", "or", "to", "of", "in", "is", "was", "it", "for", "on", "what", "how", "when", "where", "who", "which"]
+STOPWORDS = [
+    "the",
+    "a",
+    "an",
+    "and",
+    "or",
+    "to",
+    "of",
+    "in",
+    "is",
+    "was",
+    "it",
+    "for",
+    "on",
+    "what",
+    "how",
+    "when",
+    "where",
+    "who",
+    "which",
+]
 _STRIP = r"(?U)^\s+|\s+$"
 
 
@@ -38,7 +58,10 @@ def split_units(text: Column, by_line: bool = True) -> Column:
         return F.flatten(F.transform(F.split(text, "\r\n|[\n\r\\x0B\f\\x1C-\\x1E\\x85\\u2028\\u2029]"), of))
     # Line by line as well, since one pattern over the whole text would try every place of a lost stretch anew.
     whole = lambda units, last: F.when(last | (F.size(units) == 0) | F.element_at(units, F.greatest(F.size(units), F.lit(1))).rlike(ends), units).otherwise(F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))))
-    return let(F.split(text, "\n"), lambda lines: F.flatten(F.transform(lines, lambda x, i: let(of(x), lambda units: whole(units, i == F.size(lines) - 1)))))
+    return let(
+        F.split(text, "\n"),
+        lambda lines: F.flatten(F.transform(lines, lambda x, i: let(of(x), lambda units: whole(units, i == F.size(lines) - 1)))),
+    )
 
 
 def utility_tokens(text: Column) -> Column:
@@ -64,9 +87,20 @@ def mask_prefix(kind: Column) -> Column:
 def private_fragments(value: Column) -> Column:
     """Parts of a value, four characters or more, that must not show in public text. The patterns are fixed values."""
     value = F.regexp_replace(value, _STRIP, "")
-    tokens = F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}"), F.lit(0)), lambda t: F.btrim(t, F.lit(".,;:!?()[]{}<>，。；：！？（）【】")))
+    tokens = F.transform(
+        F.regexp_extract_all(value, F.lit("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}"), F.lit(0)),
+        lambda t: F.btrim(t, F.lit(".,;:!?()[]{}<>，。；：！？（）【】")),
+    )
     mails = F.filter(tokens, lambda t: t.contains("@"))
-    halves = F.flatten(F.transform(mails, lambda t: F.concat(F.array(F.split_part(t, F.lit("@"), F.lit(1)), F.substring(t, F.instr(t, "@") + 1, F.length(t))), F.split(F.substring(t, F.instr(t, "@") + 1, F.length(t)), "\\."))))
+    halves = F.flatten(
+        F.transform(
+            mails,
+            lambda t: F.concat(
+                F.array(F.split_part(t, F.lit("@"), F.lit(1)), F.substring(t, F.instr(t, "@") + 1, F.length(t))),
+                F.split(F.substring(t, F.instr(t, "@") + 1, F.length(t)), "\\."),
+            ),
+        )
+    )
     digits = F.regexp_replace(value, "[^0-9]+", "")
     every = F.concat(F.array(value), tokens, halves, F.array(digits, F.right(digits, F.lit(4))))
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) >= 4)))

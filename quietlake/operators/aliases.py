@@ -47,7 +47,14 @@ def merge_store(store: DataFrame | None, items: DataFrame, key: bytes, typed: bo
     names = ["namespace", "original_text", "privacy_type"]
     fresh = items.groupBy(*names).agg(F.max("privacy_level").alias("new_level"), F.min("seen").alias("seen"))
     if store is None:
-        joined = fresh.withColumns({"privacy_level": F.lit(None).cast("string"), "seq": F.lit(None).cast("long"), "fingerprint": F.lit(None).cast("string"), "mask": F.lit(None).cast("string")})
+        joined = fresh.withColumns(
+            {
+                "privacy_level": F.lit(None).cast("string"),
+                "seq": F.lit(None).cast("long"),
+                "fingerprint": F.lit(None).cast("string"),
+                "mask": F.lit(None).cast("string"),
+            }
+        )
         last = fresh.select("namespace", "privacy_type").distinct().withColumn("last", F.lit(0).cast("long"))
     else:
         joined = store.join(fresh, names, "full")
@@ -57,7 +64,15 @@ def merge_store(store: DataFrame | None, items: DataFrame, key: bytes, typed: bo
     rows = joined.withColumn("seq", F.coalesce("seq", F.coalesce("last", F.lit(0)) + place))
     rows = rows.withColumn("fingerprint", F.coalesce("fingerprint", hmac_sha256(key, F.concat_ws("\0", "namespace", "original_text"))))
     prefix = mask_prefix(F.col("privacy_type")) if typed else F.lit("Private")
-    made = F.concat(F.lit("<MPM_"), prefix, F.lit("_"), F.col("seq").cast("string"), F.lit("_"), F.left("fingerprint", F.lit(12)), F.lit(">"))
+    made = F.concat(
+        F.lit("<MPM_"),
+        prefix,
+        F.lit("_"),
+        F.col("seq").cast("string"),
+        F.lit("_"),
+        F.left("fingerprint", F.lit(12)),
+        F.lit(">"),
+    )
     level = F.greatest("privacy_level", "new_level")
     return rows.select(*names, level.alias("privacy_level"), "seq", "fingerprint", F.coalesce("mask", made).alias("mask"))
 
@@ -74,10 +89,23 @@ def query_local(store: DataFrame, kind: Column | None = None) -> DataFrame:
     return rows if kind is None else rows.where(F.col("privacy_type") == kind)
 
 
-def lookup(store: DataFrame, namespace: str | None = None, mask: str | None = None, text: str | None = None, kind: str | None = None, level: str | None = None) -> DataFrame:
+def lookup(
+    store: DataFrame,
+    namespace: str | None = None,
+    mask: str | None = None,
+    text: str | None = None,
+    kind: str | None = None,
+    level: str | None = None,
+) -> DataFrame:
     """Rows of a store by any of its names; of rows with one text the highest level comes first."""
     rows = store
-    for column, value in {"namespace": namespace, "mask": mask, "original_text": text, "privacy_type": kind, "privacy_level": level}.items():
+    for column, value in {
+        "namespace": namespace,
+        "mask": mask,
+        "original_text": text,
+        "privacy_type": kind,
+        "privacy_level": level,
+    }.items():
         if value is not None:
             rows = rows.where(F.col(column) == value)
     return rows.orderBy(F.desc("privacy_level"), "namespace", "privacy_type", "seq")
@@ -86,9 +114,20 @@ def lookup(store: DataFrame, namespace: str | None = None, mask: str | None = No
 def migrate(old: DataFrame, namespace: str, key: bytes) -> DataFrame:
     """An older table (original_text, privacy_type, privacy_level, mask) as rows of a store: masks and their numbers stay, values get fingerprints; of a value that stands there twice the highest level and the first number count."""
     number = F.coalesce(F.nullif(F.regexp_extract("mask", "_([0-9]+)_[a-f0-9]+>$", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
-    rows = old.withColumn("seq", number).groupBy("original_text", "privacy_type").agg(F.max("privacy_level").alias("privacy_level"), F.min(F.struct("seq", "mask")).alias("m"))
+    rows = old.withColumn("seq", number).groupBy("original_text", "privacy_type").agg(
+        F.max("privacy_level").alias("privacy_level"),
+        F.min(F.struct("seq", "mask")).alias("m"),
+    )
     name = F.lit(namespace)
-    return rows.select(name.alias("namespace"), "original_text", "privacy_type", "privacy_level", F.col("m.seq").alias("seq"), hmac_sha256(key, F.concat_ws("\0", name, "original_text")).alias("fingerprint"), F.col("m.mask").alias("mask"))
+    return rows.select(
+        name.alias("namespace"),
+        "original_text",
+        "privacy_type",
+        "privacy_level",
+        F.col("m.seq").alias("seq"),
+        hmac_sha256(key, F.concat_ws("\0", name, "original_text")).alias("fingerprint"),
+        F.col("m.mask").alias("mask"),
+    )
 
 
 def get_aliases(store: DataFrame | None, items: DataFrame, scope: Column, key: bytes) -> tuple[DataFrame, DataFrame]:
@@ -108,10 +147,25 @@ def restore(texts: DataFrame, store: DataFrame, extra: Column | None = None) ->
     named = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat_ws(":", "user_id", F.lit(s), c)) if c else F.concat_ws(":", "user_id", F.lit(s), F.lit("persistent")) for s, c in SCOPES.items()]
     own = F.array_compact(F.array(*named))
     if extra is not None:
-        own = F.array_union(own, F.transform(F.coalesce(extra, F.array().cast("array<struct<scope:string,scope_id:string>>")), lambda e: F.concat_ws(":", F.col("user_id"), e["scope"], e["scope_id"])))
-    held = texts.select("text_id", own.alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ALIAS), F.lit(0)))).alias("mask"))
-    found = held.select("text_id", "mask", F.explode("own").alias("namespace")).join(store.select("namespace", "mask", "original_text"), ["namespace", "mask"])
-    pairs = found.groupBy("text_id").agg(F.collect_set(F.struct(F.col("original_text").alias("old"), F.col("mask").alias("new"))).alias("pairs"))
+        own = F.array_union(
+            own,
+            F.transform(
+                F.coalesce(extra, F.array().cast("array<struct<scope:string,scope_id:string>>")),
+                lambda e: F.concat_ws(":", F.col("user_id"), e["scope"], e["scope_id"]),
+            ),
+        )
+    held = texts.select(
+        "text_id",
+        own.alias("own"),
+        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ALIAS), F.lit(0)))).alias("mask"),
+    )
+    found = held.select("text_id", "mask", F.explode("own").alias("namespace")).join(
+        store.select("namespace", "mask", "original_text"),
+        ["namespace", "mask"],
+    )
+    pairs = found.groupBy("text_id").agg(
+        F.collect_set(F.struct(F.col("original_text").alias("old"), F.col("mask").alias("new"))).alias("pairs")
+    )
     done = F.when(F.col("pairs").isNull(), F.col("text")).otherwise(spans.unmask(F.col("text"), F.col("pairs")))
     return texts.join(pairs, "text_id", "left").select("text_id", done.alias("text"))
 
@@ -129,21 +183,38 @@ def prepare_queries(queries: DataFrame, store: DataFrame, key: bytes, most: int
     """
     asked = F.array_distinct("required")
     refused = F.array_sort(F.filter(asked, lambda t: ~F.array_contains("exact", t) | ~F.array_contains("consented", t)))
-    checked = F.when(F.coalesce("task_id", F.lit("")) == "", F.raise_error(F.lit("a task is required")).cast("array<string>")).when(F.size(refused) > 0, F.raise_error(F.concat(F.lit("not consented: "), F.array_join(refused, ", "))).cast("array<string>")).otherwise(asked)
+    checked = F.when(F.coalesce("task_id", F.lit("")) == "", F.raise_error(F.lit("a task is required")).cast("array<string>")).when(
+        F.size(refused) > 0,
+        F.raise_error(F.concat(F.lit("not consented: "), F.array_join(refused, ", "))).cast("array<string>"),
+    ).otherwise(asked)
     rows = queries.withColumn("asked", checked)
     wanted = rows.select("query_id", "user_id", "task_id", F.posexplode("asked").alias("nth", "privacy_type"))
     rank = F.row_number().over(Window.partitionBy("user_id", "privacy_type").orderBy(F.desc("privacy_level"), "seq", "original_text"))
     own = query_local(store).where("privacy_level <> 'PL4'").withColumn("rank", rank).where(F.col("rank") <= most)
     items = wanted.join(own.select("user_id", "privacy_type", "original_text", "privacy_level", "rank"), ["user_id", "privacy_type"])
-    items = items.withColumns({"turn_id": F.lit(None).cast("string"), "session_id": F.lit(None).cast("string"), "seen": F.struct("nth", "rank", "query_id")})
+    items = items.withColumns(
+        {"turn_id": F.lit(None).cast("string"), "session_id": F.lit(None).cast("string"), "seen": F.struct("nth", "rank", "query_id")}
+    )
     after, named = get_aliases(store, items, F.lit("task"), key)
     alias = F.struct("nth", "rank", "privacy_type", "privacy_level", "alias", "scope", "scope_id")
     lists = named.groupBy("query_id").agg(F.array_sort(F.collect_list(alias)).alias("l"))
     l = F.coalesce("l", F.array().cast(lists.schema["l"].dataType))
     lines = F.array_join(F.transform(l, lambda a: F.concat(F.lit("- "), a["privacy_type"], F.lit(": "), a["alias"])), "\n")
     out = rows.join(lists, "query_id", "left").select(
-        "query_id", "user_id", "task_id", hmac_sha256(key, F.col("query")).alias("fingerprint"), F.concat("query", F.when(F.size(l) > 0, F.concat(F.lit(REFERENCES), lines)).otherwise("")).alias("cloud_query"),
-        F.transform(l, lambda a: F.struct(a["privacy_type"].alias("privacy_type"), a["privacy_level"].alias("privacy_level"), a["alias"].alias("alias"), a["scope"].alias("scope"), a["scope_id"].alias("scope_id"))).alias("aliases"),
+        "query_id", "user_id", "task_id", hmac_sha256(key, F.col("query")).alias("fingerprint"), F.concat(
+            "query",
+            F.when(F.size(l) > 0, F.concat(F.lit(REFERENCES), lines)).otherwise(""),
+        ).alias("cloud_query"),
+        F.transform(
+            l,
+            lambda a: F.struct(
+                a["privacy_type"].alias("privacy_type"),
+                a["privacy_level"].alias("privacy_level"),
+                a["alias"].alias("alias"),
+                a["scope"].alias("scope"),
+                a["scope_id"].alias("scope_id"),
+            ),
+        ).alias("aliases"),
         F.array_except("asked", F.transform(l, lambda a: a["privacy_type"])).alias("missing"),
     )
     return after, out
@@ -158,7 +229,10 @@ def provenance_records(items: DataFrame, policy_version: str, created_at: Column
 
     The record's id follows from its source, so the same run gives the same ids. No private value is in it.
     """
-    name = F.sha2(F.concat_ws("\0", "user_id", "message_id", F.col("item_index").cast("string"), F.lit(policy_version), "privacy_type"), 256)
+    name = F.sha2(
+        F.concat_ws("\0", "user_id", "message_id", F.col("item_index").cast("string"), F.lit(policy_version), "privacy_type"),
+        256,
+    )
     nothing = F.lit(None).cast("string")
     return items.select(
         F.left(name, F.lit(32)).alias("record_id"), "user_id", F.col("message_id").cast("string").alias("source_message_id"), F.col("item_index").cast("long").alias("source_item_index"), F.lit(policy_version).alias("policy_version"),
@@ -184,14 +258,27 @@ def attach_cloud_ids(table: DataFrame, additions: DataFrame) -> DataFrame:
     """Appends cloud ids, each once; ``additions``: record_id, cloud_id. An unknown record raises."""
     more = additions.groupBy("record_id").agg(F.array_sort(F.collect_set("cloud_id")).alias("more"))
     joined = table.join(more, "record_id", "full")
-    known = F.when(F.col("user_id").isNull(), F.raise_error(F.concat(F.lit("unknown record: "), F.col("record_id"))).cast("array<string>")).otherwise(F.array_union("cloud_memory_ids", F.coalesce("more", F.array().cast("array<string>"))))
+    known = F.when(
+        F.col("user_id").isNull(),
+        F.raise_error(F.concat(F.lit("unknown record: "), F.col("record_id"))).cast("array<string>"),
+    ).otherwise(F.array_union("cloud_memory_ids", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.withColumn("cloud_memory_ids", known).select(table.columns)
 
 
 def revoke_by_source(table: DataFrame, sources: DataFrame, reason: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """The table after revoking the active records of ``sources`` (user_id, source_message_id), and user_id with the distinct cloud ids to forget, sorted."""
     hit = sources.select("user_id", "source_message_id").distinct().withColumn("hit", F.lit(True))
-    joined = table.join(hit, ["user_id", "source_message_id"], "left").withColumn("gone", F.coalesce("hit", F.lit(False)) & F.col("revoked_at").isNull())
-    cloud = joined.where("gone").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cloud_memory_ids")))).alias("cloud_ids"))
-    after = joined.withColumns({"revoked_at": F.when(F.col("gone"), now).otherwise(F.col("revoked_at")), "revocation_reason": F.when(F.col("gone"), F.lit(reason)).otherwise(F.col("revocation_reason"))})
+    joined = table.join(hit, ["user_id", "source_message_id"], "left").withColumn(
+        "gone",
+        F.coalesce("hit", F.lit(False)) & F.col("revoked_at").isNull(),
+    )
+    cloud = joined.where("gone").groupBy("user_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("cloud_memory_ids")))).alias("cloud_ids")
+    )
+    after = joined.withColumns(
+        {
+            "revoked_at": F.when(F.col("gone"), now).otherwise(F.col("revoked_at")),
+            "revocation_reason": F.when(F.col("gone"), F.lit(reason)).otherwise(F.col("revocation_reason")),
+        }
+    )
     return after.select(table.columns), cloud

@@ -32,7 +32,10 @@ def buckets(messages: DataFrame, session: int = 20, task: int = 5) -> DataFrame:
 def chunk_turns(turns: DataFrame, n: int = 5) -> DataFrame:
     """``turns``: conv_id, turn, role, text. Pairs (2i, 2i+1) in chunks of n pairs; a lone last message has no partner."""
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    rows = turns.withColumn("at", at).groupBy("conv_id", F.floor(F.col("at") / 2).alias("pair")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("text"))).alias("first"), F.max(F.when(F.col("at") % 2 == 1, F.col("text"))).alias("second"))
+    rows = turns.withColumn("at", at).groupBy("conv_id", F.floor(F.col("at") / 2).alias("pair")).agg(
+        F.max(F.when(F.col("at") % 2 == 0, F.col("text"))).alias("first"),
+        F.max(F.when(F.col("at") % 2 == 1, F.col("text"))).alias("second"),
+    )
     return rows.withColumn("chunk", F.floor(F.col("pair") / n))
 
 
@@ -47,7 +50,11 @@ def score_summary(records: DataFrame, by_type: bool = True) -> DataFrame:
     """total_score, total_valid, total_num, accuracy and accuracy_valid, for each question_type (``Unknown`` if empty) or over all. ``records``: question_type, score, is_valid."""
     kind = F.coalesce(F.nullif("question_type", F.lit("")), F.lit("Unknown")).alias("question_type")
     groups = records.groupBy(kind) if by_type else records.groupBy()
-    rows = groups.agg(F.coalesce(F.sum(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("total_score"), F.count_if(F.coalesce("is_valid", F.lit(False))).alias("total_valid"), F.count(F.lit(1)).alias("total_num"))
+    rows = groups.agg(
+        F.coalesce(F.sum(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("total_score"),
+        F.count_if(F.coalesce("is_valid", F.lit(False))).alias("total_valid"),
+        F.count(F.lit(1)).alias("total_num"),
+    )
     share = lambda n: F.coalesce(F.try_divide("total_score", n), F.lit(0.0))
     return rows.withColumns({"accuracy": share("total_num"), "accuracy_valid": share("total_valid")})
 
@@ -55,7 +62,10 @@ def score_summary(records: DataFrame, by_type: bool = True) -> DataFrame:
 def judged(label: Column) -> Column:
     """Struct of score and is_valid for a judge's label: correct, partial, or anything else; null and none are no judgement."""
     low = F.lower(F.btrim(label))
-    return F.struct(F.when(low == "correct", 1.0).when(low == "partial", 0.5).otherwise(0.0).alias("score"), (label.isNotNull() & (low != "none")).alias("is_valid"))
+    return F.struct(
+        F.when(low == "correct", 1.0).when(low == "partial", 0.5).otherwise(0.0).alias("score"),
+        (label.isNotNull() & (low != "none")).alias("is_valid"),
+    )
 
 
 def context_lines(context: Column, most: int = 250) -> Column:
@@ -66,7 +76,10 @@ def context_lines(context: Column, most: int = 250) -> Column:
     def step(a: Column, line: Column) -> Column:
         after = a["used"] + estimate_tokens(line)
         fits = ~a["full"] & (after <= most)
-        return F.when(fits, F.struct(F.array_append(a["kept"], line).alias("kept"), after.alias("used"), F.lit(False).alias("full"))).otherwise(F.struct(a["kept"].alias("kept"), a["used"].alias("used"), F.lit(True).alias("full")))
+        return F.when(
+            fits,
+            F.struct(F.array_append(a["kept"], line).alias("kept"), after.alias("used"), F.lit(False).alias("full")),
+        ).otherwise(F.struct(a["kept"].alias("kept"), a["used"].alias("used"), F.lit(True).alias("full")))
 
     return F.array_join(F.aggregate(entries, begin, step, lambda a: a["kept"]), "\n")
 
@@ -95,10 +108,20 @@ def top_k(memories: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 
 def _top_k(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    pairs = memories.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("similarity"))
+    pairs = memories.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select(
+        "query_id",
+        "vec_id",
+        F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("similarity"),
+    )
     order = [F.desc("similarity"), F.asc("vec_id")]
-    local = pairs.withColumn("part", F.spark_partition_id()).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("part")
+    local = pairs.withColumn("part", F.spark_partition_id()).withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order)),
+    ).where(F.col("rank") <= k)
+    return local.withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy("query_id").orderBy(*order)),
+    ).where(F.col("rank") <= k).drop("part")
 
 
 def gates(runs: DataFrame) -> DataFrame:
@@ -113,7 +136,13 @@ def pareto(runs: DataFrame) -> DataFrame:
     triple can only be dominated by one read before it. What is left of all tasks is compared once more.
     """
     goods = ["utility", "local", "public_token_count"]
-    rows = runs.withColumns({"utility": F.coalesce("utility", F.lit(0.0)), "local": F.coalesce("local", F.lit(0.0)), "public_token_count": F.coalesce("public_token_count", F.lit(0))})
+    rows = runs.withColumns(
+        {
+            "utility": F.coalesce("utility", F.lit(0.0)),
+            "local": F.coalesce("local", F.lit(0.0)),
+            "public_token_count": F.coalesce("public_token_count", F.lit(0)),
+        }
+    )
     points = rows.select(*goods).distinct()
 
     def frontier(batches):
@@ -126,7 +155,10 @@ def pareto(runs: DataFrame) -> DataFrame:
                 kept = undominated(kept)
         kept = undominated(kept)
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), batch.schema, strict=True)], names=goods)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), batch.schema, strict=True)],
+                names=goods,
+            )
 
     local = points.mapInArrow(frontier, points.schema)
     best = local.coalesce(1).mapInArrow(frontier, points.schema)
@@ -151,15 +183,26 @@ def undominated(points: list[tuple]) -> list[tuple]:
 def recommend(runs: DataFrame) -> DataFrame:
     """One row: the smallest passing budget, the best one, and how many runs passed."""
     key = F.struct(F.col("utility"), F.col("local"), (-F.col("public_token_count")).alias("t"), (-F.col("max_public_tokens")).alias("b"))
-    return gates(runs).where("failed = ''").agg(F.min("max_public_tokens").alias("smallest"), F.max_by("max_public_tokens", key).alias("best"), F.count(F.lit(1)).alias("eligible"))
+    return gates(runs).where("failed = ''").agg(
+        F.min("max_public_tokens").alias("smallest"),
+        F.max_by("max_public_tokens", key).alias("best"),
+        F.count(F.lit(1)).alias("eligible"),
+    )
 
 
 def distill(examples: DataFrame, min_support: int = 1) -> DataFrame:
     """Templates by type, level and text: mean scores, half-even mean abstraction level, mode of the representation."""
     keys = ["privacy_type", "privacy_level", "text"]
-    mode = examples.groupBy(*keys, "representation").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max_by("representation", F.struct("c", "representation")).alias("representation"))
+    mode = examples.groupBy(*keys, "representation").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(
+        F.max_by("representation", F.struct("c", "representation")).alias("representation")
+    )
     examples = examples.where(F.col("text") != "")
-    means = examples.groupBy(*keys).agg(F.avg("utility").alias("utility"), F.avg("leakage").alias("leakage"), F.bround(F.avg("specificity")).cast("long").alias("abstraction_level"), F.count(F.lit(1)).alias("support"))
+    means = examples.groupBy(*keys).agg(
+        F.avg("utility").alias("utility"),
+        F.avg("leakage").alias("leakage"),
+        F.bround(F.avg("specificity")).cast("long").alias("abstraction_level"),
+        F.count(F.lit(1)).alias("support"),
+    )
     return means.join(mode, keys).where(F.col("support") >= min_support)
 
 
@@ -172,4 +215,7 @@ def revoke(provenance: DataFrame, user_id: Column, messages: Column, reason: str
 def attach_cloud_id(provenance: DataFrame, additions: DataFrame) -> DataFrame:
     """Appends cloud ids to records, each once; ``additions``: record_id, cloud_id."""
     more = additions.groupBy("record_id").agg(F.collect_set("cloud_id").alias("more"))
-    return provenance.join(more, "record_id", "left").withColumn("cloud_memory_ids", F.array_union("cloud_memory_ids", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    return provenance.join(more, "record_id", "left").withColumn(
+        "cloud_memory_ids",
+        F.array_union("cloud_memory_ids", F.coalesce("more", F.array().cast("array<string>"))),
+    ).drop("more")

@@ -28,8 +28,14 @@ def signals(users: DataFrame, messages: DataFrame, items: DataFrame) -> DataFram
     value, level, kind = F.btrim("original_text"), F.col("privacy_level"), F.col("privacy_type")
     own = items.where(F.btrim("original_text") != "")
     content = messages.select("user_id", "message_index", F.btrim("content").alias("content"))
-    told = own.join(content, ["user_id", "message_index"]).where(F.col("content").contains(value) | level.isin("PL3", "PL4")).select("user_id", "message_index").distinct().withColumn("flag", F.lit(True))
-    marked = content.where(F.length("content") >= 24).join(told, ["user_id", "message_index"], "left").withColumn("flag", F.coalesce("flag", no))
+    told = own.join(content, ["user_id", "message_index"]).where(
+        F.col("content").contains(value) | level.isin("PL3", "PL4")
+    ).select("user_id", "message_index").distinct().withColumn("flag", F.lit(True))
+    marked = content.where(F.length("content") >= 24).join(
+        told,
+        ["user_id", "message_index"],
+        "left",
+    ).withColumn("flag", F.coalesce("flag", no))
     last = marked.groupBy("user_id", "content").agg(F.max_by("flag", "message_index").alias("flag"))
     found = [
         own.select(*row("secret", value, level, kind)),
@@ -37,11 +43,21 @@ def signals(users: DataFrame, messages: DataFrame, items: DataFrame) -> DataFram
         users.select(*row("identifier", F.btrim("user_name"))),
         last.select(*row("marker", F.col("content"), flag=F.col("flag"))),
         own.where(is_canary(value, kind)).select(*row("canary", value)),
-        own.where(level.isin("PL3", "PL4")).withColumn("term", F.explode(type_terms(kind, level))).select(*row("term", F.col("term"), level, kind)),
+        own.where(level.isin("PL3", "PL4")).withColumn(
+            "term",
+            F.explode(type_terms(kind, level)),
+        ).select(*row("term", F.col("term"), level, kind)),
     ]
     mine = reduce(DataFrame.unionByName, found).where(F.coalesce("text", F.lit("")) != "").distinct()
     others = mine.where("kind <> 'marker'").withColumn("owner", F.lit(EVERYONE)).distinct()
-    markers = mine.where("kind = 'marker'").groupBy("kind", "text").agg(F.max_by("flag", "owner").alias("flag")).select(F.lit(EVERYONE).alias("owner"), "kind", "text", nothing.alias("privacy_level"), nothing.alias("privacy_type"), "flag")
+    markers = mine.where("kind = 'marker'").groupBy("kind", "text").agg(F.max_by("flag", "owner").alias("flag")).select(
+        F.lit(EVERYONE).alias("owner"),
+        "kind",
+        "text",
+        nothing.alias("privacy_level"),
+        nothing.alias("privacy_type"),
+        "flag",
+    )
     return mine.unionByName(others).unionByName(markers)
 
 
@@ -52,7 +68,11 @@ def owners(records: DataFrame, sources: DataFrame, lost: Column) -> DataFrame:
     """
     first = records.where(F.coalesce("identity", F.lit("")) != "").groupBy("artifact", "identity").agg(F.min("line_no").alias("first"))
     placed = first.withColumn("nth", F.row_number().over(Window.partitionBy("artifact").orderBy("first", "identity")).cast("long"))
-    return placed.join(sources.select(F.col("nth").cast("long").alias("nth"), "user_id"), "nth", "left").select("artifact", "identity", F.coalesce("user_id", lost).alias("owner"))
+    return placed.join(
+        sources.select(F.col("nth").cast("long").alias("nth"), "user_id"),
+        "nth",
+        "left",
+    ).select("artifact", "identity", F.coalesce("user_id", lost).alias("owner"))
 
 
 def exposures(strings: DataFrame, known: DataFrame, aliases: bool = True) -> DataFrame:
@@ -71,25 +91,51 @@ def exposures(strings: DataFrame, known: DataFrame, aliases: bool = True) -> Dat
     low = strings.withColumn("value", F.lower("value"))
     terms = contains_join(low, known.where("kind = 'term'").withColumn("text", F.lower("text")), "owner", place, "value", "text")
     tells = F.lower("path").rlike(r"\.privacy_(?:type|level)$")
-    markers = strings.join(known.where("kind = 'marker'").select("owner", F.col("text").alias("marker"), "flag"), "owner").where(F.btrim("value") == F.col("marker"))
+    markers = strings.join(
+        known.where("kind = 'marker'").select("owner", F.col("text").alias("marker"), "flag"),
+        "owner",
+    ).where(F.btrim("value") == F.col("marker"))
     found = [
         out(hit, names[F.col("kind")], F.col("text"), fail, F.col("privacy_level"), F.col("privacy_type")),
         out(markers, F.lit("membership_marker"), F.left("marker", F.lit(160)), F.when(F.col("flag"), fail).otherwise(warn)),
-        out(terms, F.lit("sensitive_attribute"), F.col("text"), F.when(tells, fail).otherwise(warn), F.col("privacy_level"), F.col("privacy_type")),
+        out(
+            terms,
+            F.lit("sensitive_attribute"),
+            F.col("text"),
+            F.when(tells, fail).otherwise(warn),
+            F.col("privacy_level"),
+            F.col("privacy_type"),
+        ),
         out(strings.where(F.col("value").rlike(audit.INJECTION)), F.lit("prompt_injection_risk"), F.left("value", F.lit(160)), fail),
-        out(strings.where(has_part(F.col("path"), LINKAGE) & (F.btrim("value") != "")), F.lit("linkage_metadata"), F.left("value", F.lit(96)), fail),
+        out(
+            strings.where(has_part(F.col("path"), LINKAGE) & (F.btrim("value") != "")),
+            F.lit("linkage_metadata"),
+            F.left("value", F.lit(96)),
+            fail,
+        ),
     ]
     if aliases:
-        seen = strings.select(*place, F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(audit.ALIAS), F.lit(0)))).alias("alias"))
+        seen = strings.select(
+            *place,
+            F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(audit.ALIAS), F.lit(0)))).alias("alias"),
+        )
         again = seen.groupBy("alias").agg(F.count_distinct(*place).alias("n")).where("n > 1")
-        again = again.select(F.lit("<cross-artifact>").alias("artifact"), F.lit(0).cast("long").alias("line_no"), F.concat(F.col("n").cast("string"), F.lit(" places")).alias("path"), "alias")
+        again = again.select(
+            F.lit("<cross-artifact>").alias("artifact"),
+            F.lit(0).cast("long").alias("line_no"),
+            F.concat(F.col("n").cast("string"), F.lit(" places")).alias("path"),
+            "alias",
+        )
         found.append(out(again, F.lit("cross_record_alias_reuse"), F.col("alias"), warn))
     return reduce(DataFrame.unionByName, found)
 
 
 #: Counts of a report, and the exposure types that each adds up.
 COUNTS = {
-    "exact_exposures": ["exact_secret"], "identifier_exposures": ["user_identifier"], "attribute_exposures": ["sensitive_attribute"], "linkage_exposures": ["linkage_metadata", "cross_record_alias_reuse"],
+    "exact_exposures": ["exact_secret"], "identifier_exposures": ["user_identifier"], "attribute_exposures": ["sensitive_attribute"], "linkage_exposures": [
+        "linkage_metadata",
+        "cross_record_alias_reuse",
+    ],
     "membership_exposures": ["membership_marker"], "canary_exposures": ["canary_exposure"], "injection_risks": ["prompt_injection_risk"],
 }
 
@@ -98,7 +144,12 @@ def report(found: DataFrame) -> DataFrame:
     """One row of counts by type and severity, and whether nothing failed."""
     kind, severity = F.col("exposure_type"), F.col("severity")
     counts = [F.count_if(kind.isin(types)).alias(name) for name, types in COUNTS.items()]
-    row = found.agg(*counts, F.count_if((kind == "exact_secret") & (F.col("privacy_level") == "PL4")).alias("pl4_exposures"), F.count_if(severity == "warning").alias("warnings"), F.count_if(severity == "failure").alias("failures"))
+    row = found.agg(
+        *counts,
+        F.count_if((kind == "exact_secret") & (F.col("privacy_level") == "PL4")).alias("pl4_exposures"),
+        F.count_if(severity == "warning").alias("warnings"),
+        F.count_if(severity == "failure").alias("failures"),
+    )
     return row.withColumn("passed", F.col("failures") == 0)
 
 
@@ -123,7 +174,9 @@ def attack_documents(strings: DataFrame, sources: DataFrame) -> DataFrame:
     first = sources.where("nth = 1").select(F.col("user_id").alias("first"))
     rows = told.join(own, ["artifact", "identity"], "left").join(first, F.lit(True), "cross")
     owner = F.when(F.coalesce("identity", F.lit("")) == "", F.col("first")).otherwise(F.col("owner"))
-    texts = rows.withColumn("user_id", owner).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("artifact", "line_no", "path", "value"))).alias("l"))
+    texts = rows.withColumn("user_id", owner).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("artifact", "line_no", "path", "value"))).alias("l")
+    )
     joined = sources.join(texts, "user_id", "left")
     return joined.select("nth", "user_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.lit("")).alias("text"))
 
@@ -141,11 +194,15 @@ def attack_report(labelled: DataFrame, ratio: float = 0.4) -> DataFrame:
     scores = audit.naive_bayes(split)
     hits = scores.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
     row = sizes.join(hits, F.lit(True), "cross").join(audit.auc(scores).select("auc"), F.lit(True), "cross")
-    applies = (F.col("train0") + F.col("test0") >= 2) & (F.col("train1") + F.col("test1") >= 2) & (F.least("train0", "train1", "test0", "test1") > 0)
+    applies = (F.col("train0") + F.col("test0") >= 2) & (F.col("train1") + F.col("test1") >= 2) & (
+        F.least("train0", "train1", "test0", "test1") > 0
+    )
     majority = F.when(2 * F.col("train1") >= F.col("train0") + F.col("train1"), F.col("test1")).otherwise(F.col("test0"))
     only = lambda x: F.when(F.col("applicable"), x)
     row = row.withColumn("applicable", applies)
     return row.select(
         (F.col("train0") + F.col("train1")).alias("train_users"), (F.col("test0") + F.col("test1")).alias("test_users"), (F.col("train1") + F.col("test1")).alias("positive_users"), (F.col("train0") + F.col("test0")).alias("negative_users"),
-        "applicable", only(F.col("accuracy")).alias("accuracy"), only(F.col("auc")).alias("auc"), only(F.try_divide(majority, F.col("test0") + F.col("test1"))).alias("baseline_accuracy"),
+        "applicable", only(F.col("accuracy")).alias("accuracy"), only(F.col("auc")).alias("auc"), only(
+            F.try_divide(majority, F.col("test0") + F.col("test1"))
+        ).alias("baseline_accuracy"),
     )

@@ -37,7 +37,10 @@ TEST_KEY = b"quietlake-test-key"
 def detect(messages: DataFrame) -> DataFrame:
     """message_id, user_id, pos, original_text, privacy_type, privacy_level: one row per match, in detector order."""
     def matches(kind: str, level: str, pattern: str, group: int) -> Column:
-        return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(group)), lambda x: F.struct(x.alias("original_text"), F.lit(kind).alias("privacy_type"), F.lit(level).alias("privacy_level")))
+        return F.transform(
+            F.regexp_extract_all("content", F.lit(pattern), F.lit(group)),
+            lambda x: F.struct(x.alias("original_text"), F.lit(kind).alias("privacy_type"), F.lit(level).alias("privacy_level")),
+        )
 
     found = F.concat(*[matches(*d) for d in DETECTORS])
     rows = messages.select("message_id", "user_id", F.posexplode(found).alias("pos", "item"))
@@ -49,7 +52,11 @@ def validate(items: DataFrame, messages: DataFrame, strict: bool = False) -> Dat
     rows = items.join(messages.select("message_id", "content"), "message_id")
     ok = F.col("privacy_level").isin(LEVELS) & (F.trim("original_text") != "") & (F.trim("privacy_type") != "") & F.col("content").contains(F.col("original_text"))
     if strict:
-        rows = rows.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("invalid item in message "), F.col("message_id").cast("string")))))
+        rows = rows.where(
+            F.when(F.coalesce(ok, F.lit(False)), True).otherwise(
+                F.raise_error(F.concat(F.lit("invalid item in message "), F.col("message_id").cast("string")))
+            )
+        )
     first = Window.partitionBy("message_id", "original_text", "privacy_type", "privacy_level").orderBy("pos")
     return rows.where(ok).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "content")
 
@@ -101,7 +108,10 @@ def _by_automaton(rows: DataFrame, words: list[str], needle: str) -> DataFrame:
                     at.append(i)
                     hits.append(word)
             if at:
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns[:-1], pa.array(hits)], names=[*batch.schema.names[:-1], needle])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(pa.array(at)).columns[:-1], pa.array(hits)],
+                    names=[*batch.schema.names[:-1], needle],
+                )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{kinds}`{needle}` string")
@@ -114,15 +124,31 @@ def _by_runs(texts: DataFrame, needles: DataFrame, on: str, keys: list[str], val
     compared with the texts of their ``on``.
     """
     inner = F.array_distinct(F.regexp_extract_all(needle, F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), F.lit(0)))
-    longest = F.aggregate(F.regexp_extract_all(needle, F.lit("[A-Za-z0-9]{4,}"), F.lit(0)), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    longest = F.aggregate(
+        F.regexp_extract_all(needle, F.lit("[A-Za-z0-9]{4,}"), F.lit(0)),
+        F.lit(""),
+        lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a),
+    )
     runs = texts.select(on, *keys, F.explode(F.array_distinct(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("run"))
     choices = needles.select(on, needle, F.explode_outer(inner).alias("run")).distinct()
-    often = runs.join(choices.select(on, "run").distinct(), [on, "run"], "left_semi").groupBy(on, "run").agg(F.count(F.lit(1)).alias("often"))
-    best = choices.join(often, [on, "run"], "left").groupBy(on, needle).agg(F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("o"), F.col("run"))).alias("run"))
+    often = runs.join(
+        choices.select(on, "run").distinct(),
+        [on, "run"],
+        "left_semi",
+    ).groupBy(on, "run").agg(F.count(F.lit(1)).alias("often"))
+    best = choices.join(often, [on, "run"], "left").groupBy(on, needle).agg(
+        F.min_by("run", F.struct(F.coalesce("often", F.lit(0)).alias("o"), F.col("run"))).alias("run")
+    )
     keyed = needles.join(best, [on, needle]).withColumn("gram", F.when(F.col("run").isNull(), F.left(longest, F.lit(4))))
     hit = F.col(value).contains(F.col(needle))
     by_run = runs.join(keyed.where("run is not null").drop("gram"), [on, "run"]).drop("run")
-    grams = runs.where(F.length("run") >= 4).select(on, *keys, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda i: F.substring("run", i, F.lit(4))))).alias("gram")).distinct()
+    grams = runs.where(F.length("run") >= 4).select(
+        on,
+        *keys,
+        F.explode(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda i: F.substring("run", i, F.lit(4))))
+        ).alias("gram"),
+    ).distinct()
     by_gram = grams.join(keyed.where("gram <> ''").drop("run"), [on, "gram"]).drop("gram")
     near = by_run.unionByName(by_gram)
     alone = texts.join(keyed.where("gram = ''").drop("run", "gram"), on).where(hit)
@@ -140,11 +166,25 @@ def vault(items: DataFrame, key: bytes = TEST_KEY, typed: bool = True) -> DataFr
 
     The mask's suffix comes from the fingerprint, so the same value has the same mask whatever the order of writes.
     """
-    own = items.groupBy(F.col("user_id").alias("namespace"), "original_text", "privacy_type").agg(F.max("privacy_level").alias("privacy_level"), F.min(F.struct("message_id", "pos")).alias("seen"))
-    rows = own.withColumn("seq", F.row_number().over(Window.partitionBy("namespace", "privacy_type").orderBy("seen", "original_text")).cast("long"))
+    own = items.groupBy(F.col("user_id").alias("namespace"), "original_text", "privacy_type").agg(
+        F.max("privacy_level").alias("privacy_level"),
+        F.min(F.struct("message_id", "pos")).alias("seen"),
+    )
+    rows = own.withColumn(
+        "seq",
+        F.row_number().over(Window.partitionBy("namespace", "privacy_type").orderBy("seen", "original_text")).cast("long"),
+    )
     rows = rows.withColumn("fingerprint", hmac_sha256(key, F.concat_ws("\0", "namespace", "original_text")))
     prefix = mask_prefix(F.col("privacy_type")) if typed else F.lit("Private")
-    mark = F.concat(F.lit("<MPM_"), prefix, F.lit("_"), F.col("seq").cast("string"), F.lit("_"), F.left(F.col("fingerprint"), F.lit(12)), F.lit(">"))
+    mark = F.concat(
+        F.lit("<MPM_"),
+        prefix,
+        F.lit("_"),
+        F.col("seq").cast("string"),
+        F.lit("_"),
+        F.left(F.col("fingerprint"), F.lit(12)),
+        F.lit(">"),
+    )
     return rows.withColumn("mask", mark).drop("seen")
 
 
@@ -154,9 +194,19 @@ def mask_messages(messages: DataFrame, items: DataFrame, store: DataFrame | None
     if store is None:
         chosen = chosen.withColumn("mask", F.lit("***"))
     else:
-        chosen = chosen.join(store.select(F.col("namespace").alias("user_id"), "original_text", "privacy_type", "mask"), ["user_id", "original_text", "privacy_type"])
-    pairs = chosen.groupBy("message_id").agg(F.collect_list(F.struct(F.col("original_text").alias("old"), F.col("mask").alias("new"), F.lit(False).alias("drop"))).alias("pairs"))
-    return messages.join(pairs, "message_id").select("message_id", "content", spans.mask(F.col("content"), F.col("pairs")).alias("masked"), "pairs")
+        chosen = chosen.join(
+            store.select(F.col("namespace").alias("user_id"), "original_text", "privacy_type", "mask"),
+            ["user_id", "original_text", "privacy_type"],
+        )
+    pairs = chosen.groupBy("message_id").agg(
+        F.collect_list(F.struct(F.col("original_text").alias("old"), F.col("mask").alias("new"), F.lit(False).alias("drop"))).alias("pairs")
+    )
+    return messages.join(pairs, "message_id").select(
+        "message_id",
+        "content",
+        spans.mask(F.col("content"), F.col("pairs")).alias("masked"),
+        "pairs",
+    )
 
 
 def protect_known(texts: DataFrame, known: DataFrame, store: DataFrame | None, levels: list[str] = LEVELS[1:]) -> DataFrame:
@@ -166,7 +216,12 @@ def protect_known(texts: DataFrame, known: DataFrame, store: DataFrame | None, l
     return texts.join(done, "message_id", "left").select("message_id", F.coalesce("masked", "content").alias("text"))
 
 
-def detect_and_mask(messages: DataFrame, levels: list[str] = LEVELS[1:], detector=None, key: bytes = TEST_KEY) -> tuple[DataFrame, DataFrame]:
+def detect_and_mask(
+    messages: DataFrame,
+    levels: list[str] = LEVELS[1:],
+    detector=None,
+    key: bytes = TEST_KEY,
+) -> tuple[DataFrame, DataFrame]:
     """message_id and text of all messages with what a detector finds masked, and the vault of its values.
 
     ``detector`` takes the messages and returns items like ``detect``, which stands in for a model; an item that does not stand in its message raises.
@@ -212,7 +267,13 @@ def candidates(kind: Column, required: Column, least_level: int = 0) -> Column:
 
     def one(name: str, level: int, needed: float, else_: float, leakage: float) -> Column:
         utility = F.when(required, needed).otherwise(else_)
-        return F.struct(texts[name].alias("text"), F.lit(level).cast("long").alias("specificity"), utility.alias("utility"), F.lit(leakage).alias("leakage"), F.lit(name).alias("representation"))
+        return F.struct(
+            texts[name].alias("text"),
+            F.lit(level).cast("long").alias("specificity"),
+            utility.alias("utility"),
+            F.lit(leakage).alias("leakage"),
+            F.lit(name).alias("representation"),
+        )
 
     return F.array(*[one(*row) for row in ([NOTHING] if least_level < 0 else []) + STAND_INS])
 
@@ -220,7 +281,16 @@ def candidates(kind: Column, required: Column, least_level: int = 0) -> Column:
 def select_sufficient(options: Column, tokens, floor: float = 0.75, most_leakage: float = 0.35, most_tokens: int = 128) -> Column:
     """The least specific candidate within the budgets; ties by leakage, tokens, text."""
     fit = F.filter(options, lambda c: (c["utility"] >= floor) & (c["leakage"] <= most_leakage) & (tokens(c["text"]) <= most_tokens))
-    order = F.transform(fit, lambda c: F.struct(c["specificity"].alias("specificity"), c["leakage"].alias("leakage"), tokens(c["text"]).alias("tokens"), c["text"].alias("text"), c["representation"].alias("representation")))
+    order = F.transform(
+        fit,
+        lambda c: F.struct(
+            c["specificity"].alias("specificity"),
+            c["leakage"].alias("leakage"),
+            tokens(c["text"]).alias("tokens"),
+            c["text"].alias("text"),
+            c["representation"].alias("representation"),
+        ),
+    )
     return F.array_min(order)
 
 

@@ -30,7 +30,9 @@ class Policy:
     """Rules by level and by type, each (action, scope or None), and the scope of reversible aliases by level."""
 
     version: str = "minimal-public-v1"
-    levels: dict[str, tuple[str, str | None]] = field(default_factory=lambda: {"PL2": ("public_abstract", None), "PL3": ("local_only", None), "PL4": ("drop", None)})
+    levels: dict[str, tuple[str, str | None]] = field(
+        default_factory=lambda: {"PL2": ("public_abstract", None), "PL3": ("local_only", None), "PL4": ("drop", None)}
+    )
     types: dict[str, tuple[str, str | None]] = field(default_factory=dict)
     scopes: dict[str, str] = field(default_factory=lambda: dict(LEVEL_SCOPES))
 
@@ -54,7 +56,12 @@ class Policy:
         given = {level: by_level(actions, level) for level in privacy.LEVELS}
         rules = {level: (a, by_level(scopes, level) if a == "public_reversible" else None) for level, a in given.items() if a is not None}
         types = {kind: (rule, None) if isinstance(rule, str) else (rule["action"], rule.get("alias_scope") or None) for kind, rule in own.get("type_overrides", {}).items()}
-        return cls(str(own.get("policy_version", "minimal-public-v1")), rules, types, LEVEL_SCOPES | {level: by_level(scopes, level) for level in privacy.LEVELS if by_level(scopes, level)})
+        return cls(
+            str(own.get("policy_version", "minimal-public-v1")),
+            rules,
+            types,
+            LEVEL_SCOPES | {level: by_level(scopes, level) for level in privacy.LEVELS if by_level(scopes, level)},
+        )
 
     def route(self, required: Column, consented: Column) -> Column:
         """Struct of action, scope and rule_id for a row with privacy_type and privacy_level. PL4 drops whatever else is set; then what is required exactly, then the type's rule, then the level's."""
@@ -62,21 +69,43 @@ class Policy:
         made = lambda action, scope, rule: F.struct(F.lit(action).alias("action"), (scope if isinstance(scope, Column) else F.lit(scope).cast("string")).alias("scope"), F.lit(rule).alias("rule_id"))
         # A rule's own scope goes before the level's.
         scopes = {name: scope for name, (_, scope) in self.types.items() if scope}
-        own_scope = F.coalesce(*[F.when(kind == name, scope) for name, scope in scopes.items()], *[F.when(level == name, self.levels[name][1] or self.scopes[name]) for name in privacy.LEVELS])
+        own_scope = F.coalesce(
+            *[F.when(kind == name, scope) for name, scope in scopes.items()],
+            *[F.when(level == name, self.levels[name][1] or self.scopes[name]) for name in privacy.LEVELS],
+        )
         if unscoped := [name for name, (_, scope) in self.types.items() if not scope]:
-            own_scope = F.when(kind.isin(unscoped), F.coalesce(*[F.when(level == name, self.scopes[name]) for name in privacy.LEVELS])).otherwise(own_scope)
-        out = F.when(level == "PL4", made("drop", None, RULES["dropped"])).when(required & consented, made("public_reversible", own_scope, RULES["consented"])).when(required, made("local_only", None, RULES["refused"]))
+            own_scope = F.when(
+                kind.isin(unscoped),
+                F.coalesce(*[F.when(level == name, self.scopes[name]) for name in privacy.LEVELS]),
+            ).otherwise(own_scope)
+        out = F.when(level == "PL4", made("drop", None, RULES["dropped"])).when(
+            required & consented,
+            made("public_reversible", own_scope, RULES["consented"]),
+        ).when(required, made("local_only", None, RULES["refused"]))
         for name, (action, scope) in self.types.items():
             out = out.when(kind == name, made(action, scope, f"type:{name}"))
         for name, (action, scope) in self.levels.items():
             out = out.when(level == name, made(action, scope, f"level:{name}"))
-        return out.otherwise(F.raise_error(F.concat(F.lit("unknown level "), F.coalesce(level, F.lit("null")))).cast("struct<action:string,scope:string,rule_id:string>"))
+        return out.otherwise(
+            F.raise_error(
+                F.concat(F.lit("unknown level "), F.coalesce(level, F.lit("null")))
+            ).cast("struct<action:string,scope:string,rule_id:string>")
+        )
 
 
 def stand_ins(kind: Column, required: Column) -> Column:
     """The four rule-based candidates of a type, from nothing to the type's name."""
     rows = privacy.candidates(kind, required, -1)
-    return F.transform(rows, lambda c: F.struct(c["text"].alias("text"), (c["specificity"] + 1).alias("level"), c["utility"].alias("utility"), c["leakage"].alias("leakage"), c["representation"].alias("representation")))
+    return F.transform(
+        rows,
+        lambda c: F.struct(
+            c["text"].alias("text"),
+            (c["specificity"] + 1).alias("level"),
+            c["utility"].alias("utility"),
+            c["leakage"].alias("leakage"),
+            c["representation"].alias("representation"),
+        ),
+    )
 
 
 def safe(candidates: Column, value: Column) -> Column:
@@ -93,11 +122,28 @@ def with_templates(items: DataFrame, templates: DataFrame, required: Column) ->
     written by hand or distilled, a row per type, level and text; items find theirs by an equi-join for each of the four ways to fit.
     """
     star = lambda c: F.coalesce(F.col(c), F.lit("*"))
-    t = templates.select("nth", star("privacy_type").alias("t_type"), star("privacy_level").alias("t_level"), F.struct("text", F.col("level").cast("long").alias("level"), "utility", "leakage", "representation").alias("c"))
+    t = templates.select(
+        "nth",
+        star("privacy_type").alias("t_type"),
+        star("privacy_level").alias("t_level"),
+        F.struct("text", F.col("level").cast("long").alias("level"), "utility", "leakage", "representation").alias("c"),
+    )
     by_fit = t.groupBy("t_type", "t_level").agg(F.array_sort(F.collect_list(F.struct("nth", "c"))).alias("own"))
     kinds = items.select("privacy_type", "privacy_level").distinct()
-    ways = kinds.select("privacy_type", "privacy_level", F.explode(F.array(*[F.struct(a.alias("t_type"), b.alias("t_level")) for a in (F.col("privacy_type"), F.lit("*")) for b in (F.col("privacy_level"), F.lit("*"))])).alias("w")).select("privacy_type", "privacy_level", "w.*")
-    learned = ways.join(by_fit, ["t_type", "t_level"]).groupBy("privacy_type", "privacy_level").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("own"))
+    ways = kinds.select(
+        "privacy_type",
+        "privacy_level",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(a.alias("t_type"), b.alias("t_level")) for a in (F.col("privacy_type"), F.lit("*")) for b in (F.col("privacy_level"), F.lit("*"))
+                ]
+            )
+        ).alias("w"),
+    ).select("privacy_type", "privacy_level", "w.*")
+    learned = ways.join(by_fit, ["t_type", "t_level"]).groupBy("privacy_type", "privacy_level").agg(
+        F.array_sort(F.flatten(F.collect_list("own"))).alias("own")
+    )
     rows = items.join(learned, ["privacy_type", "privacy_level"], "left")
     first = F.coalesce(F.transform("own", lambda x: x["c"]), F.array().cast(f"array<{CANDIDATE}>"))
     both = F.concat(first.cast(f"array<{CANDIDATE}>"), stand_ins(F.col("privacy_type"), required).cast(f"array<{CANDIDATE}>"))
@@ -107,7 +153,10 @@ def with_templates(items: DataFrame, templates: DataFrame, required: Column) ->
 def generator(mode: str, templates: DataFrame | None = None):
     """The way to candidates that a mode names: ``rule`` or ``artifact``; a function of items and the required condition."""
     if mode.lower() in ("rule", "deterministic", "fallback"):
-        return lambda items, required: items.withColumn("candidates", safe(stand_ins(F.col("privacy_type"), required), F.col("original_text")))
+        return lambda items, required: items.withColumn(
+            "candidates",
+            safe(stand_ins(F.col("privacy_type"), required), F.col("original_text")),
+        )
     if mode.lower() in ("artifact", "learned"):
         if templates is None:
             raise ValueError("this mode needs templates")
@@ -120,7 +169,15 @@ def public_candidates(candidates: Column) -> Column:
     return F.filter(candidates, lambda c: c["text"] != "")
 
 
-def features(c: Column, value: Column, level: Column, scope: Column | None = None, relevance: Column | None = None, overlap: Column | None = None, risk: Column | None = None) -> Column:
+def features(
+    c: Column,
+    value: Column,
+    level: Column,
+    scope: Column | None = None,
+    relevance: Column | None = None,
+    overlap: Column | None = None,
+    risk: Column | None = None,
+) -> Column:
     """Struct of a candidate's features, by the names of ``WEIGHTS``; the leak flag tells whether its text shows a part of the value."""
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     scope = F.lit("") if scope is None else F.coalesce(scope, F.lit(""))
@@ -159,18 +216,58 @@ def decide(candidates: Column, value: Column, level: Column, weights: dict[str,
         tokens = estimate_tokens(c["text"], 1)
 
         def of(x: Column) -> Column:
-            why = F.when(x["leak"] & limits.leaks_fail, "exact leak").when((level == "PL4") & limits.pl4_fails, "PL4 public candidate").when(c["utility"] < limits.utility, "below utility floor")
-            why = why.when(c["leakage"] > limits.leakage, "above leakage budget").when(tokens > limits.tokens, "above token budget").when(x["score"] < limits.score, "below learned score threshold")
-            return F.struct(why.alias("why"), x["score"].alias("score"), (-c["level"]).alias("low"), (-c["leakage"]).alias("safe"), (-tokens).alias("short"), c["text"].alias("text"), c["representation"].alias("representation"))
-
-        return let(let(features(c, value, level), lambda f: F.struct((f["exact_leak_flag"] > 0).alias("leak"), ranked(f, weights).alias("score"))), of)
+            why = F.when(x["leak"] & limits.leaks_fail, "exact leak").when(
+                (level == "PL4") & limits.pl4_fails,
+                "PL4 public candidate",
+            ).when(c["utility"] < limits.utility, "below utility floor")
+            why = why.when(c["leakage"] > limits.leakage, "above leakage budget").when(tokens > limits.tokens, "above token budget").when(
+                x["score"] < limits.score,
+                "below learned score threshold",
+            )
+            return F.struct(
+                why.alias("why"),
+                x["score"].alias("score"),
+                (-c["level"]).alias("low"),
+                (-c["leakage"]).alias("safe"),
+                (-tokens).alias("short"),
+                c["text"].alias("text"),
+                c["representation"].alias("representation"),
+            )
+
+        return let(
+            let(features(c, value, level), lambda f: F.struct((f["exact_leak_flag"] > 0).alias("leak"), ranked(f, weights).alias("score"))),
+            of,
+        )
 
     def choose(rows: Column) -> Column:
         good = F.filter(rows, lambda r: r["why"].isNull())
         why = F.array_sort(F.array_distinct(F.transform(F.filter(rows, lambda r: r["why"].isNotNull()), lambda r: r["why"])))
-        none = F.concat(F.lit("no candidate within the limits"), F.when(F.size(why) > 0, F.concat(F.lit(" ("), F.array_join(why, ", "), F.lit(")"))).otherwise(""))
-        keyed = F.transform(good, lambda r: F.struct(r["score"].alias("score"), r["low"].alias("low"), r["safe"].alias("safe"), r["short"].alias("short"), r["text"].alias("text"), r["representation"].alias("representation")))
-        return let(F.array_max(keyed), lambda b: F.struct(F.when(b.isNull(), "drop").otherwise("select").alias("action"), F.when(b.isNull(), F.lit(float("-inf"))).otherwise(b["score"]).alias("score"), F.when(b.isNull(), none).otherwise("highest score within the limits").alias("reason"), b["text"].alias("text"), b["representation"].alias("representation"), F.size(good).alias("feasible")))
+        none = F.concat(
+            F.lit("no candidate within the limits"),
+            F.when(F.size(why) > 0, F.concat(F.lit(" ("), F.array_join(why, ", "), F.lit(")"))).otherwise(""),
+        )
+        keyed = F.transform(
+            good,
+            lambda r: F.struct(
+                r["score"].alias("score"),
+                r["low"].alias("low"),
+                r["safe"].alias("safe"),
+                r["short"].alias("short"),
+                r["text"].alias("text"),
+                r["representation"].alias("representation"),
+            ),
+        )
+        return let(
+            F.array_max(keyed),
+            lambda b: F.struct(
+                F.when(b.isNull(), "drop").otherwise("select").alias("action"),
+                F.when(b.isNull(), F.lit(float("-inf"))).otherwise(b["score"]).alias("score"),
+                F.when(b.isNull(), none).otherwise("highest score within the limits").alias("reason"),
+                b["text"].alias("text"),
+                b["representation"].alias("representation"),
+                F.size(good).alias("feasible"),
+            ),
+        )
 
     return let(F.transform(candidates, judged), choose)
 
@@ -186,18 +283,42 @@ def selector(mode: str, weights: dict[str, float] | None = None, limits: Limits
 
 def selector_examples(items: DataFrame) -> DataFrame:
     """A row for each candidate of each item with its label: score, and whether it is good within the default limits. Tokens are counted by white space."""
-    rows = items.select("user_id", "message_id", "item_index", "privacy_type", "privacy_level", "original_text", F.posexplode("candidates").alias("nth", "c"))
+    rows = items.select(
+        "user_id",
+        "message_id",
+        "item_index",
+        "privacy_type",
+        "privacy_level",
+        "original_text",
+        F.posexplode("candidates").alias("nth", "c"),
+    )
     tokens = F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.col("c.text"), F.lit(r"[^\s\p{Z}]+"), F.lit(0))))
     leak = (F.col("c.text") != "") & shows_fragment(F.col("c.text"), F.col("original_text"))
     score = F.col("c.utility") - F.col("c.leakage") - 0.01 * tokens - F.when(leak, 100.0).otherwise(0.0)
     good = ~leak & (F.col("c.utility") >= 0.75) & (F.col("c.leakage") <= 0.35)
-    return rows.select("user_id", "message_id", "item_index", "nth", "privacy_type", "privacy_level", "c.*", tokens.cast("long").alias("token_count"), score.alias("label_score"), good.alias("label_positive"))
+    return rows.select(
+        "user_id",
+        "message_id",
+        "item_index",
+        "nth",
+        "privacy_type",
+        "privacy_level",
+        "c.*",
+        tokens.cast("long").alias("token_count"),
+        score.alias("label_score"),
+        good.alias("label_positive"),
+    )
 
 
 def fit_weights(examples: DataFrame) -> DataFrame:
     """One row with the two fitted weights: class means of utility and leakage move them, within bounds; without both classes they stay as they are."""
     mean = lambda c, good: F.avg(F.when(F.col("label_positive") == good, F.col(c)))
-    m = examples.agg(mean("utility", True).alias("pu"), mean("utility", False).alias("nu"), mean("leakage", True).alias("pl"), mean("leakage", False).alias("nl"))
+    m = examples.agg(
+        mean("utility", True).alias("pu"),
+        mean("utility", False).alias("nu"),
+        mean("leakage", True).alias("pl"),
+        mean("leakage", False).alias("nl"),
+    )
     utility = F.coalesce(F.greatest(F.lit(0.5), 1.0 + F.col("pu") - F.col("nu")), F.lit(WEIGHTS["utility_score"]))
     risk = F.col("nl") - F.col("pl")
     leakage = F.when(risk.isNull(), F.lit(WEIGHTS["leakage_score"])).otherwise(F.least(F.lit(-0.5), -1.0 - F.greatest(F.lit(0.0), risk)))
@@ -212,11 +333,25 @@ def abstraction_examples(messages: DataFrame, items: DataFrame, hints: DataFrame
     from pyspark.sql.window import Window
 
     around = Window.partitionBy("user_id").orderBy("message_index").rowsBetween(-1, 1)
-    context = messages.select("user_id", "message_id", F.col("content").alias("message_text"), F.collect_list("content").over(around).alias("context"))
+    context = messages.select(
+        "user_id",
+        "message_id",
+        F.col("content").alias("message_text"),
+        F.collect_list("content").over(around).alias("context"),
+    )
     rows = items.join(context, ["user_id", "message_id"])
     if hints is not None:
-        first = hints.where(F.coalesce("question", F.lit("")) != "").withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy("nth"))).where("at <= 8")
-        rows = rows.join(first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "question"))), lambda x: x["question"]).alias("hints")), "user_id", "left")
+        first = hints.where(F.coalesce("question", F.lit("")) != "").withColumn(
+            "at",
+            F.row_number().over(Window.partitionBy("user_id").orderBy("nth")),
+        ).where("at <= 8")
+        rows = rows.join(
+            first.groupBy("user_id").agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("at", "question"))), lambda x: x["question"]).alias("hints")
+            ),
+            "user_id",
+            "left",
+        )
     else:
         rows = rows.withColumn("hints", F.lit(None).cast("array<string>"))
     made = generator("rule")(rows, F.lit(False))

@@ -11,7 +11,16 @@ from quietlake.operators.audit import with_sum_before
 _ITEM = "array<struct<original_text: string, privacy_type: string, privacy_level: string>>"
 SCHEMA = f"uuid string, metadata struct<user_name: string, language: string>, dialogues array<struct<role: string, date: string, content: string, privacy_info: {_ITEM}, privacy_info_llm: {_ITEM}>>, questions array<struct<question: string, answer: string, evidence: string, all_options: array<string>, question_type: string>>"
 REQUIRED = ["dialogues", "questions", "uuid"]
-FORBIDDEN = ["privacy_info", "privacy_info_llm", "source_fingerprint", "source_message_id", "source_item_index", "scope_id", "provenance_id", "items"]
+FORBIDDEN = [
+    "privacy_info",
+    "privacy_info_llm",
+    "source_fingerprint",
+    "source_message_id",
+    "source_item_index",
+    "scope_id",
+    "provenance_id",
+    "items",
+]
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -23,12 +32,22 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 def read_messages(users: DataFrame, annotation: str = "privacy_info") -> DataFrame:
     rows = users.select(F.col("uuid").alias("user_id"), F.posexplode("dialogues").alias("message_index", "d"))
-    return rows.select("user_id", F.concat_ws(":", "user_id", "message_index").alias("message_id"), F.col("message_index").cast("long").alias("message_index"), F.coalesce("d.role", F.lit("user")).alias("role"), "d.date", F.coalesce("d.content", F.lit("")).alias("content"), F.col(f"d.{annotation}").alias("items"))
+    return rows.select(
+        "user_id",
+        F.concat_ws(":", "user_id", "message_index").alias("message_id"),
+        F.col("message_index").cast("long").alias("message_index"),
+        F.coalesce("d.role", F.lit("user")).alias("role"),
+        "d.date",
+        F.coalesce("d.content", F.lit("")).alias("content"),
+        F.col(f"d.{annotation}").alias("items"),
+    )
 
 
 def write_users(messages: DataFrame, path: str) -> None:
     """Public messages nested again by user, in order of their indexes."""
-    nested = messages.groupBy(F.col("user_id").alias("uuid")).agg(F.array_sort(F.collect_list(F.struct("message_index", "role", "content"))).alias("dialogues"))
+    nested = messages.groupBy(F.col("user_id").alias("uuid")).agg(
+        F.array_sort(F.collect_list(F.struct("message_index", "role", "content"))).alias("dialogues")
+    )
     nested.write.json(path)
 
 
@@ -41,7 +60,10 @@ def round_robin(lines: DataFrame, order: str, n: int) -> DataFrame:
 def dataset_issues(messages: DataFrame) -> DataFrame:
     """Empty spans, and spans that do not stand in their message."""
     rows = messages.select("message_id", "content", F.posexplode("items").alias("pos", "i"))
-    issue = F.when(F.coalesce(F.trim("i.original_text"), F.lit("")) == "", "empty_span").when(~F.col("content").contains(F.col("i.original_text")), "missing_span")
+    issue = F.when(
+        F.coalesce(F.trim("i.original_text"), F.lit("")) == "",
+        "empty_span",
+    ).when(~F.col("content").contains(F.col("i.original_text")), "missing_span")
     return rows.withColumn("issue", issue).where("issue is not null").select("message_id", "pos", "issue")
 
 
@@ -65,18 +87,33 @@ def cloud_safe_issues(lines: DataFrame) -> DataFrame:
         F.array(
             F.when(F.size(lacking) > 0, F.concat(F.lit("missing keys "), F.array_join(lacking, ","))),
             F.when(~F.coalesce(text("$.uuid"), F.lit("")).startswith("User-"), "uuid is not anonymous"),
-            F.when(F.array_contains(keys, "metadata") & ~kind(meta).startswith("OBJECT"), "metadata is no object").when((name != "") & ~name.startswith("User-"), "user_name is not anonymous"),
+            F.when(
+                F.array_contains(keys, "metadata") & ~kind(meta).startswith("OBJECT"),
+                "metadata is no object",
+            ).when((name != "") & ~name.startswith("User-"), "user_name is not anonymous"),
         )
     )
-    of_line = users.select("line_no", F.explode(F.when(~F.col("object"), F.array(F.lit("invalid JSON"))).otherwise(F.concat(whole, raw))).alias("issue"))
+    of_line = users.select(
+        "line_no",
+        F.explode(F.when(~F.col("object"), F.array(F.lit("invalid JSON"))).otherwise(F.concat(whole, raw))).alias("issue"),
+    )
 
     def parts(field: str) -> DataFrame:
         return users.where("object").select("line_no", F.posexplode(F.try_variant_get("v", f"$.{field}", "array<variant>")).alias("i", "e"))
 
     at = lambda field, what: F.concat(F.lit(f"{field}["), F.col("i").cast("string"), F.lit(f"] {what}"))
-    turns = parts("dialogues").withColumn("issue", F.when(~kind(F.col("e")).startswith("OBJECT"), at("dialogues", "is no object")).when(F.try_variant_get("e", "$.content", "variant").isNull(), at("dialogues", "has no content")))
+    turns = parts("dialogues").withColumn(
+        "issue",
+        F.when(~kind(F.col("e")).startswith("OBJECT"), at("dialogues", "is no object")).when(
+            F.try_variant_get("e", "$.content", "variant").isNull(),
+            at("dialogues", "has no content"),
+        ),
+    )
     asked = parts("questions").withColumn("issue", F.when(~kind(F.col("e")).startswith("OBJECT"), at("questions", "is no object")))
-    nobody = users.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).cast("long").alias("line_no"), F.lit("no users").alias("issue"))
+    nobody = users.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        F.lit(0).cast("long").alias("line_no"),
+        F.lit("no users").alias("issue"),
+    )
     out = of_line
     for more in (turns, asked):
         out = out.union(more.where(F.col("issue").isNotNull()).select("line_no", "issue"))
@@ -95,4 +132,9 @@ def guard_unmasked(lines: DataFrame, masked: bool, override: bool = False) -> in
 
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(F.col("doc_id").alias("message_id"), F.col("source").alias("user_id"), F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    return d.select(
+        F.col("doc_id").alias("message_id"),
+        F.col("source").alias("user_id"),
+        F.lit("user").alias("role"),
+        F.coalesce("text", F.lit("")).alias("content"),
+    )

@@ -60,7 +60,10 @@ def read_records(spark: SparkSession, path: str, schema: str, first_lines: int |
     broken = F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{")
     if strict:
         error = F.raise_error(F.concat(F.lit("no record in line "), F.col("line_no").cast("string")))
-        return lines.select("line_no", F.when(broken, error.cast(record_type(schema))).otherwise(record).alias("r")).select("line_no", "r.*")
+        return lines.select(
+            "line_no",
+            F.when(broken, error.cast(record_type(schema))).otherwise(record).alias("r"),
+        ).select("line_no", "r.*")
     lines = lines.where(F.btrim("value", F.lit(" \t\r\n\x0b\x0c")) != "")
     return lines.select("line_no", record.alias("r"), F.when(broken, F.col("value")).alias("bad_line")).select("line_no", "r.*", "bad_line")
 
@@ -98,7 +101,11 @@ def write_report(row: DataFrame, path: str) -> None:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes, sha256 of every file. A file is a row, so one larger than 2 GB does not fit."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("file"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+    )
 
 
 def walk_json(lines: DataFrame, key: str, value: str = "value") -> DataFrame:
@@ -133,13 +140,22 @@ def walk_json(lines: DataFrame, key: str, value: str = "value") -> DataFrame:
                 found += own
             if found:
                 columns = [pa.array(c, pa.string()) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=["key", "path", "name", "kind", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), *columns],
+                    names=["key", "path", "name", "kind", "text"],
+                )
 
     rows = lines.select(F.col(key).alias("key"), F.col(value).alias("value"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, path string, name string, kind string, text string")
 
 
-def settings(text: str, keys: list[str], sections: list[tuple[str, str]], overrides: dict[str, str], environment: dict[str, str] | None = None) -> dict:
+def settings(
+    text: str,
+    keys: list[str],
+    sections: list[tuple[str, str]],
+    overrides: dict[str, str],
+    environment: dict[str, str] | None = None,
+) -> dict:
     """Settings from YAML, or from JSON where no YAML reader is installed.
 
     The named keys, and (section, key) pairs, may be a ``$NAME`` or ``${NAME}`` and then take that variable's value, empty if unset.

@@ -32,6 +32,8 @@ def compile_stream(messages: DataFrame, target: str, store: str, checkpoint: str
         compiled, _ = compiler.compile_items(rows, items, plan, key)
         compiler.compile_messages(rows, compiled, plan.budget).write.mode("overwrite").parquet(f"{target}/batch={number}")
         stored = compiled.where("action <> 'drop'").withColumn("seen", F.struct("message_id", "item_index"))
-        table.save(aliases.store_local(table.read(STORE), stored.select("user_id", "original_text", "privacy_type", "privacy_level", "seen"), key))
+        table.save(
+            aliases.store_local(table.read(STORE), stored.select("user_id", "original_text", "privacy_type", "privacy_level", "seen"), key)
+        )
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
