@@ -134,7 +134,10 @@ def hit_table(rows: DataFrame, ids: dict[bytes, int]) -> DataFrame:
                 firsts = cuts[:-1][cuts[1:] > cuts[:-1]] // 4
                 gaps[firsts] = at[firsts] - (ends - sizes)[cuts[1:] > cuts[:-1]]
                 column = lambda x: pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(x.astype("<i4").tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), column(found[at]), column(gaps)], names=["key", "size", "words", "gaps"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes), column(found[at]), column(gaps)],
+                    names=["key", "size", "words", "gaps"],
+                )
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, size long, words binary, gaps binary")
 
@@ -152,7 +155,12 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, H
             owner = np.repeat(np.arange(b - a), some)
             total = np.cumsum(np.frombuffer(b"".join(gaps[a:b]), "<i4"), dtype=np.int64)
             before = np.concatenate(([0], total))[np.cumsum(some) - some]
-            yield batch.slice(a, b - a), Hits(batch.column(1).slice(a, b - a).to_numpy(), owner, total - before[owner], np.frombuffer(b"".join(words[a:b]), "<i4").astype(np.int64))
+            yield batch.slice(a, b - a), Hits(
+                batch.column(1).slice(a, b - a).to_numpy(),
+                owner,
+                total - before[owner],
+                np.frombuffer(b"".join(words[a:b]), "<i4").astype(np.int64),
+            )
 
 
 def _firsts(keys: np.ndarray) -> np.ndarray:
@@ -213,7 +221,10 @@ def document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
             keys.sort()
             df += np.bincount(keys[_firsts(keys)] % size, minlength=size)
             n += int(blocks.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df.nonzero()[0].tolist()], pa.int64()), pa.array([n, *df[df > 0].tolist()], pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, *df.nonzero()[0].tolist()], pa.int64()), pa.array([n, *df[df > 0].tolist()], pa.int64())],
+            names=["word", "n"],
+        )
 
     df, n = np.zeros(size, np.int64), 0
     for r in table.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
@@ -254,7 +265,10 @@ def randomised_svd(table: DataFrame, local: np.ndarray, idf: np.ndarray, items:
             for w, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums[w] = sums.get(w, 0) + row.values.to_numpy()
         for w, row in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int64()), pa.array([row.tolist()], pa.list_(pa.int64()))], names=["word", "row"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w], pa.int64()), pa.array([row.tolist()], pa.list_(pa.int64()))],
+                names=["word", "row"],
+            )
 
     product = np.zeros((len(idf), rank))
     for r in table.mapInArrow(run, "word long, row array<long>").repartition("word").mapInArrow(add, "word long, row array<long>").collect():
@@ -294,7 +308,14 @@ def fit(table: DataFrame, items: list[Item], df: np.ndarray, n: int) -> Space:
     return Space(local, idf, (basis @ latent.T).astype(np.float32), items, np.array([k for k, _ in parts], np.int64))
 
 
-def _matches(s: Space, h: Hits, cosine: float, lcs_share: float, answer_share: float, stand_in_share: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+def _matches(
+    s: Space,
+    h: Hits,
+    cosine: float,
+    lcs_share: float,
+    answer_share: float,
+    stand_in_share: float,
+) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(text, item) -> (lcs, answer, cosine) of the best verified passage. All words of an item are in the hits, so they alone show its common subsequences."""
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     where, word, count, passages = _windows(h, s.local)
@@ -303,10 +324,16 @@ def _matches(s: Space, h: Hits, cosine: float, lcs_share: float, answer_share: f
     sizes = np.bincount(where, minlength=len(passages))
     alone = np.flatnonzero(sizes == 1)
     likely = s.near >= cosine
-    for p, part, c in chain(_alone(alone, word[(np.cumsum(sizes) - sizes)[alone]], s.near, likely), _together(where, word, weight, sizes, s.near, cosine)):
+    for p, part, c in chain(
+        _alone(alone, word[(np.cumsum(sizes) - sizes)[alone]], s.near, likely),
+        _together(where, word, weight, sizes, s.near, cosine),
+    ):
         row, a, k = int(passages[p] >> 32), int(passages[p] & 0xFFFFFFFF) * STRIDE, int(s.parts[part])
         item = s.items[k]
-        first, last = begins[row] + np.searchsorted(h.place[begins[row] : begins[row + 1]], (a - len(item.words), a + WINDOW + len(item.words)))
+        first, last = begins[row] + np.searchsorted(
+            h.place[begins[row] : begins[row + 1]],
+            (a - len(item.words), a + WINDOW + len(item.words)),
+        )
         passage = h.word[first:last].tolist()
         hit = len(item.wanted.intersection(passage)) / max(1, len(item.wanted))
         if hit < (answer_share if item.given else stand_in_share):
@@ -325,7 +352,14 @@ def _alone(passages: np.ndarray, word: np.ndarray, near: np.ndarray, likely: np.
             yield p, part, near[w, part]
 
 
-def _together(where: np.ndarray, word: np.ndarray, weight: np.ndarray, sizes: np.ndarray, near: np.ndarray, cosine: float) -> Iterator[tuple[int, int, float]]:
+def _together(
+    where: np.ndarray,
+    word: np.ndarray,
+    weight: np.ndarray,
+    sizes: np.ndarray,
+    near: np.ndarray,
+    cosine: float,
+) -> Iterator[tuple[int, int, float]]:
     """The same for passages with several; those with the most words come first, so the k-th words of all that have one are added at once."""
     starts, weight = np.cumsum(sizes) - sizes, weight.astype(np.float32)
     order = np.argsort(-sizes, kind="stable")
@@ -340,7 +374,14 @@ def _together(where: np.ndarray, word: np.ndarray, weight: np.ndarray, sizes: np
             yield int(some[p]), int(part), found[p, part]
 
 
-def search(table: DataFrame, space: Space, cosine: float = COSINE, lcs_share: float = LCS_SHARE, answer_share: float = ANSWER_SHARE, stand_in_share: float = STAND_IN_SHARE) -> DataFrame:
+def search(
+    table: DataFrame,
+    space: Space,
+    cosine: float = COSINE,
+    lcs_share: float = LCS_SHARE,
+    answer_share: float = ANSWER_SHARE,
+    stand_in_share: float = STAND_IN_SHARE,
+) -> DataFrame:
     """key, item_id, cosine, lcs, answer: the best verified passage of each row of a hit table and item."""
     shared = table.sparkSession.sparkContext.broadcast(space)
 
@@ -352,12 +393,25 @@ def search(table: DataFrame, space: Space, cosine: float = COSINE, lcs_share: fl
                 out = [(keys[row], s.items[k].key, c, lcs, hit) for (row, k), (lcs, hit, c) in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (part.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["key", "item_id", "cosine", "lcs", "answer"])
 
-    return table.mapInArrow(run, f"key {table.schema['key'].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double")
+    return table.mapInArrow(
+        run,
+        f"key {table.schema['key'].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double",
+    )
 
 
-def scans_of(benchmark: DataFrame, item_id: str, item: str, answer: str | None, vocabulary: int) -> Iterator[tuple[dict[bytes, int], list[Item]]]:
+def scans_of(
+    benchmark: DataFrame,
+    item_id: str,
+    item: str,
+    answer: str | None,
+    vocabulary: int,
+) -> Iterator[tuple[dict[bytes, int], list[Item]]]:
     """The benchmark's items of two and more different words and the numbers of their words, as many at a time as ``vocabulary`` different words allow."""
-    queries = benchmark.select(benchmark[f"`{item_id}`"].cast("long"), benchmark[f"`{item}`"], (benchmark[f"`{answer}`"] if answer else F.lit(None).cast("string")))
+    queries = benchmark.select(
+        benchmark[f"`{item_id}`"].cast("long"),
+        benchmark[f"`{item}`"],
+        (benchmark[f"`{answer}`"] if answer else F.lit(None).cast("string")),
+    )
     ids: dict[bytes, int] = {}
     items: list[Item] = []
     for key, body, right in queries.toLocalIterator():
@@ -373,10 +427,21 @@ def scans_of(benchmark: DataFrame, item_id: str, item: str, answer: str | None,
         yield ids, items
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, item_id: str, item: str, answer: str | None, block_items: int, vocabulary: int) -> DataFrame:
+def _found(
+    rows: DataFrame,
+    benchmark: DataFrame,
+    item_id: str,
+    item: str,
+    answer: str | None,
+    block_items: int,
+    vocabulary: int,
+) -> DataFrame:
     """Matches of rows (key, text): one scan of the texts for each vocabulary, then two passes over the hits for each block of items."""
     spark = rows.sparkSession
-    found = spark.createDataFrame([], f"key {rows.schema['key'].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double")
+    found = spark.createDataFrame(
+        [],
+        f"key {rows.schema['key'].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double",
+    )
     for ids, items in scans_of(benchmark, item_id, item, answer, vocabulary):
         path = new_dir(spark, "hits")
         made = hit_table(rows, ids)
@@ -389,7 +454,16 @@ def _found(rows: DataFrame, benchmark: DataFrame, item_id: str, item: str, answe
     return found
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item: str = "text", answer: str | None = None, block_items: int = BLOCK_ITEMS, vocabulary: int = VOCABULARY) -> DataFrame:
+def decontaminate(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item: str = "text",
+    answer: str | None = None,
+    block_items: int = BLOCK_ITEMS,
+    vocabulary: int = VOCABULARY,
+) -> DataFrame:
     """The input's rows, all columns, that hold no benchmark item, by the rules of ``contaminated``.
 
     Texts are named by their MD5, so ids and further columns play no part whatever they hold, and repeated rows all stay or all go. Rows with
@@ -401,7 +475,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     return documents.select(F.struct("*").alias("row"), name.alias("key")).join(bad, "key", "left_anti").select("row.*")
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", answer: str | None = None, block_items: int = BLOCK_ITEMS, vocabulary: int = VOCABULARY) -> DataFrame:
+def contaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item: str = "text",
+    answer: str | None = None,
+    block_items: int = BLOCK_ITEMS,
+    vocabulary: int = VOCABULARY,
+) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer: one row for each document row and item that it holds.
 
     Whole texts are searched, in windows of 64 words. ``answer`` names a benchmark column with answers; without it, or where it has no word, an

@@ -114,7 +114,12 @@ class Models:
             codes.append(code)
             base += n * width
         kind = np.int32 if base * 2 < 2**31 else np.int64
-        return cls(langs, np.asarray(roots, kind), np.concatenate(tables).astype(kind) if tables else np.empty(0, kind), np.asarray(codes, kind).reshape(len(langs), 256))
+        return cls(
+            langs,
+            np.asarray(roots, kind),
+            np.concatenate(tables).astype(kind) if tables else np.empty(0, kind),
+            np.asarray(codes, kind).reshape(len(langs), 256),
+        )
 
     def _breaks(self, columns: np.ndarray, first: np.ndarray, root: int) -> np.ndarray:
         """For every block, one per column, how many phrases begin in it when texts are read from their beginning.
@@ -226,7 +231,10 @@ def identify(documents: DataFrame, models: Models, doc_id: str = "doc_id", text:
                     size += len(t or "")
                     n += 1
                 langs, scores = model.predict(texts)
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, n), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [whole.column(0).slice(at, n), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    names=["doc_id", "lang_pred", "score"],
+                )
                 at += n
 
     rows = only(documents, doc_id=doc_id, text=text)
@@ -239,4 +247,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     models = Models.fit(sample_texts(documents.where(~held_out).select("text", "lang")))
     found = identify(documents, models)
-    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )

@@ -26,15 +26,24 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 NOTICES: dict[str, tuple[str, ...]] = {
     "agpl": ("gnu affero general public license",),
     "apache": ("licensed under the apache license version 2 0",),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license"),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "released under the bsd license",
+    ),
     "cc-by": ("licensed under cc by 4 0", "creative commons attribution 4 0 international"),
     "cc-by-nc": ("licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"),
     "cc-by-sa": ("licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international"),
     "cc0": ("cc0 1 0 universal public domain dedication",),
-    "gpl": ("this program is free software you can redistribute it and or modify it", "licensed under the gnu general public license version 3"),
+    "gpl": (
+        "this program is free software you can redistribute it and or modify it",
+        "licensed under the gnu general public license version 3",
+    ),
     "isc": ("permission to use copy modify and or distribute this software for any purpose",),
     "lgpl": ("gnu lesser general public license",),
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", "released under the mit license"),
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "released under the mit license",
+    ),
     "mpl": ("this source code form is subject to the terms of the mozilla public license",),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
 }
@@ -120,7 +129,16 @@ def scan(text: str | None) -> dict:
     for label, start, end, edits in notices:
         spans.append((label, bisect_left(gaps, start + (joined[start] == " ")) - 1, bisect_left(gaps, end - 1), edits))
         best = max(best, 1.0 - edits / max(1, end - start))
-    return {"n_words": len(words), "n_base": len(base), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(base_labels), "labels": ",".join(sorted({*base_labels, *(s[0] for s in spans)})), "score": best, "spans": [dict(zip(("label", "first", "end", "edits"), s, strict=True)) for s in spans]}
+    return {
+        "n_words": len(words),
+        "n_base": len(base),
+        "first_word": min(places, default=None),
+        "last_word": max(places, default=None),
+        "base_labels": ",".join(base_labels),
+        "labels": ",".join(sorted({*base_labels, *(s[0] for s in spans)})),
+        "score": best,
+        "spans": [dict(zip(("label", "first", "end", "edits"), s, strict=True)) for s in spans],
+    }
 
 
 def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,15 +150,30 @@ def scan_licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     that grows with their length. Further columns are ignored. No shuffle.
     """
     spans = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
-    kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": spans}
+    kinds = {
+        "n_words": pa.int64(),
+        "n_base": pa.int64(),
+        "first_word": pa.int64(),
+        "last_word": pa.int64(),
+        "base_labels": pa.string(),
+        "labels": pa.string(),
+        "score": pa.float64(),
+        "spans": spans,
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [scan(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[c] for x in found], t) for c, t in kinds.items())], names=["doc_id", *kinds])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([x[c] for x in found], t) for c, t in kinds.items())],
+                names=["doc_id", *kinds],
+            )
 
     rows = only(documents, doc_id=doc_id, text=text)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label string, first long, end long, edits long>>")
+    return rows.mapInArrow(
+        run,
+        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label string, first long, end long, edits long>>",
+    )
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,10 +101,21 @@ class Packer:
 def _batches(rows: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(rows), 20_000):
         columns = zip(*rows[i : i + 20_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key, *_PIECE, pa.int64(), pa.int64()), strict=True)], names=_NAMES)
-
-
-def pack(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = 2048, open_bins: int = 8192, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (key, *_PIECE, pa.int64(), pa.int64()), strict=True)],
+            names=_NAMES,
+        )
+
+
+def pack(
+    documents: DataFrame,
+    tokenizer: str = "byte_bpe_50k.json",
+    end_id: int = 0,
+    capacity: int = 2048,
+    open_bins: int = 8192,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece.
 
     First each input partition packs its own documents as they stream by: no shuffle, and a state of ``open_bins`` bins whatever the
@@ -126,11 +137,20 @@ def pack(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer, key = id_encoder(path, by_rank), Packer(capacity, open_bins, TaskContext.get().partitionId() << 41, capacity // 256), None
+        encoder, packer, key = id_encoder(path, by_rank), Packer(
+            capacity,
+            open_bins,
+            TaskContext.get().partitionId() << 41,
+            capacity // 256,
+        ), None
         for whole in batches:
             key, pieces = whole.schema.field(0).type, []
             for batch in chunks(iter([whole])):
-                for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(t or "" for t in batch.column(1).to_pylist()), strict=True):
+                for name, ids in zip(
+                    batch.column(0).to_pylist(),
+                    encoder.encode(t or "" for t in batch.column(1).to_pylist()),
+                    strict=True,
+                ):
                     ids += end
                     for i, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
                         pieces.append((name, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))

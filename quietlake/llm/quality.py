@@ -77,7 +77,10 @@ def measure(text: Column) -> Column:
         n = F.size(w) - 2
         windows = F.transform(F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n)), lambda x: F.xxhash64(x))
         repeat = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_repeat_words(h)))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(n > 0, repeat).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.when(n > 0, repeat).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        )
 
     of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
     size = F.length(text)
@@ -112,14 +115,28 @@ def ledger(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     through unchanged; further columns of the input are ignored. No shuffle.
     """
     rows = only(documents, doc_id=doc_id, text=text).select("doc_id", measure(F.col("text")).alias("m"))
-    rows = rows.select("doc_id", "m.w.n_words", "m.word_chars", "m.n_symbols", "m.l.n_dup_lines", "m.w.n_repeat_words", "m.l.n_lines", "m.n_exclaims")
+    rows = rows.select(
+        "doc_id",
+        "m.w.n_words",
+        "m.word_chars",
+        "m.n_symbols",
+        "m.l.n_dup_lines",
+        "m.w.n_repeat_words",
+        "m.l.n_lines",
+        "m.n_exclaims",
+    )
     return rows.withColumn("fail_bits", _bits())
 
 
 def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
     """Adds ``base_failed`` and ``kept`` under a policy version."""
     base = F.lit(policy_mask("base")).cast("long")
-    return rows.withColumns({"base_failed": F.col("fail_bits").bitwiseAND(base) != 0, "kept": F.col("fail_bits").bitwiseAND(F.lit(policy_mask(version)).cast("long")) == 0})
+    return rows.withColumns(
+        {
+            "base_failed": F.col("fail_bits").bitwiseAND(base) != 0,
+            "kept": F.col("fail_bits").bitwiseAND(F.lit(policy_mask(version)).cast("long")) == 0,
+        }
+    )
 
 
 def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
@@ -129,12 +146,29 @@ def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
     """
     mask = F.lit(policy_mask(version)).cast("long")
     patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(mask).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
-    rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << BIT[name]).cast("long").alias("bit")) for name in POLICIES[version]]))
+    rules = F.explode(
+        F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << BIT[name]).cast("long").alias("bit")) for name in POLICIES[version]])
+    )
     x = patterns.select("bits", "n", rules.alias("r"))
     hit = x.bits.bitwiseAND(x.r.bit) != 0
-    return x.groupBy(F.col("r.rule").alias("rule")).agg(F.sum(F.when(hit, x.n).otherwise(0)).alias("n_failed"), F.sum(F.when(x.bits == x.r.bit, x.n).otherwise(0)).alias("n_only"))
+    return x.groupBy(F.col("r.rule").alias("rule")).agg(
+        F.sum(F.when(hit, x.n).otherwise(0)).alias("n_failed"),
+        F.sum(F.when(x.bits == x.r.bit, x.n).otherwise(0)).alias("n_only"),
+    )
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(read_table(spark, sf_dir, "documents")), "v1")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "n_lines", "n_exclaims")
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "fail_bits",
+        "n_lines",
+        "n_exclaims",
+    )

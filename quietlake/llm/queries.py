@@ -52,7 +52,10 @@ FROM b
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_quality_rules": _OP3.replace("BITS", " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, (_, rule) in enumerate(quality.RULES)))
+    "op3_quality_rules": _OP3.replace(
+        "BITS",
+        " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, (_, rule) in enumerate(quality.RULES)),
+    )
     .replace("BASE", str(quality.policy_mask("base")))
     .replace("MASK", str(quality.policy_mask("v1"))),
 }

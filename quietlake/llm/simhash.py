@@ -55,7 +55,10 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id:
             texts = batch.column(1).to_pylist()
             fp = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
             digests = [hashlib.md5((t or "").encode("utf-8", "replace")).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(digests, pa.binary())], names=["doc_id", "fp", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fp), pa.array(digests, pa.binary())],
+                names=["doc_id", "fp", "digest"],
+            )
 
     rows = only(documents, doc_id=doc_id, text=text)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, digest binary")
@@ -63,7 +66,10 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id:
 
 def _segments(fps: DataFrame) -> DataFrame:
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    pair = F.array(F.struct(F.lit(0).alias("seg"), low.alias("val")), F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned("fp", 32).alias("val")))
+    pair = F.array(
+        F.struct(F.lit(0).alias("seg"), low.alias("val")),
+        F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned("fp", 32).alias("val")),
+    )
     return fps.select("fp", F.inline(pair))
 
 
@@ -91,8 +97,17 @@ def links(fps: DataFrame) -> DataFrame:
     hot = matched.where(F.col("n") > BUCKET).select("fp").distinct()
     cold = matched.where(F.col("n") <= BUCKET).select("seg", "val", F.col("fp").alias("a"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = cold.join(table.select("seg", "val", F.col("fp").alias("b")).hint("merge"), ["seg", "val"]).where((F.col("a") != F.col("b")) & (far <= 2)).select("a", "b")
-    ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    pairs = cold.join(
+        table.select("seg", "val", F.col("fp").alias("b")).hint("merge"),
+        ["seg", "val"],
+    ).where((F.col("a") != F.col("b")) & (far <= 2)).select("a", "b")
+    ball = F.concat(
+        F.array("fp"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(63)),
+            lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)),
+        ),
+    )
     near = hot.select("fp", F.explode(ball).alias("mid")).withColumn("least", F.min("fp").over(Window.partitionBy("mid")))
     return pairs.union(near.where(F.col("fp") != F.col("least")).select("fp", "least"))
 
@@ -109,7 +124,11 @@ def group(documents: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str =
     parts = components(links(nodes.select("fp")))
     linked = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     least = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("root").alias("least"))
-    names = linked.join(least, "component", "left").select("fp", F.coalesce("least", "root").alias("component_id"), F.coalesce("component", "fp").alias("component_fp"))
+    names = linked.join(least, "component", "left").select(
+        "fp",
+        F.coalesce("least", "root").alias("component_id"),
+        F.coalesce("component", "fp").alias("component_fp"),
+    )
     return fps.join(names.hint("merge"), "fp").select("doc_id", "fp", "digest", "component_id", "component_fp")
 
 
@@ -124,7 +143,10 @@ def one_each(documents: DataFrame, groups: DataFrame, doc_id: str = "doc_id", te
     best = own.groupBy("component").agg(F.min("digest").alias("digest"), F.min("doc_id").alias("doc_id"))
     winners = best.select(name(F.col("doc_id"), F.col("digest")).alias("name"))
     digest = F.unhex(F.md5(F.coalesce(documents[f"`{text}`"], F.lit("")).cast("binary")))
-    rows = documents.select(F.struct("*").alias("row"), name(documents[f"`{doc_id}`"], digest).alias("name")).join(winners, "name", "left_semi")
+    rows = documents.select(
+        F.struct("*").alias("row"),
+        name(documents[f"`{doc_id}`"], digest).alias("name"),
+    ).join(winners, "name", "left_semi")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("name"))).where("n = 1").select("row.*")
 
 

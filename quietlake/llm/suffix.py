@@ -183,7 +183,9 @@ class Anchors:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a])
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[bytes, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+def _buffers(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[
+    tuple[bytes, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]
+]:
     """Different texts of a partition (the first column), joined to buffers of about a megabyte.
 
     Yields the buffer, and for each piece its text's digest, start, end, limit, place in its text, and what a second column says of the text.
@@ -237,7 +239,9 @@ def repeated_cores(rows: DataFrame, plan: Plan) -> DataFrame:
 def sketch(cores: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the cores' last bits."""
     slot = F.col("core").bitwiseAND(F.lit((1 << bits) - 1))
-    words = cores.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
+    words = cores.groupBy(F.shiftright(slot, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("mask")
+    )
     out = np.zeros(1 << (bits - 6), np.int64)
     table = words.toArrow()
     out[table.column("word").to_numpy()] = table.column("mask").to_numpy()
@@ -250,7 +254,10 @@ def with_cores(rows: DataFrame, plan: Plan, cores: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buffer, digests, starts, ends, limits, _, _ in _buffers(batches, plan):
             a = Anchors(plan, buffer, starts, ends, limits)
-            yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in a.owner.tolist()], pa.binary()), pa.array(a.core.view(np.int64))], names=["digest", "core"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digests[i] for i in a.owner.tolist()], pa.binary()), pa.array(a.core.view(np.int64))],
+                names=["digest", "core"],
+            )
 
     own = rows.select("text").mapInArrow(run, "digest binary, core long").join(cores, "core", "left_semi").groupBy("digest").agg(F.collect_set("core").alias("cores"))
     return rows.select("text", F.unhex(F.md5("text")).alias("digest")).join(own, "digest").select("text", "cores")
@@ -288,7 +295,17 @@ def contexts(rows: DataFrame, plan: Plan, cores: DataFrame, n_cores: int) -> Dat
             before = [buffer[x:y] for x, y in zip(low.tolist(), first.tolist(), strict=True)]
             after = [buffer[x:y] for x, y in zip((first + plan.core).tolist(), (high + plan.length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([digests[i] for i in owner.tolist()], pa.binary()), pa.array(at + shift), pa.array(low + shift), pa.array(high + shift), pa.array(a.core[hit].view(np.int64)), pa.array(context), pa.array(_occurrence(digests, owner, at + shift)), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                [
+                    pa.array([digests[i] for i in owner.tolist()], pa.binary()),
+                    pa.array(at + shift),
+                    pa.array(low + shift),
+                    pa.array(high + shift),
+                    pa.array(a.core[hit].view(np.int64)),
+                    pa.array(context),
+                    pa.array(_occurrence(digests, owner, at + shift)),
+                    pa.array(before, pa.binary()),
+                    pa.array(after, pa.binary()),
+                ],
                 names=["text", "at", "low", "high", "core", "context", "place", "before", "after"],
             )
 
@@ -343,7 +360,10 @@ _SPAN = "text binary, start long, end long"
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["text", "start", "end"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())],
+        names=["text", "start", "end"],
+    )
 
 
 def _sorted_groups(chosen: DataFrame, plan: Plan) -> DataFrame:
@@ -391,11 +411,21 @@ def _counted_windows(chosen: DataFrame, plan: Plan) -> DataFrame:
                         h = xxhash.xxh3_128_digest(k.to_bytes(2, "little") + window + c["after"][: plan.margin - k])
                         rows.append((c["core"], h, None if c["copied"] else c["text"], s, c["place"]))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["core", "window", "text", "start", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
+                    names=["core", "window", "text", "start", "place"],
+                )
 
     windows = chosen.mapInArrow(run, "core long, window binary, text binary, start long, place long")
-    more = windows.groupBy("core", "window").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("core", "window")
-    return windows.where(F.col("text").isNotNull()).join(more, ["core", "window"], "left_semi").select("text", "start", (F.col("start") + plan.length).alias("end"))
+    more = windows.groupBy("core", "window").agg(
+        F.min("place").alias("a"),
+        F.max("place").alias("b"),
+    ).where("a <> b").select("core", "window")
+    return windows.where(F.col("text").isNotNull()).join(more, ["core", "window"], "left_semi").select(
+        "text",
+        "start",
+        (F.col("start") + plan.length).alias("end"),
+    )
 
 
 def repeats(rows: DataFrame, length: int = 400, contexts_at_once: int = CONTEXTS) -> DataFrame:
@@ -406,7 +436,11 @@ def repeats(rows: DataFrame, length: int = 400, contexts_at_once: int = CONTEXTS
     each = table.groupBy("core", "context").agg(F.min("place").alias("place"), (F.min("place") != F.max("place")).alias("copied"))
     cores = each.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     each = written(each.join(cores, "core"), "context-counts")
-    copied = table.select("text", "low", "high", "core", "context").join(each.where("copied").select("core", "context"), ["core", "context"], "left_semi").select("text", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    copied = table.select("text", "low", "high", "core", "context").join(
+        each.where("copied").select("core", "context"),
+        ["core", "context"],
+        "left_semi",
+    ).select("text", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
     several = each.where("n > 1").select("core", "context", F.col("place").alias("least"), "copied", "n")
     chosen = table.join(several, ["core", "context"]).where(F.col("place") == F.col("least")).dropDuplicates(["core", "context"]).select(*table.columns, "copied", "n")
     few = _sorted_groups(chosen.where(F.col("n") <= contexts_at_once), plan)
@@ -424,11 +458,19 @@ def remove_repeats(documents: DataFrame, length: int = 400, doc_id: str = "doc_i
     repeated rows are documents of their own. Further columns are ignored; ``others`` holds all of the input's columns but the text, whatever their names.
     """
     rest = [documents[f"`{c}`"].alias(c) for c in documents.columns if c != text]
-    rows = documents.select(documents[f"`{doc_id}`"].alias("doc_id"), F.coalesce(documents[f"`{text}`"], F.lit("")).alias("text"), *([F.struct(*rest).alias("others")] if others else []))
-    spans = repeats(rows, length).groupBy("text").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select(F.col("text").alias("digest"), "spans")
+    rows = documents.select(
+        documents[f"`{doc_id}`"].alias("doc_id"),
+        F.coalesce(documents[f"`{text}`"], F.lit("")).alias("text"),
+        *([F.struct(*rest).alias("others")] if others else []),
+    )
+    spans = repeats(rows, length).groupBy("text").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")
+    ).select(F.col("text").alias("digest"), "spans")
     named = rows.withColumn("digest", F.unhex(F.md5("text")))
     copies = named.where(F.octet_length("text") >= length).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    what = copies.join(spans, "digest", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull()).select("digest", F.col("copies") > 1, "spans").toDF("digest", "copied", "spans")
+    what = copies.join(spans, "digest", "left").where(
+        (F.col("copies") > 1) | F.col("spans").isNotNull()
+    ).select("digest", F.col("copies") > 1, "spans").toDF("digest", "copied", "spans")
     joined = named.join(what, "digest", "left").select("doc_id", "text", "copied", "spans", *named.columns[2:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,9 +489,18 @@ def remove_repeats(documents: DataFrame, length: int = 400, doc_id: str = "doc_i
                     left.append(data[at:a])
                     at = b
                 left = b"".join([*left, data[at:]])
-                out.append((len(data), len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                out.append(
+                    (len(data), len(data) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))
+                )
             columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *batch.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[4:]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)),
+                    *batch.columns[4:],
+                ],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[4:]],
+            )
 
     kind = joined.schema["doc_id"].dataType.simpleString()
     schema = StructType.fromDDL(f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

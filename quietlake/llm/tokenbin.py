@@ -27,7 +27,15 @@ from .common import SharedFiles, new_dir, numbered, only, read_table
 from .tokens import chunks, id_encoder, ranks_prove, tokenizer_path
 
 
-def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> list[dict]:
+def write_token_files(
+    documents: DataFrame,
+    path: str,
+    tokenizer: str = "byte_bpe_50k.json",
+    end_id: int = 0,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    partitions: int | None = None,
+) -> list[dict]:
     """Writes the dataset below ``path`` and returns the manifest's parts.
 
     Documents are range-partitioned and sorted by id before they are encoded, so each is encoded once. The
@@ -60,11 +68,19 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str = "byte_bp
 
         files.write(f"{name}.ids", ids())
         offsets = np.cumsum(np.asarray(lengths, "<i8"))
-        files.write(f"{name}.idx", [offsets.astype("<i8").tobytes(), np.asarray([k or 0 for k in keys], "<i8").tobytes(), bytes(k is None for k in keys)])
-        yield pa.RecordBatch.from_pydict({"part": pa.array([name]), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64())})
+        files.write(
+            f"{name}.idx",
+            [offsets.astype("<i8").tobytes(), np.asarray([k or 0 for k in keys], "<i8").tobytes(), bytes(k is None for k in keys)],
+        )
+        yield pa.RecordBatch.from_pydict(
+            {"part": pa.array([name]), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([int(offsets[-1])], pa.int64())}
+        )
 
     rows = only(documents, doc_id=doc_id, text=text)
-    ordered = rows.repartitionByRange(*[x for x in [partitions] if x], F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = rows.repartitionByRange(
+        *[x for x in [partitions] if x],
+        F.col("doc_id").asc_nulls_first(),
+    ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     parts, base = [], 0
     for row in sorted(ordered.mapInArrow(run, "part string, n_docs long, n_ids long").collect(), key=lambda r: numbered(r.part)):
         parts.append(row.asDict() | {"base": base})
@@ -110,7 +126,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     b = min(a + 10_000, part["n_docs"])
                     crc = [zlib.crc32(r[i].astype("<u4").tobytes()) for i in range(a, b)]
                     keys = pa.array(r.keys[a:b].tolist(), pa.int64(), mask=r.null[a:b].astype(bool))
-                    yield pa.RecordBatch.from_pydict({"doc_id": keys, "start": pa.array(r.offsets[a:b] + part["base"], pa.int64()), "n_tokens": pa.array(r.offsets[a + 1 : b + 1] - r.offsets[a:b], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": keys,
+                            "start": pa.array(r.offsets[a:b] + part["base"], pa.int64()),
+                            "n_tokens": pa.array(r.offsets[a + 1 : b + 1] - r.offsets[a:b], pa.int64()),
+                            "ids_crc32": pa.array(crc, pa.int64()),
+                        }
+                    )
 
     rows = [(p["part"], p["n_docs"], p["n_ids"], p["base"]) for p in manifest["parts"]]
     parts = spark.createDataFrame(rows, "part string, n_docs long, n_ids long, base long")

@@ -33,8 +33,22 @@ _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: The normalizer and pre-tokenizer settings that the patterns above stand for.
 _BYTE_SHAPE = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
 _WORD_SHAPE = (
-    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
-    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+    {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+        ],
+    },
 )
 
 #: Different pieces that a worker remembers before it starts anew; bounds its memory, not the result.
@@ -210,13 +224,19 @@ class WholeTokens:
         if _shape(spec) != "byte":
             raise ValueError("the whole-token count needs a byte-level tokenizer without normalizer")
         self.special = spec["special"]
-        self.pre_tokens = regex.compile(_PRE_TOKENS.replace("\\s", f"[{_WS}]").replace(f"[^[{_WS}]", f"[^{_WS}").replace("\\S", f"[^{_WS}]")).findall
+        self.pre_tokens = regex.compile(
+            _PRE_TOKENS.replace("\\s", f"[{_WS}]").replace(f"[^[{_WS}]", f"[^{_WS}").replace("\\S", f"[^{_WS}]")
+        ).findall
         self.whole = self.prove()
         self.rest: dict[str, int] = {}
 
     def prove(self) -> dict[str, int]:
         """Vocabulary strings that are valid text, one pre-token, and encode as one token."""
-        strings = [s for i in range(self.library.get_vocab_size(with_added_tokens=False)) if (s := self.library.decode([i], skip_special_tokens=False)) and "�" not in s and s not in self.special]
+        strings = [
+            s for i in range(self.library.get_vocab_size(with_added_tokens=False)) if (
+                s := self.library.decode([i], skip_special_tokens=False)
+            ) and "�" not in s and s not in self.special
+        ]
         encoded = self.library.encode_batch_fast(strings, add_special_tokens=False)
         return {s: 1 for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1 and self.pre_tokens(s) == [s]}
 
@@ -258,7 +278,13 @@ def chunks(batches: Iterator[pa.RecordBatch], n: int = _CHUNK) -> Iterator[pa.Re
             yield batch.slice(i, n)
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(
+    documents: DataFrame,
+    tokenizer: str = "byte_bpe_50k.json",
+    limit: int = 1024,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; one row per input row, no shuffle.
 
     A null text counts as empty: no bytes, no tokens. Very long texts are counted whole; an empty table gives no rows. Ids may be
@@ -271,7 +297,15 @@ def count_tokens(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", lim
         for batch in chunks(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = counter.count(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(t.encode()) for t in texts], pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array([x > limit for x in n]),
+                ],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            )
 
     rows = only(documents, doc_id=doc_id, text=text)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

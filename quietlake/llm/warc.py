@@ -70,17 +70,37 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: int | None, revisit: bool, row: int = 0) -> bytes:
+def make_record(
+    page_id: int | None,
+    url: str | None,
+    payload: bytes | None,
+    digest: str,
+    size: int,
+    refers_to: int | None,
+    revisit: bool,
+    row: int = 0,
+) -> bytes:
     """One record: a response with its payload, or a revisit with the response's HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, row)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{_digest(block)}", "Content-Type: application/http; msgtype=response"]
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {_record_id(page_id, row)}",
+        f"WARC-Date: {_DATE}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Block-Digest: sha1:{_digest(block)}",
+        "Content-Type: application/http; msgtype=response",
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\r\n]+", "%20", url))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: {_record_id(refers_to, row)}"] + ([f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else [])
+        head += [
+            f"WARC-Profile: {_REVISIT}",
+            f"WARC-Refers-To: {_record_id(refers_to, row)}",
+        ] + ([f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else [])
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -97,7 +117,15 @@ def read_record(member: bytes) -> dict:
     size = int(re.search(rb"(?i)content-length: (\d+)", http)[1])
     response = fields["WARC-Type"] == "response"
     number = lambda name: int(fields[name]) if name in fields else None
-    return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": payload if response else None, "payload_bytes": len(payload) if response else size, "payload_digest": _digest(payload) if response else fields["WARC-Payload-Digest"].removeprefix("sha1:")}
+    return {
+        "page_id": number("X-Page-ID"),
+        "url": fields.get("WARC-Target-URI"),
+        "record_type": fields["WARC-Type"],
+        "refers_to": number("X-Refers-To-Page-ID"),
+        "payload": payload if response else None,
+        "payload_bytes": len(payload) if response else size,
+        "payload_digest": _digest(payload) if response else fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+    }
 
 
 def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -107,21 +135,49 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload are a row for each task.
     """
     sums = pages.select("page_id", "digest", "size").where(F.col("size") >= min_bytes)
-    first = sums.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return sums.select("page_id", "digest").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), F.col("digest").alias("sha"), F.col("first").alias("refers_to")).distinct()
-
-
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    first = sums.groupBy("digest").agg(
+        F.min("page_id").alias("first"),
+        F.count(F.lit(1)).alias("n"),
+    ).where("n > 1").select("digest", "first")
+    return sums.select("page_id", "digest").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(
+        F.col("page_id").alias("id"),
+        F.col("digest").alias("sha"),
+        F.col("first").alias("refers_to"),
+    ).distinct()
+
+
+def write_archives(
+    pages: DataFrame,
+    path: str,
+    min_bytes: int = 0,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+) -> DataFrame:
     """Writes archives below ``path``; returns the capture lines (key, page_id, archive, offset, length), written once.
 
     A null payload is empty. Rows that share the smallest page id of a payload are all responses. Null page ids are
     revisits wherever another row has the payload and an id. Further columns are ignored.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = only(pages, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
+    rows = only(pages, page_id=page_id, url=url, html=html).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "url",
+        payload.alias("html"),
+        F.sha1(payload.cast("binary")).alias("digest"),
+        F.octet_length(payload).cast("long").alias("size"),
+    )
     revisits = decide(rows, min_bytes)
     joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left")
-    out = joined.select("page_id", "url", F.when(F.col("sha").isNull(), F.col("html")).alias("html"), "digest", "size", "refers_to", F.col("sha").isNotNull().alias("revisit"))
+    out = joined.select(
+        "page_id",
+        "url",
+        F.when(F.col("sha").isNull(), F.col("html")).alias("html"),
+        "digest",
+        "size",
+        "refers_to",
+        F.col("sha").isNotNull().alias("revisit"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,7 +189,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
             for batch in batches:
                 for r in batch.to_pylist():
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                    record = make_record(r["page_id"], r["url"], r["html"].encode() if r["html"] is not None else None, digest, r["size"], r["refers_to"], r["revisit"], len(lines))
+                    record = make_record(
+                        r["page_id"],
+                        r["url"],
+                        r["html"].encode() if r["html"] is not None else None,
+                        digest,
+                        r["size"],
+                        r["refers_to"],
+                        r["revisit"],
+                        len(lines),
+                    )
                     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                     member = pack.compress(record) + pack.flush()
                     lines.append((url_key(r["url"]), r["page_id"], name, at, len(member)))
@@ -143,7 +208,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
         SharedFiles(path).write(name, members())
         for i in range(0, len(lines), 10_000):
             columns = zip(*lines[i : i + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "archive", "offset", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+                names=["key", "page_id", "archive", "offset", "length"],
+            )
 
     return written(out.mapInArrow(run, _CDX), "captures")
 
@@ -181,10 +249,20 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
         files.write(f"{name}.cdx.gz", blocks())
         files.write(f"{name}.dir", [json.dumps(directory).encode()])
         if directory:
-            yield pa.RecordBatch.from_pydict({"name": [name], "first": [directory[0][0]], "blocks": pa.array([len(directory)], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "name": [name],
+                    "first": [directory[0][0]],
+                    "blocks": pa.array([len(directory)], pa.int64()),
+                    "bytes": pa.array([size], pa.int64()),
+                }
+            )
 
     order = [F.col("key"), F.col("page_id").asc_nulls_first(), F.col("archive"), F.col("offset")]
-    parts = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "name string, first string, blocks long, bytes long").collect()
+    parts = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        run,
+        "name string, first string, blocks long, bytes long",
+    ).collect()
     top = [r.asDict() for r in sorted(parts, key=lambda r: numbered(r.name))]
     SharedFiles(path).write("index.json", [json.dumps(top).encode()])
     return top
@@ -239,7 +317,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """
     index = CaptureIndex(path)
     entries = [(t["name"], t["blocks"]) for t in index.top]
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()} | ({"payload": pa.binary()} if payloads else {})
+    kinds = {
+        "page_id": pa.int64(),
+        "url": pa.string(),
+        "record_type": pa.string(),
+        "refers_to": pa.int64(),
+        "payload_bytes": pa.int64(),
+        "payload_digest": pa.string(),
+    } | ({"payload": pa.binary()} if payloads else {})
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = CaptureIndex(path)
@@ -247,7 +332,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
             for name in batch.column(0).to_pylist():
                 for entry in own.directory(name):
                     block = list(zip(*own.block(name, entry), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(block[2], pa.string()), pa.array(block[3], pa.int64()), pa.array(block[4], pa.int64())], names=["archive", "offset", "length"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block[2], pa.string()), pa.array(block[3], pa.int64()), pa.array(block[4], pa.int64())],
+                        names=["archive", "offset", "length"],
+                    )
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, name, f = SharedFiles(path), None, None
@@ -267,8 +355,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
     names = spark.createDataFrame(entries, "name string, blocks long").repartition(max(1, len(entries)), "name").select("name")
     tasks = max(-(-sum(t["bytes"] for t in index.top) // READ_BYTES), min(len(entries), spark.sparkContext.defaultParallelism), 1)
-    found = names.mapInArrow(lines, "archive string, offset long, length long").repartition(tasks, "archive", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("archive", "offset")
-    return found.mapInArrow(records, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if payloads else ""))
+    found = names.mapInArrow(lines, "archive string, offset long, length long").repartition(
+        tasks,
+        "archive",
+        F.expr(f"offset div {READ_BYTES}"),
+    ).sortWithinPartitions("archive", "offset")
+    return found.mapInArrow(
+        records,
+        "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if payloads else ""),
+    )
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
