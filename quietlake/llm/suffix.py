@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import only, read_table, written
+from .tokens import chunks
 
-#: Repeated cores are sent to the workers as a bitmap of ``ROOMY`` bits each, up to 2 ** ``SKETCH_BITS`` bits in all (64 MB) and down to
+#: Repeated cores are sent to the workers as a bitmap of ``ROOMY`` bits each, up to 2 ** ``SKETCH_BITS`` bits in all (32 MB) and down to
 #: ``TIGHT`` bits each. Where there are more of them, each text gets its own repeated cores by a join instead; both ways give the same result.
-SKETCH_BITS, ROOMY, TIGHT = 29, 128, 8
+SKETCH_BITS, ROOMY, TIGHT = 28, 64, 8
 #: Different contexts of one core that one suffix array takes; cores with more have each window counted by
 #: its hash instead, spread over all tasks.
 CONTEXTS = 512
@@ -474,7 +475,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, doc_id: str = "doc_i
     joined = named.join(what, "digest", "left").select("doc_id", "text", "copied", "spans", *named.columns[2:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             out = []
             for text, copied, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = text.encode()
