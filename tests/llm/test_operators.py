@@ -396,11 +396,29 @@ def test_similar_keeps_one_of_each_group(odd, empty):
     assert kept.count() == groups.select("component").distinct().count()
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_long_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+    assert graph.components(edges.where("false")).count() == 0
+
+
+def test_joined_labels_equal_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        edges = [(rng.randint(-20, 60), rng.randint(-20, 60)) for _ in range(rng.randint(1, 70))]
+        root = {v: v for e in edges for v in e}
+        for a, b in edges:
+            x, y = sorted((root[a], root[b]))
+            root = {v: x if r == y else r for v, r in root.items()}
+        batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in edges], "b": [b for _, b in edges]})
+        (found,) = graph._joined(iter([batch]))
+        assert dict(zip(*(c.to_pylist() for c in found.columns), strict=True)) == root
 
 
 # --- suffix arrays
