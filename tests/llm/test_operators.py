@@ -389,6 +389,27 @@ def test_similar_links_members_that_leaders_do_not(spark, monkeypatch):
     assert similar_roots(spark, texts) == brute_similar(texts, 0.8)
 
 
+def test_similar_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE", 4)
+    asked, links = [], similar._Verifier.links
+
+    def counted(self, pairs):
+        asked.append(pairs.count())
+        return links(self, pairs)
+
+    monkeypatch.setattr(similar._Verifier, "links", counted)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for i in rng.sample(range(150), k % 12):
+            own[i] = f"c{k}x{i}"
+        texts.append(" ".join(own[: 150 - k % 3]))
+    assert similar_roots(spark, texts) == brute_similar(texts, 0.8)
+    assert sum(asked) < 10 * len(texts)
+
+
 def test_similar_keeps_one_of_each_group(odd, empty):
     kept = similar.keep_one(odd)
     assert kept.columns == odd.columns and similar.keep_one(empty).count() == 0
