@@ -117,6 +117,12 @@ def test_unsafe_candidates_fall(spark):
     assert rows.d.action == "select" and rows.d.text == "a person"
 
 
+def test_candidates_without_text_are_not_chosen(spark):
+    made = F.array(F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("level"), F.lit(0.9).alias("utility"), F.lit(0.0).alias("leakage"), F.lit("drop").alias("representation")))
+    d = spark.range(1).select(selection.decide(made, F.lit("Ann Lee"), F.lit("PL2")).alias("d")).first().d
+    assert (d.action, d.text, d.feasible) == ("drop", None, 0)
+
+
 # --- aliases and provenance
 
 
