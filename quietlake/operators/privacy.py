@@ -62,8 +62,9 @@ def validate(items: DataFrame, messages: DataFrame, strict: bool = False) -> Dat
 
 
 def best_per_text(items: DataFrame) -> DataFrame:
-    """Of a message's items with one text: the highest level, then the smallest type."""
-    order = Window.partitionBy("message_id", "original_text").orderBy(F.desc("privacy_level"), "privacy_type")
+    """Of a message's items with one text: the highest level, then the smallest type, then the first ``pos`` if there is one."""
+    place = ["pos"] if "pos" in items.columns else []
+    order = Window.partitionBy("message_id", "original_text").orderBy(F.desc("privacy_level"), "privacy_type", *place)
     return items.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 

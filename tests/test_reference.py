@@ -60,6 +60,11 @@ def test_best_level_wins_whatever_the_order(spark):
     assert [(r.privacy_type, r.privacy_level) for r in privacy.best_per_text(i).collect()] == [("A", "PL4")]
 
 
+def test_of_equal_items_the_first_is_best(spark):
+    i = items(spark, *[(0, "x", "A", "PL2")] * 9)
+    assert [r.pos for r in privacy.best_per_text(i.orderBy(F.desc("pos")).coalesce(1)).collect()] == [0]
+
+
 def test_deletions_merge_and_take_overlaps(spark):
     m = messages(spark, "Hi there. My pin is 4321 at a@b.org now. Bye.")
     i = items(spark, (0, "4321", "Token", "PL4"), (0, "a@b.org", "Email", "PL2"))
