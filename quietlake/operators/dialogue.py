@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import bisect
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quietlake.functions.text import estimate_tokens
+from quietlake.operators import nearest
+from quietlake.sources.files import scratch
 
-#: Queries of a search that are broadcast at a time.
-BLOCK = 10_000
+#: Queries of a search that are broadcast at a time, pairs that make another task worth while (half a second's work), and the most tasks.
+BLOCK, PAIRS, PARTS = 10_000, 50_000_000, 64
 
 GATES = [
     ("builtin_audit_failed", "not coalesce(audit_passed, false)"),
@@ -96,32 +98,42 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(memories: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, vec_id, similarity, rank over all memories, for any number of queries.
+    """query_id, vec_id, similarity, rank over all memories, for any number of queries; equal similarities, to nine decimals, go by vec_id. As ``cosine`` has it, rounded.
 
-    Queries are broadcast in blocks of about ``BLOCK``; each task of the memories keeps its own best k of a query before the final ranking.
+    Every query meets every memory: the work grows with the product of both, in products of matrices. Queries go to the tasks in blocks of about ``BLOCK``, and each task of
+    the memories keeps its own best k of a query before the final ranking. With more than one block each block's best are written to the shared folder, so the driver holds one at a time.
     """
-    blocks = -(-queries.count() // BLOCK)
-    if blocks > 1:
-        at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        return reduce(DataFrame.union, (_top_k(memories, queries.where(at == i), k) for i in range(blocks)))
-    return _top_k(memories, queries, k)
-
-
-def _top_k(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    pairs = memories.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select(
-        "query_id",
-        "vec_id",
-        F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("similarity"),
+    memories = memories.select("vec_id", "embedding").where("vec_id is not null")
+    queries = queries.select("query_id", "query").where("query_id is not null")
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK))
+    dealt = memories.repartition(min(PARTS, 1 + memories.count() * n // PAIRS))
+    if blocks == 1:
+        local = _local(dealt, queries, k)
+    else:
+        path = scratch(memories.sparkSession, "nearest")
+        for i in range(blocks):
+            found = _local(dealt, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k)
+            found.write.mode("append").parquet(path)
+        local = memories.sparkSession.read.schema(found.schema).parquet(path)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id"))
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _local(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, similarity: what each task of the memories has nearest to the queries, which go to all tasks."""
+    import pyarrow as pa
+
+    asked, sink = queries.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, asked.schema) as out:
+        out.write_table(asked)
+    shared = memories.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), k))
+    kinds = queries.schema["query_id"].dataType, memories.schema["vec_id"].dataType
+    schema = pa.schema([("query_id", to_arrow_type(kinds[0])), ("vec_id", to_arrow_type(kinds[1])), ("similarity", pa.float64())])
+    return memories.mapInArrow(
+        lambda batches: nearest.search(shared.value, batches, schema),
+        f"query_id {kinds[0].simpleString()}, vec_id {kinds[1].simpleString()}, similarity double",
     )
-    order = [F.desc("similarity"), F.asc("vec_id")]
-    local = pairs.withColumn("part", F.spark_partition_id()).withColumn(
-        "rank",
-        F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order)),
-    ).where(F.col("rank") <= k)
-    return local.withColumn(
-        "rank",
-        F.row_number().over(Window.partitionBy("query_id").orderBy(*order)),
-    ).where(F.col("rank") <= k).drop("part")
 
 
 def gates(runs: DataFrame) -> DataFrame:

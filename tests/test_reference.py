@@ -185,3 +185,30 @@ def test_search_takes_more_queries_than_a_block(spark):
     few = queries.where("query_id % 1000 = 10")
     key = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "similarity", "rank").collect()))
     assert key(found.where("query_id % 1000 = 10")) == key(dialogue.top_k(memories, few, 2))
+
+
+def test_search_equals_the_cosine_of_every_pair(spark):
+    rng = random.Random(3)
+    vector = lambda n: [float(rng.randint(-3, 3)) if rng.random() < 0.5 else rng.gauss(0, 1) for _ in range(n)]
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0], [1e-160, 1e-160, 0.0, 0.0], [1e160, -1e160, 0.0, 0.0], [1.0, 2.0]]
+    rows = [(i, vector(4)) for i in range(300)] + [(300 + i, v) for i, v in enumerate(odd + odd + [[1.0, 1.0, 0.0, 0.0]] * 40)] + [(7, vector(4)), (7, [1.0, 1.0, 0.0, 0.0])]
+    for kind in ("long", "string"):
+        m = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("vec_id", F.col("vec_id").cast(kind)).repartition(5)
+        q = m.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+        s = F.round(dialogue.cosine(F.col("embedding"), F.col("query")), 9)
+        pairs = {}
+        for r in m.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", s.alias("s")).collect():
+            key = (2, 0.0) if r.s is None else (0, 0.0) if r.s != r.s else (1, -r.s)
+            pairs.setdefault(r.query_id, []).append((*key, r.vec_id))
+        for k in (1, 20, 400):
+            got = {}
+            for r in dialogue.top_k(m, q, k).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((*((2, 0.0) if r.similarity is None else (0, 0.0) if r.similarity != r.similarity else (1, -r.similarity)), r.vec_id))
+            assert got == {i: sorted(own)[:k] for i, own in pairs.items()}
+    assert dialogue.top_k(m.where("false"), q, 3).count() == 0 and dialogue.top_k(m, q.where("false"), 3).count() == 0
+
+
+def test_search_makes_no_pairs_in_the_plan(spark):
+    m = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    plan = dialogue.top_k(m, m.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
