@@ -212,3 +212,10 @@ def test_search_makes_no_pairs_in_the_plan(spark):
     m = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
     plan = dialogue.top_k(m, m.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_questions_make_no_pairs_with_memories_in_the_plan(spark, sf):
+    from quietlake.plans import memory_queries
+
+    plan = memory_queries.answered_questions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
