@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quietlake.functions.text import attack_tokens
-from quietlake.sources.files import scratch
+from quietlake.sources.files import materialised, scratch
 
 #: Fixed value: phrases of an injected prompt.
 INJECTION = r"(?i)(?:^|[^\p{L}\p{N}_])(?:ignore (?:all )?(?:previous|prior) instructions|reveal (?:the )?(?:system|developer) prompt|system prompt|developer message|exfiltrate|bypass (?:the )?(?:policy|safety)|send .*secret|dump .*memory)(?:[^\p{L}\p{N}_]|$)"
@@ -118,10 +118,32 @@ def alias_reuse(strings: DataFrame) -> DataFrame:
 
 
 def split_last(labelled: DataFrame, ratio: float) -> DataFrame:
-    """``labelled``: doc_id, label, text. The last k of each class by doc_id are the test set, k at least 1."""
-    n = labelled.groupBy("label").agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * ratio)).cast("long").alias("k"))
-    at = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("doc_id")))
-    return labelled.withColumn("at", at).join(F.broadcast(n), "label").withColumn("test", F.col("at") <= F.col("k")).drop("at", "k")
+    """``labelled``: doc_id, label, text. The last k of each class by doc_id are the test set, k at least 1.
+
+    Where a class is cut is found from counts by doc_id alone, over ranges; then each row is told from its own doc_id, and no task has a class's texts.
+    Only rows that share the doc_id of a cut which divides them are numbered.
+    """
+    counts = labelled.where("label is not null").groupBy("label", "doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.struct("label", "doc_id").alias("key"), "n")
+    placed = materialised(with_sum_before(counts, "key", "n", "below"), "places")
+    size = placed.groupBy("key.label").agg(F.sum("n").alias("size"), F.min("below").alias("start"))
+    k = F.least(F.greatest(F.lit(1), F.bround(F.col("size") * ratio)).cast("long"), F.col("size"))
+    after = F.col("start") + F.col("size") - F.col("below") - F.col("n")
+    cuts = placed.join(F.broadcast(size), F.col("key.label") == F.col("label")).where((after < k) & (k <= after + F.col("n"))).select(
+        "label",
+        F.col("key.doc_id").alias("cut"),
+        (k - after).alias("take"),
+        (F.col("n") > k - after).alias("divided"),
+    )
+    cuts = materialised(cuts, "cuts")
+    rows = labelled.join(F.broadcast(cuts), "label")
+    # Nulls are the smallest.
+    test = F.coalesce(F.col("doc_id") >= F.col("cut"), F.col("cut").isNull())
+    if cuts.where("divided").isEmpty():
+        return rows.withColumn("test", test).drop("cut", "take", "divided")
+    torn = F.col("divided") & F.col("doc_id").eqNullSafe(F.col("cut"))
+    at = F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))
+    parts = rows.where(~torn).withColumn("test", test), rows.where(torn).withColumn("test", at <= F.col("take"))
+    return parts[0].unionByName(parts[1]).drop("cut", "take", "divided")
 
 
 def token_counts(train: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quietlake.functions.checks import LINKAGE, SEMANTIC, has_part, is_canary, shows_value, type_terms
 from quietlake.operators import audit
 from quietlake.operators.privacy import contains_join
+from quietlake.sources.files import materialised
 
 #: The owner of signals that count for records whose own user is unknown: those of all users.
 EVERYONE = "*"
@@ -191,7 +192,7 @@ def attack_report(labelled: DataFrame, ratio: float = 0.4) -> DataFrame:
     split = audit.split_last(labelled, ratio)
     one = lambda test, label: F.count_if((F.col("test") == test) & (F.col("label") == label))
     sizes = split.agg(*[one(t, k).alias(f"{name}{k}") for t, name in ((False, "train"), (True, "test")) for k in (0, 1)])
-    scores = audit.naive_bayes(split)
+    scores = materialised(audit.naive_bayes(split), "scores")
     hits = scores.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
     row = sizes.join(hits, F.lit(True), "cross").join(audit.auc(scores).select("auc"), F.lit(True), "cross")
     applies = (F.col("train0") + F.col("test0") >= 2) & (F.col("train1") + F.col("test1") >= 2) & (

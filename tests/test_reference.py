@@ -219,3 +219,29 @@ def test_questions_make_no_pairs_with_memories_in_the_plan(spark, sf):
 
     plan = memory_queries.answered_questions(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_split_by_doc_id_has_no_class_in_one_task(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(-40, 400)]), rng.choice([0, 0, 0, 1, 2, None]), f"t{i}") for i in range(600)] + [(9, 3, "a"), (9, 3, "b"), (9, 3, "c"), (1, 4, "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, label int, text string").repartition(6)
+    for some in (rows, [r for r in rows[:600] if r[0] is not None and r[1] == 2][:1], []):
+        have = frame if some is rows else spark.createDataFrame(some, frame.schema)
+        for ratio in (0.25, 0.5):
+            split = audit.split_last(have, ratio)
+            got = [tuple(r) for r in split.select("doc_id", "label", "text", "test").collect()]
+            assert sorted(map(repr, (r[:3] for r in got))) == sorted(repr(r) for r in some if r[1] is not None)
+            for label in {r[1] for r in got}:
+                own = [r for r in got if r[1] == label]
+                k = max(1, round(len(own) * ratio))
+                last = sorted((-(1 << 40) if r[0] is None else r[0] for r in own), reverse=True)[:k]
+                assert sorted((-(1 << 40) if r[0] is None else r[0] for r in own if r[3]), reverse=True) == last
+    plan = audit.split_last(frame.dropDuplicates(["doc_id"]), 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+
+
+@pytest.mark.parametrize("name", ["attack_report"])
+def test_attack_queries_number_no_class_in_one_task(spark, sf, name):
+    from quietlake.plans import catalogue, memory_queries  # noqa: F401
+
+    assert "row_number" not in catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
