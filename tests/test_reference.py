@@ -240,7 +240,7 @@ def test_split_by_doc_id_has_no_class_in_one_task(spark):
     assert "row_number" not in plan
 
 
-@pytest.mark.parametrize("name", ["attack_report", "attack_auc", "nb_scores", "top_positive_tokens"])
+@pytest.mark.parametrize("name", ["attack_report", "attack_auc", "nb_scores", "top_positive_tokens", "nb_token_counts"])
 def test_attack_queries_number_no_class_in_one_task(spark, sf, name):
     from quietlake.plans import catalogue, memory_queries  # noqa: F401
 
