@@ -120,8 +120,17 @@ def shows_value(text: Column, value: Column, path: Column) -> Column:
 
 def shows_fragment(text: Column, value: Column) -> Column:
     """Whether a text shows a part of a private value."""
-    low = F.lower(text)
-    return F.exists(private_fragments(value), lambda f: low.contains(F.lower(f)))
+    return shows_any(text, lower_fragments(value))
+
+
+def lower_fragments(value: Column) -> Column:
+    """The parts of a private value in lower case, to be bound once where several texts are looked at."""
+    return F.transform(private_fragments(value), F.lower)
+
+
+def shows_any(text: Column, fragments: Column) -> Column:
+    """Whether a text shows one of ``lower_fragments``."""
+    return let(F.struct(F.lower(text).alias("low"), fragments.alias("own")), lambda x: F.exists(x["own"], lambda f: x["low"].contains(f)))
 
 
 def is_local(address: Column) -> Column:

@@ -99,7 +99,8 @@ def rebuild(text: Column, spans: Column) -> Column:
 
 def sentence_start(text: Column, at: Column) -> Column:
     """Start of the sentence around a place, from 1: just after the last terminator before it."""
-    return at - F.length(F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"[^.!?。！？；;\n]*\z", 0))
+    before = F.substring(text, F.lit(1), at - 1)
+    return at - F.least(*[F.length(F.substring_index(before, end, -1)) for end in ".!?。！？；;\n"])
 
 
 def sentence_stop(text: Column, at: Column) -> Column:

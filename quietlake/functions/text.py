@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token is an ASCII word run or a single other character.
-TOKEN = r"[A-Za-z0-9_]+|[^\x00-\x7F]"
+#: A token is an ASCII word run (in Java's patterns ``\w`` is no more than that, and is faster than its ranges) or a single other character.
+TOKEN = r"\w+|[^\x00-\x7F]"
 #: Words that carry no answer.
 STOPWORDS = [
     "the",
@@ -44,8 +44,8 @@ def estimate_tokens(text: Column, least: int = 0) -> Column:
 
 def normalize_public_text(text: Column) -> Column:
     """Collapses blanks, pulls punctuation to its word, keeps at most one empty line, strips. The patterns are fixed values."""
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r"[ \t]+([,.;:!?，。；：！？])", "$1")
+    text = F.regexp_replace(text, r" [ \t]+|\t[ \t]*", " ")
+    text = F.regexp_replace(text, " ([,.;:!?，。；：！？])", "$1")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), _STRIP, "")
 
 
@@ -55,7 +55,7 @@ def split_units(text: Column, by_line: bool = True) -> Column:
     ends = "[.!?。！？；;][\"'”’]*$"
     of = lambda x: F.filter(F.transform(F.regexp_extract_all(x, pattern, F.lit(0)), lambda u: F.regexp_replace(u, _STRIP, "")), lambda u: u != "")
     if by_line:
-        return F.flatten(F.transform(F.split(text, "\r\n|[\n\r\\x0B\f\\x1C-\\x1E\\x85\\u2028\\u2029]"), of))
+        return F.flatten(F.transform(F.split(text, "\r\n|[\n\r\\x0B\f\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"), of))
     # Line by line as well, since one pattern over the whole text would try every place of a lost stretch anew.
     whole = lambda units, last: F.when(last | (F.size(units) == 0) | F.element_at(units, F.greatest(F.size(units), F.lit(1))).rlike(ends), units).otherwise(F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))))
     return let(
@@ -86,24 +86,20 @@ def mask_prefix(kind: Column) -> Column:
 
 def private_fragments(value: Column) -> Column:
     """Parts of a value, four characters or more, that must not show in public text. The patterns are fixed values."""
-    value = F.regexp_replace(value, _STRIP, "")
-    tokens = F.transform(
-        F.regexp_extract_all(value, F.lit("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}"), F.lit(0)),
-        lambda t: F.btrim(t, F.lit(".,;:!?()[]{}<>，。；：！？（）【】")),
-    )
-    mails = F.filter(tokens, lambda t: t.contains("@"))
-    halves = F.flatten(
-        F.transform(
-            mails,
-            lambda t: F.concat(
-                F.array(F.split_part(t, F.lit("@"), F.lit(1)), F.substring(t, F.instr(t, "@") + 1, F.length(t))),
-                F.split(F.substring(t, F.instr(t, "@") + 1, F.length(t)), "\\."),
-            ),
-        )
-    )
-    digits = F.regexp_replace(value, "[^0-9]+", "")
-    every = F.concat(F.array(value), tokens, halves, F.array(digits, F.right(digits, F.lit(4))))
-    return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) >= 4)))
+    trimmed = lambda t: F.btrim(t, F.lit(".,;:!?()[]{}<>，。；：！？（）【】"))
+    after = lambda t: F.substring(t, F.instr(t, "@") + 1, F.length(t))
+
+    def every(value: Column, tokens: Column) -> Column:
+        mails = F.filter(tokens, lambda t: t.contains("@"))
+        halves = F.transform(mails, lambda t: F.concat(F.array(F.split_part(t, F.lit("@"), F.lit(1)), after(t)), F.split(after(t), "\\.")))
+        digits = lambda d: F.concat(F.array(value), tokens, F.flatten(halves), F.array(d, F.right(d, F.lit(4))))
+        return F.array_sort(F.array_distinct(F.filter(let(F.regexp_replace(value, "[^0-9]+", ""), digits), lambda x: F.length(x) >= 4)))
+
+    def of(value: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}"), F.lit(0)), trimmed)
+        return let(tokens, lambda own: every(value, own))
+
+    return let(F.regexp_replace(value, _STRIP, ""), of)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

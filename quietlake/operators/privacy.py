@@ -17,6 +17,8 @@ DETECTORS = [
     ("Financial Account", "PL3", r"[0-9]{16}", 0),
     ("Token", "PL4", r'token = "([0-9a-f]{40})"', 1),
 ]
+#: What every match of a detector has; texts without it are not searched.
+MARKS = {"Email": "@", "Phone Number": "+1 (", "Token": 'token = "'}
 LEVELS = ["PL2", "PL3", "PL4"]
 #: Keywords of a type, in order of precedence, and its public category.
 CATEGORIES = [
@@ -37,8 +39,11 @@ TEST_KEY = b"quietlake-test-key"
 def detect(messages: DataFrame) -> DataFrame:
     """message_id, user_id, pos, original_text, privacy_type, privacy_level: one row per match, in detector order."""
     def matches(kind: str, level: str, pattern: str, group: int) -> Column:
+        found = F.regexp_extract_all("content", F.lit(pattern), F.lit(group))
+        if kind in MARKS:
+            found = F.when(F.col("content").contains(MARKS[kind]), found).when(F.col("content").isNotNull(), F.array().cast("array<string>"))
         return F.transform(
-            F.regexp_extract_all("content", F.lit(pattern), F.lit(group)),
+            found,
             lambda x: F.struct(x.alias("original_text"), F.lit(kind).alias("privacy_type"), F.lit(level).alias("privacy_level")),
         )
 

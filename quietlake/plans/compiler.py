@@ -47,7 +47,8 @@ def compile_items(
     rows = rows.withColumn("r", plan.policy.route(required, consented)).withColumns(
         {"action": F.col("r.action"), "scope": F.col("r.scope"), "rule_id": F.col("r.rule_id")}
     ).drop("r", "pos")
-    options = selection.public_candidates(selection.safe(selection.stand_ins(kind, required), F.col("original_text")))
+    made = selection.public_candidates(selection.safe(selection.stand_ins(kind, required), F.col("original_text")))
+    rows, options = rows.withColumn("options", F.when(F.col("action") == "public_abstract", made)), F.col("options")
     if plan.weights is None:
         fit = F.filter(options, lambda c: (c["utility"] >= 0.75) & (c["leakage"] <= 0.35) & (estimate_tokens(c["text"], 1) <= plan.tokens))
         order = F.transform(

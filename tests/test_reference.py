@@ -245,3 +245,15 @@ def test_attack_queries_number_no_class_in_one_task(spark, sf, name):
     from quietlake.plans import catalogue, memory_queries  # noqa: F401
 
     assert "row_number" not in catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_of_long_texts_take_no_square_of_time(spark):
+    import time
+
+    n = 200_000
+    rows = spark.createDataFrame([("One. " + "x " * n + "y." + "1.2" * n + " end. Z",)], "t string")
+    at = F.length("t") - F.lit(3 * n + 8)
+    began = time.time()
+    r = rows.select(spans.sentence_start(F.col("t"), at).alias("a"), at.alias("at"), text.split_units(F.col("t")).alias("u"), text.estimate_tokens(F.col("t")).alias("n")).first()
+    assert r.a == 5 and r.at > 2 * n and [len(u) for u in r.u] == [4, 5 * n + 7, 1] and r.n > n
+    assert time.time() - began < 20
