@@ -257,3 +257,12 @@ def test_sentences_of_long_texts_take_no_square_of_time(spark):
     r = rows.select(spans.sentence_start(F.col("t"), at).alias("a"), at.alias("at"), text.split_units(F.col("t")).alias("u"), text.estimate_tokens(F.col("t")).alias("n")).first()
     assert r.a == 5 and r.at > 2 * n and [len(u) for u in r.u] == [4, 5 * n + 7, 1] and r.n > n
     assert time.time() - began < 20
+
+
+def test_parts_of_a_value_are_taken_once_an_item(spark):
+    from quietlake.operators import selection
+
+    i = spark.range(3).select(F.lit("Email").alias("privacy_type"), F.lit("PL2").alias("privacy_level"), F.concat(F.lit("bo@x.org"), "id").alias("original_text"))
+    rows = selection.generator("rule")(i, F.lit(False)).withColumns({"user_id": F.lit("u"), "message_id": F.lit(1), "item_index": F.lit(0)})
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString().count("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}")
+    assert plan(rows) == 1 and plan(selection.selector_examples(rows)) == 2
