@@ -151,6 +151,25 @@ def public_records(
     )
 
 
+def compiled_items(
+    users: DataFrame,
+    messages: DataFrame,
+    items: DataFrame,
+    plan: compiler.Plan = compiler.Plan(),
+    key: bytes = privacy.TEST_KEY,
+    per_session: int = 20,
+    per_task: int = 5,
+) -> tuple[DataFrame, ...]:
+    """The first steps of ``compile_dataset``, for what needs no texts: messages kept, items given, valid ones, known values, where they stand, and what becomes of them."""
+    kept = with_scopes(messages.where("annotated"), per_session, per_task)
+    given = items.join(kept.select("message_id"), "message_id", "left_semi")
+    valid = privacy.validate(given, kept)
+    known = files.materialised(user_items(valid, users), "known")
+    present = files.materialised(privacy.propagate(known, kept), "present")
+    compiled, _ = compiler.compile_items(kept, present, plan, key)
+    return kept, given, valid, known, present, compiled
+
+
 def compile_dataset(
     users: DataFrame,
     messages: DataFrame,
@@ -168,12 +187,7 @@ def compile_dataset(
     for is missing: such messages stay out); ``items``: message_id, user_id, pos, original_text, privacy_type, privacy_level; ``questions`` as in ``question_fields``.
     Each user's known values are looked for in all of that user's messages and questions. What several results share is written to the shared folder once. Nothing is collected: users with very many messages are rows like any others.
     """
-    kept = with_scopes(messages.where("annotated"), per_session, per_task)
-    given = items.join(kept.select("message_id"), "message_id", "left_semi")
-    valid = privacy.validate(given, kept)
-    known = files.materialised(user_items(valid, users), "known")
-    present = files.materialised(privacy.propagate(known, kept), "present")
-    compiled, _ = compiler.compile_items(kept, present, plan, key)
+    kept, given, valid, known, present, compiled = compiled_items(users, messages, items, plan, key, per_session, per_task)
     records = files.materialised(
         scrubbed(compiler.compile_messages(kept, compiled, plan.budget), compiler.residual_terms(known)),
         "records",

@@ -456,7 +456,8 @@ def dataset_report(spark, sf_dir):
     f"WITH {_OWN}, {_KNOWN}, here AS (SELECT m.message_id, k.* FROM known k JOIN msg m ON m.user_id = k.user_id AND contains(m.content, k.original_text)), best AS (SELECT * FROM here QUALIFY row_number() OVER (PARTITION BY message_id, original_text ORDER BY privacy_level DESC, privacy_type) = 1) SELECT CASE privacy_level WHEN 'PL4' THEN 'dropped' WHEN 'PL3' THEN 'encrypted_local_only' ELSE 'category_abstract' END AS representation, count(*) AS n FROM best GROUP BY 1"
 )
 def representation_counts(spark, sf_dir):
-    return dataset.representation_counts(_compiled(spark, sf_dir)[0].items)
+    m = _talk(spark, sf_dir).withColumn("annotated", F.lit(True))
+    return dataset.representation_counts(dataset.compiled_items(_users(m), m, privacy.detect(m))[-1])
 
 
 @_query(

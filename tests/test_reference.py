@@ -266,3 +266,13 @@ def test_parts_of_a_value_are_taken_once_an_item(spark):
     rows = selection.generator("rule")(i, F.lit(False)).withColumns({"user_id": F.lit("u"), "message_id": F.lit(1), "item_index": F.lit(0)})
     plan = lambda d: d._jdf.queryExecution().analyzed().toString().count("[A-Za-z0-9][A-Za-z0-9_@.+-]{2,}")
     assert plan(rows) == 1 and plan(selection.selector_examples(rows)) == 2
+
+
+def test_counting_representations_compiles_no_texts(spark, sf, monkeypatch):
+    from quietlake.plans import dataset, memory_queries
+
+    def never(*_):
+        raise AssertionError("texts were compiled")
+
+    monkeypatch.setattr(dataset, "scrubbed", never)
+    assert memory_queries.representation_counts(spark, sf).count() == 3
